@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
         if not n:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = total = 0
         for k, x in enumerate(lengths):
             if total and total + x > most:
