@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, langid, ogg, packing, quality, sharding, sst, urlfilter
+from . import codec, langid, neardup, ogg, packing, quality, sharding, sst, urlfilter
 from .common import read_table
 
 RULES = [
@@ -20,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), codec.tokenizer_path(), 4096, 1)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -59,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op3_language_id, op4_url_filters, op5_quality_rules,
+        op1_best_fit_packing, op2_minhash_near_dedup, op3_language_id, op4_url_filters, op5_quality_rules,
         op6_media_columns, op7_bpe_codec, op9_token_tables, op10_sharding,
     )
 }
