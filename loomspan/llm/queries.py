@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, langid, neardup, ogg, packing, quality, sharding, sst, urlfilter
+from . import codec, langid, neardup, ogg, packing, quality, sharding, sst, suffix, urlfilter
 from .common import read_table
 
 RULES = [
@@ -52,6 +52,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encode_documents(docs, path, codec.build_lexicon(docs, path))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.round_trip(spark, read_table(spark, sf_dir, "documents"), codec.tokenizer_path(), 2)
 
@@ -64,7 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_minhash_near_dedup, op3_language_id, op4_url_filters, op5_quality_rules,
-        op6_media_columns, op7_bpe_codec, op9_token_tables, op10_sharding,
+        op6_media_columns, op7_bpe_codec, op8_suffix_array_dedup, op9_token_tables, op10_sharding,
     )
 }
 
