@@ -27,7 +27,7 @@ from .common import slices, staged, strings
 BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.09, 4.0, 255
-HUBS = 16  # hubs of a bucket in each round after the first
+HUBS = 64  # hubs of a bucket in each round after the first
 MARGIN = 0.15  # six standard deviations of the estimate
 
 _HASHES = _Hashes()
@@ -186,7 +186,6 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         ends = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         hook = ends.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["v"].alias("to"))
-        hook = staged(hook)
         # a neighbour may hook on itself: two steps shorten the way for the next round
         again = hook.select(F.col("node").alias("to"), F.col("to").alias("then"))
         hook = staged(hook.join(again, "to").select("node", F.col("then").alias("to")))
@@ -218,18 +217,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = staged(bands.join(hubs, "band").select("band", "hub", "rep"))
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("t"))
+    texts: DataFrame | None = None
 
     def confirm(pairs: DataFrame, edges: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
         """Adds what holds of the likely ``pairs``: first each text's most likely partner, then what is still apart."""
+        nonlocal texts
         need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = staged(source.join(need, "id"))
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", F.negate("a"))).alias("a"))
+        if texts is not None:
+            need = need.join(texts.select("id").distinct(), "id", "left_anti")
+        more = staged(source.join(need, "id"))
+        texts = more if texts is None else texts.unionByName(more)
+        best = staged(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", F.negate("a"))).alias("a")))
         edges = grown(edges, verified(best, texts, width, percent))
         labels = components(edges) if edges is not None else None
         rest = staged(apart(pairs.join(best, ["a", "b"], "left_anti"), labels))
         if not rest.isEmpty():
-            edges = grown(edges, verified(rest, texts, width, percent))
-            labels = components(edges) if edges is not None else None
+            before, edges = edges, grown(edges, verified(rest, texts, width, percent))
+            labels = labels if edges is before else components(edges)
         return edges, labels
 
     pairs = members.where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
@@ -237,28 +241,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     edges, labels = (None, None) if pairs.isEmpty() else confirm(pairs, None)
 
     # buckets that still hold several components: the members outside their bucket's largest component
-    # become hubs, a few in each round, and meet the members that come after them
+    # become hubs, HUBS in each round, and meet the members of other components that come after them
     label = F.coalesce("label", "rep")
     own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
     own = own.select("band", "rep", label.alias("label"))
-    mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y and size > 2").select("band")
-    own = own.join(mixed, "band")
     parts = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("part"))
-    own = own.join(parts, ["band", "label"])
+    mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("part").alias("size"), F.max("part").alias("largest"))
+    mixed = mixed.where("labels > 1 and size > 2").select("band", (F.col("size") - F.col("largest")).alias("hubs"))
     by_part = Window.partitionBy("band").orderBy("part", "label", "rep")
-    own = staged(own.withColumn("rank", F.row_number().over(by_part) - 1))
-    top = own.agg(F.max("rank")).first()[0]
-    for first in range(0, (top or 0) + 1 if top is not None else 0, HUBS):
-        now = own.select("band", "rep", "label", "rank")
-        if labels is not None:
-            now = now.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("new")), "rep", "left").select("band", "rep", F.coalesce("new", "label").alias("label"), "rank")
-        hub = now.where((F.col("rank") >= first) & (F.col("rank") < first + HUBS)).select("band", F.col("rep").alias("h"), F.col("label").alias("h_label"), F.col("rank").alias("h_rank"))
-        met = now.join(hub, "band").where("rank > h_rank and label <> h_label")
-        new = met.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
-        new = staged(likely(new.join(pairs, ["a", "b"], "left_anti"), classes, least))
-        if not new.isEmpty():
-            edges, labels = confirm(new, edges)
-            pairs = staged(pairs.unionByName(new))
+    own = own.join(mixed, "band").join(parts, ["band", "label"])
+    own = staged(own.select("band", "rep", "label", "hubs", (F.row_number().over(by_part) - 1).alias("rank")))
+    top = own.agg(F.max("hubs")).first()[0] or 0
+    found: DataFrame | None = None
+    for first in range(0, top, HUBS):
+        hub = own.where((F.col("rank") >= first) & (F.col("rank") < F.least(F.lit(first + HUBS), F.col("hubs"))))
+        hub = hub.select("band", F.col("rep").alias("h"), F.col("label").alias("h_label"), F.col("rank").alias("h_rank"))
+        met = own.where(F.col("hubs") > first).join(hub, "band").where("rank > h_rank and label <> h_label")
+        new = met.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        new = staged(likely(new, classes, least))
+        found = new if found is None else found.unionByName(new)
+    if found is not None:
+        found = staged(found.dropDuplicates(["a", "b"]))
+        if not found.isEmpty():
+            edges, labels = confirm(found, edges)
 
     out = all_.join(classes.select("digest", "rep"), "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     if labels is not None:
