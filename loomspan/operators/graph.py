@@ -227,7 +227,7 @@ def tightest(hits: DataFrame, points: DataFrame, idx: str = "idx") -> DataFrame:
 
 def outline(rows: DataFrame) -> DataFrame:
     """Named spans (file, name, kind, start, end) with ``depth``, in the order of reading: outer ones before inner ones."""
-    own = rows.withColumn("idx", F.xxhash64("file", "name", "kind", "start", "end"))
+    own = rows.dropDuplicates().withColumn("idx", F.xxhash64("file", "name", "kind", "start", "end"))
     around = spans.containing(own, own.select("file", "start", "end", "idx"), "left", strict=True)
     out = around.groupBy("file", "name", "kind", "start", "end").agg(F.count("o_idx").cast("int").alias("depth"))
     order = Window.partitionBy("file").orderBy("start", F.desc("end"), "name")

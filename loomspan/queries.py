@@ -236,10 +236,10 @@ def pattern_multi_fused(spark, sf_dir):
     return found.select(F.col("file").cast("bigint").alias("file"), "pattern", "first")
 
 
-@query(f"SELECT file, start, \"end\", text FROM (SELECT *, lead(text) OVER w AS b, lead(\"end\", 2) OVER w AS x FROM {_SPANS} WINDOW w AS (PARTITION BY file ORDER BY pos)) WHERE text = 'the' AND b = 'license'")
+@query(f"SELECT file, start, \"end\", text FROM (SELECT *, lead(text) OVER w AS b, lead(\"end\", 2) OVER w AS x FROM {_SPANS} WINDOW w AS (PARTITION BY file ORDER BY pos)) WHERE text = 'of' AND b = 'the'")
 def pattern_spans_in_bytes(spark, sf_dir):
-    found = rules.search(_turns(spark, sf_dir).select("file", "text"), '(take a (seq (capture a "the") "license"))', regex=tape.WORDS)
-    return found.select("file", "start", "end", F.lit("the").alias("text"))
+    found = rules.search(_turns(spark, sf_dir).select("file", "text"), '(take a (seq (capture a "of") "the"))', regex=tape.WORDS)
+    return found.select("file", "start", "end", F.lit("of").alias("text"))
 
 
 # --- matchers ----------------------------------------------------------------
@@ -278,15 +278,15 @@ def html_nodes(spark, sf_dir):
 # --- spans and edits ---------------------------------------------------------
 
 
-@query(f"SELECT a.file, a.idx, arg_min(b.idx, [b.e - b.s, b.idx]) AS cover FROM {_IV} a LEFT JOIN {_IV} b ON b.file = a.file AND b.idx <> a.idx AND b.s <= a.s AND a.e <= b.e AND (b.s < a.s OR a.e < b.e) GROUP BY a.file, a.idx")
+@query(f"SELECT a.file, a.idx, a.s AS start, a.e AS \"end\", arg_min(b.idx, [b.e - b.s, b.idx]) AS cover FROM {_IV} a LEFT JOIN {_IV} b ON b.file = a.file AND b.s <= a.s AND a.e <= b.e AND (b.s < a.s OR a.e < b.e) GROUP BY a.file, a.idx, a.s, a.e")
 def span_innermost_cover(spark, sf_dir):
     own = _intervals(spark, sf_dir).select("file", "idx", "start", "end")
-    return spans.innermost_cover(own, own, strict=True).select("file", "idx", "cover")
+    return spans.innermost_cover(own, own, strict=True)
 
 
-@query(f"SELECT a.file, a.idx, coalesce(arg_min(b.idx, [b.e - b.s, b.idx]), -1) AS parent FROM {_IV} a LEFT JOIN {_IV} b ON b.file = a.file AND b.s <= a.s AND a.e <= b.e AND (b.s < a.s OR a.e < b.e) GROUP BY a.file, a.idx")
+@query(f"SELECT a.file, a.idx, a.s AS start, a.e AS \"end\", coalesce(arg_min(b.idx, [b.e - b.s, b.idx]), -1) AS parent FROM {_IV} a LEFT JOIN {_IV} b ON b.file = a.file AND b.s <= a.s AND a.e <= b.e AND (b.s < a.s OR a.e < b.e) GROUP BY a.file, a.idx, a.s, a.e")
 def span_parent_nesting(spark, sf_dir):
-    return spans.parents(_intervals(spark, sf_dir).select("file", "idx", "start", "end")).select("file", "idx", "parent")
+    return spans.parents(_intervals(spark, sf_dir).select("file", "idx", "start", "end"))
 
 
 @query(f"SELECT file, idx FROM {_IV} a WHERE flag = 'N' AND NOT EXISTS (SELECT 1 FROM {_IV} b WHERE b.file = a.file AND b.flag = 'R' AND a.s < b.e AND b.s < a.e)")
@@ -353,10 +353,10 @@ def flow_score(spark, sf_dir):
     return spans.flow_score(flows, units).select("file", "score")
 
 
-@query(f"SELECT a.file, a.idx, (SELECT count(*) FROM {_IV} b WHERE b.file = a.file AND b.s <= a.s AND a.e <= b.e AND (b.s < a.s OR a.e < b.e))::INTEGER AS depth, CAST(row_number() OVER (PARTITION BY a.file ORDER BY a.s, a.e DESC, a.idx) AS INTEGER) AS ordinal FROM {_IV} a")
+@query(f"WITH v AS (SELECT DISTINCT file, idx, s, e FROM {_IV}) SELECT a.file, a.idx, a.s AS start, (SELECT count(*) FROM v b WHERE b.file = a.file AND b.s <= a.s AND a.e <= b.e AND (b.s < a.s OR a.e < b.e))::INTEGER AS depth, CAST(row_number() OVER (PARTITION BY a.file ORDER BY a.s, a.e DESC, a.idx) AS INTEGER) AS ordinal FROM v a")
 def outline_preorder(spark, sf_dir):
     own = _intervals(spark, sf_dir).select("file", F.col("idx").cast("string").alias("name"), F.lit("line").alias("kind"), "start", "end")
-    return graph.outline(own).select("file", F.col("name").cast("int").alias("idx"), "depth", "ordinal")
+    return graph.outline(own).select("file", F.col("name").cast("int").alias("idx"), "start", "depth", "ordinal")
 
 
 # --- relations and graphs ----------------------------------------------------
