@@ -26,7 +26,7 @@ from .codec import _Hashes
 from .common import slices, staged, strings
 
 GRAM = 40  # bytes of an anchor
-SHARD = 2 << 20  # bytes of text in a shard
+SHARD = 1 << 20  # bytes of text in a shard
 GROUP = 20_000  # distinct segments of one anchor that one task merges
 _HASHES = _Hashes()
 
@@ -96,8 +96,9 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     del key, sorted_key, padded
-    place = np.arange(n)
-    rank = np.empty(n + 1, np.int64)  # the first place of a suffix's group; what lies behind the text is smallest
+    place = np.arange(n, dtype=np.int32)  # a shard has far fewer than 2**31 bytes
+    order = order.astype(np.int32)
+    rank = np.empty(n + 1, np.int32)  # the first place of a suffix's group; what lies behind the text is smallest
     rank[n] = -1
     head = np.maximum.accumulate(np.where(new, place, 0))
     rank[order] = head
@@ -115,7 +116,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         alone = start & np.append(start[1:], True)
         tied = tied[~alone]
         width *= 2
-    where = np.empty(n, np.int64)
+    where = np.empty(n, np.int32)
     where[order] = place
     return order, where
 
@@ -354,7 +355,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     source = source.select("id", F.xxhash64("t").alias("th"), "t", "extra")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 2 << 20):
+        for batch in slices(batches, "t", 1 << 20):
             anchor, whole, part, first, size = segments([x.encode() for x in strings(batch, "t")], length)
             take = pa.array(part)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], ["id", "th", "anchor", "whole", "first", "size"])
