@@ -215,7 +215,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
                     out = system.open_output_stream(f"{base}/{name}")
                     writer = Writer(out)
                 writer.add(key, np.append(ids, end_id))
-                if writer.at >= most:
+                if writer.at + writer.size >= most:
                     end()
                     writer = None
         if writer is not None:
