@@ -6,9 +6,12 @@ sets. Bands of registers propose candidates; a joint likelihood of the registers
 that are larger, smaller and equal, given both sizes, estimates the similarity and
 drops what is far below the bound; the rest is confirmed on the full sets.
 
-Texts with equal sets are one class from the start. In each bucket of a band, members
-are compared with a few hubs at a time, never all with all, and only while they
-are in different components, so the pairs of one round grow with the members.
+Texts with equal sets are one class from the start. In each bucket of a band, all
+members meet the first one, the hub. What stays in other components than most is compared
+with the rest: in small buckets directly; in large ones by what texts have beyond the
+hub's set. With i shingles shared with the hub and c shared beyond it, two sets have at
+most min(i, i') + c in common, so only pairs for which that is enough are confirmed:
+every link is found, and the pairs do not grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import _Hashes
@@ -27,8 +30,8 @@ from .common import slices, staged, strings
 BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.09, 4.0, 255
-HUBS = 64  # hubs of a bucket in each round after the first
-MARGIN = 0.15  # six standard deviations of the estimate
+SMALL = 32  # members of buckets in which components are compared directly
+MARGIN = 0.13  # five standard deviations of the estimate
 
 _HASHES = _Hashes()
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
@@ -240,30 +243,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     pairs = staged(likely(pairs, classes, least))
     edges, labels = (None, None) if pairs.isEmpty() else confirm(pairs, None)
 
-    # buckets that still hold several components: the members outside their bucket's largest component
-    # become hubs, HUBS in each round, and meet the members of other components that come after them
+    # buckets that still hold several components
     label = F.coalesce("label", "rep")
     own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
-    own = own.select("band", "rep", label.alias("label"))
-    parts = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("part"))
-    mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("part").alias("size"), F.max("part").alias("largest"))
-    mixed = mixed.where("labels > 1 and size > 2").select("band", (F.col("size") - F.col("largest")).alias("hubs"))
-    by_part = Window.partitionBy("band").orderBy("part", "label", "rep")
-    own = own.join(mixed, "band").join(parts, ["band", "label"])
-    own = staged(own.select("band", "rep", "label", "hubs", (F.row_number().over(by_part) - 1).alias("rank")))
-    top = own.agg(F.max("hubs")).first()[0] or 0
-    found: DataFrame | None = None
-    for first in range(0, top, HUBS):
-        hub = own.where((F.col("rank") >= first) & (F.col("rank") < F.least(F.lit(first + HUBS), F.col("hubs"))))
-        hub = hub.select("band", F.col("rep").alias("h"), F.col("label").alias("h_label"), F.col("rank").alias("h_rank"))
-        met = own.where(F.col("hubs") > first).join(hub, "band").where("rank > h_rank and label <> h_label")
-        new = met.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        new = staged(likely(new, classes, least))
-        found = new if found is None else found.unionByName(new)
-    if found is not None:
-        found = staged(found.dropDuplicates(["a", "b"]))
-        if not found.isEmpty():
-            edges, labels = confirm(found, edges)
+    own = own.select("band", "hub", "rep", label.alias("label"))
+    mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y and size > 2").select("band", "size")
+    own = staged(own.join(mixed, "band"))
+    few = own.where(F.col("size") <= SMALL)
+    other = few.select("band", F.col("rep").alias("b"), F.col("label").alias("l_b"))
+    met = few.withColumnRenamed("rep", "a").join(other, "band").where("a < b and label <> l_b").select("a", "b").distinct()
+    found = staged(likely(met.join(pairs, ["a", "b"], "left_anti"), classes, least))
+    large = own.where(F.col("size") > SMALL).select("hub", "rep", "label").distinct()
+    if not large.isEmpty():
+        need = large.select(F.col("hub").alias("id")).union(large.select("rep")).distinct()
+        have = source.join(need, "id") if texts is None else texts.join(need, "id", "left_semi").unionByName(source.join(need.join(texts.select("id").distinct(), "id", "left_anti"), "id"))
+        found = found.unionByName(beyond_hub(staged(large), have, width, percent).withColumn("est", F.lit(least)))
+    found = staged(found.join(pairs, ["a", "b"], "left_anti").dropDuplicates(["a", "b"]))
+    if not found.isEmpty():
+        edges, labels = confirm(found, edges)
 
     out = all_.join(classes.select("digest", "rep"), "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     if labels is not None:
@@ -275,6 +272,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def beyond_hub(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs a, b of members (hub, rep, label) of one hub and different labels that can be similar enough.
+
+    Of each member only what its set has beyond the hub's is compared. Members of the
+    label that most of a hub's members have are not compared with each other.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t_b", 1 << 20):
+            n = batch.num_rows
+            hubs = strings(batch, "t_a")
+            once = list(dict.fromkeys(hubs))
+            known = dict(zip(once, shingle_sets(once, width), strict=True))
+            rows = []
+            for hub, own in zip(hubs, shingle_sets(strings(batch, "t_b"), width), strict=True):
+                more = np.setdiff1d(own, known[hub], assume_unique=True)
+                rows.append((len(own), len(own) - len(more), more.view(np.int64)))
+            size, shared, more = zip(*rows, strict=True) if n else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)] + [pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array(more, pa.list_(pa.int64()))], ["hub", "rep", "label", "n", "i", "more"])
+
+    side = lambda s, t: texts.select(F.col("id").alias(s), F.col("t").alias(t))
+    both = large.join(side("rep", "t_b"), "rep").join(side("hub", "t_a"), "hub").select("hub", "rep", "label", "t_a", "t_b")
+    measured = staged(both.mapInArrow(work, "hub long, rep long, label long, n long, i long, more array<long>"))
+    main = large.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    tails = staged(measured.join(main, "hub").where("label <> main"))
+    x = lambda df, *c: df.select("hub", *c)
+    enough = lambda most: 100 * most >= percent * (F.col("n") + F.col("n_b") - most)
+    apart_ = (F.col("label") != F.col("l_b")) & ((F.col("l_b") == F.col("main")) | (F.col("rep") < F.col("b")))
+    names = [F.col("rep").alias("b"), F.col("label").alias("l_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b")]
+    # sharing nothing beyond the hub can be enough where texts are parts of it
+    plain = x(tails, "rep", "label", "main", "n", "i").join(x(measured, *names), "hub").where(apart_ & enough(F.least("i", "i_b")))
+    one = x(tails, "rep", "label", "main", "n", "i", F.explode("more").alias("e"))
+    two = x(measured, *names, F.explode("more").alias("e"))
+    met = one.join(two, ["hub", "e"]).where(apart_).groupBy("hub", "rep", "b", "n", "i", "n_b", "i_b").agg(F.count(F.lit(1)).alias("c"))
+    met = met.where(enough(F.least("i", "i_b") + F.col("c")))
+    pair = [F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")]
+    return plain.select(*pair).unionByName(met.select(*pair)).distinct()
+
+
 def grown(edges: DataFrame | None, new: DataFrame) -> DataFrame | None:
     """Old and new edges, or None while there is none."""
     new = staged(new)

@@ -111,6 +111,21 @@ def test_near_duplicates_equal_brute_force(spark, docs, width):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("kind", ["replaced", "removed"])
+def test_large_graded_groups_equal_brute_force(spark, kind):
+    r = random.Random(11)
+    base = [f"{w}{k}" for k, w in enumerate(words(140, 77).split())]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 130):
+        share = r.choice([0.01, 0.03, 0.05, 0.1, 0.12, 0.15, 0.2])
+        own = [w if r.random() > share else r.choice(["new", "other", f"own{k}"]) for w in base]
+        rows.append((k, " ".join(own if kind == "replaced" else [w for w in base if r.random() > share * 1.5])))
+    rows += [(200 + k, f"{rows[k][1]} {words(3, k)}") for k in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    want = linked(rows, 2)
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == want and len({c for _, _, c in want}) > 3
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).collect() == []
 
