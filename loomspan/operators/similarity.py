@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def features(units: DataFrame, unit: str = "unit", terms: str = "terms") -> DataFrame:
@@ -44,7 +45,7 @@ def md5_hash(feature: Column) -> Column:
     return F.conv(F.substring(F.md5(feature), 1, 15), 16, 10).cast("long")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv_hash(feature: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits as a signed long."""
     def one(s: str) -> int:
