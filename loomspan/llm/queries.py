@@ -72,4 +72,31 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: Packing, languages, media, ids, repeats, files and hashed shards are beyond SQL; tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op2_minhash_near_dedup": f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORD}') AS w FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i]||' '||w[i + 1]) ELSE w END) AS s FROM w),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  c AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+  e AS MATERIALIZED (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+  r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT x.b, r.root FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) x ON x.a = r.doc_id)
+  SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op4_url_filters": f"""WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+  r(v, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/'))
+  SELECT page_id, host, path, arg_max(h||p, length(h||p) * 1000 + length(h)) AS rule, coalesce(arg_max(v, length(h||p) * 1000 + length(h)), 'allow') AS verdict
+  FROM q LEFT JOIN r ON (host = h OR ends_with(host, '.'||h)) AND starts_with(path, p) GROUP BY page_id, host, path""",
+    "op5_quality_rules": f"""WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines FROM documents),
+  u AS (SELECT doc_id, i, CASE WHEN i + 4 <= len(w) THEN array_to_string(w[i : i + 4], ' ') END AS g, w[i] = w[i - 1] AND i > 1 AS same FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+  v AS (SELECT doc_id, i, same, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 THEN 1 ELSE 0 END AS twice FROM u),
+  x AS (SELECT doc_id, same, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS inside FROM v),
+  y AS (SELECT doc_id, CAST(sum(inside) AS BIGINT) AS n_repeat_words, count(*) FILTER (same) AS stutter FROM x GROUP BY doc_id),
+  z AS (SELECT t.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(stutter, 0) AS stutter,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS cased FROM t LEFT JOIN y USING (doc_id))
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR (2 * upper > cased AND cased >= 40) OR 2 * stutter > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM z""",
+}
