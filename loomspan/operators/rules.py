@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,8 +13,8 @@ from ..functions.paths import matches_glob
 from ..plans import matcher as M
 from ..plans.rules import Pack, emitted, plan
 from . import spans
-from .sequence import tape_tokens
-from .tape import SOURCE, lexed
+from .sequence import lex_tokens
+from .tape import SOURCE
 
 FINDINGS = "file string, seq int, rule_id string, level string, message string, start int, end int, new_text string"
 
@@ -42,16 +43,17 @@ def gated(files: DataFrame, matchers: list) -> DataFrame:
     return files.where(keep)
 
 
-def _files(batch: pa.RecordBatch, with_nodes: bool, with_targets: bool) -> Iterator[M.File]:
+def _files(batch: pa.RecordBatch, regex: str, with_nodes: bool, with_targets: bool) -> Iterator[M.File]:
+    lexer = re.compile(regex)
     for r in batch.to_pylist():
         targets = {(t["start"], t["end"]): t["target"] for t in r["targets"] or ()} if with_targets else {}
         nodes = [M.Node(n["type"], n["start"], n["end"]) for n in r["nodes"] or ()] if with_nodes else []
-        yield M.File(r["file"], (r["text"] or "").encode(), tape_tokens(r["tokens"] or [], targets), r["lang"] or "", nodes)
+        text = r["text"] or ""
+        yield M.File(r["file"], text.encode(), lex_tokens(text, lexer, targets), r["lang"] or "", nodes)
 
 
-def _prepared(files: DataFrame, regex: str, nodes: DataFrame | None, targets: DataFrame | None) -> DataFrame:
-    lang = files.select("file", (F.col("lang") if "lang" in files.columns else F.lit("")).alias("lang"))
-    out = lexed(files, regex).join(lang, "file") if "lang" in files.columns else lexed(files, regex).withColumn("lang", F.lit(""))
+def _prepared(files: DataFrame, nodes: DataFrame | None, targets: DataFrame | None) -> DataFrame:
+    out = files.select("file", "text", (F.col("lang") if "lang" in files.columns else F.lit("")).alias("lang"))
     if nodes is not None:
         own = nodes.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("nodes"))
         out = out.join(own, "file", "left")
@@ -64,16 +66,16 @@ def _prepared(files: DataFrame, regex: str, nodes: DataFrame | None, targets: Da
 def search(files: DataFrame, source: str, regex: str = SOURCE, nodes: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """Matches of one matcher: file, start, end, text, sites."""
     m = M.parse(source)
-    ready = _prepared(gated(files, [m]), regex, nodes, targets)
+    ready = _prepared(gated(files, [m]), nodes, targets)
     with_nodes, with_targets = nodes is not None, targets is not None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .sequence import batch_of, row
 
-        lexers = {name: lambda t: tape_tokens(_lex(t, regex)) for name in _languages(m)}
+        lexers = {name: lambda t: lex_tokens(t, re.compile(regex)) for name in _languages(m)}
         for batch in batches:
             out = []
-            for f in _files(batch, with_nodes, with_targets):
+            for f in _files(batch, regex, with_nodes, with_targets):
                 out += [(0, f.path, *row(x, M.names(m), f.text)) for x in M.find(m, f, lexers)]
             yield batch_of(out)
 
@@ -86,27 +88,15 @@ def _languages(m) -> set[str]:
     return {x.lang for x in M.walk(m) if isinstance(x, M.AsLanguage)}
 
 
-def _lex(text: str, regex: str) -> list[dict]:
-    import re
-
-    out, at, done = [], 0, 0
-    for x in re.finditer(regex, text):
-        at += len(text[done : x.start()].encode())
-        n = len(x[0].encode())
-        out.append({"text": x[0], "start": at, "end": at + n})
-        at, done = at + n, x.end()
-    return out
-
-
 def findings(files: DataFrame, pack: Pack, regex: str = SOURCE, nodes: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """All rules' matches in one pass over the files, in the order of rules: FINDINGS; new_text is null without a fix."""
     own = [r for r in pack.rules if not r.builtin]
     steps = plan(Pack(own))
-    ready = _prepared(gated(files, [r.matcher for r in own]), regex, nodes, targets)
+    ready = _prepared(gated(files, [r.matcher for r in own]), nodes, targets)
     with_nodes, with_targets = nodes is not None, targets is not None
 
     def matches(f: M.File) -> dict[int, list]:
-        lexers = {lang: lambda t: tape_tokens(_lex(t, regex)) for r in own for lang in _languages(r.matcher)}
+        lexers = {lang: lambda t: lex_tokens(t, re.compile(regex)) for r in own for lang in _languages(r.matcher)}
         out = {k: M.find(own[k].matcher, f, lexers) for k in [*steps.fused, *steps.rest]}
         for group in steps.under.values():
             regions = M.find(own[group[0]].matcher.region, f, lexers)  # once for all rules below it
@@ -122,7 +112,7 @@ def findings(files: DataFrame, pack: Pack, regex: str = SOURCE, nodes: DataFrame
         kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             rows = []
-            for f in _files(batch, with_nodes, with_targets):
+            for f in _files(batch, regex, with_nodes, with_targets):
                 seq = 0
                 for k, found in sorted(matches(f).items()):
                     r = own[k]

@@ -7,6 +7,7 @@ any number of patterns, behind a filter on literals that a match must contain.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,6 +169,20 @@ def tape_tokens(rows: list[dict], targets: dict[tuple[int, int], str] | None = N
     return out
 
 
+def lex_tokens(text: str, lexer: re.Pattern, targets: dict[tuple[int, int], str] | None = None) -> list[Token]:
+    """Tokens of a text with byte spans."""
+    out, at, done, wide = [], 0, 0, not text.isascii()
+    for m in lexer.finditer(text):
+        own, (a, b) = m[0], m.span()
+        if wide:
+            at += len(text[done:a].encode())
+            a, done = at, b
+            b = at = at + len(own.encode())
+        quoted = len(own) > 1 and own[0] in "\"'`" and own[-1] == own[0]
+        out.append(Token(own, a, b, own[1:-1] if quoted else own, targets.get((a, b), "") if targets else "", int(quoted)))
+    return out
+
+
 def required_texts(pat) -> set[str]:
     """Token texts that every match holds."""
     if isinstance(pat, P.Unit):

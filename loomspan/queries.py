@@ -533,14 +533,14 @@ def simhash_fingerprints(spark, sf_dir):
     return similarity.simhash(similarity.features(_units(spark, sf_dir)))
 
 
-@query(f"WITH f AS MATERIALIZED {_FEATS}, h AS MATERIALIZED {_SIM} SELECT s.a, s.b, round(0.85 * (low / (wa + wb - low)) + 0.15 * (1 - bit_count(xor(x.simhash, y.simhash)) / 64.0), 7) AS score FROM {_LOW} s JOIN h x ON x.unit = s.a JOIN h y ON y.unit = s.b")
+@query(f"WITH f AS MATERIALIZED {_FEATS}, h AS MATERIALIZED {_SIM} SELECT s.a, s.b, round(0.85 * (low / (wa + wb - low)) + 0.15 * (1 - bit_count(xor(x.simhash, y.simhash)) / 64.0), 9) AS score FROM {_LOW} s JOIN h x ON x.unit = s.a JOIN h y ON y.unit = s.b")
 def blended_similarity(spark, sf_dir):
     u = _units(spark, sf_dir)
     f = similarity.features(u)
     h = similarity.simhash(f)
     s = similarity.pair_scores(f, _turn_pairs(u))
     s = s.join(h.select(F.col("unit").alias("a"), F.col("simhash").alias("x")), "a").join(h.select(F.col("unit").alias("b"), F.col("simhash").alias("y")), "b")
-    return s.select("a", "b", F.round(similarity.blended(F.col("weighted"), F.col("x"), F.col("y")), 7).alias("score"))
+    return s.select("a", "b", F.round(similarity.blended(F.col("weighted"), F.col("x"), F.col("y")), 9).alias("score"))
 
 
 @query(f"SELECT unit, a AS key, CAST(row_number() OVER (PARTITION BY unit ORDER BY min(i), a) AS INTEGER) AS hole FROM {_UNITS} WHERE regexp_matches(a, '^[A-Za-z]') GROUP BY unit, a")
