@@ -9,32 +9,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below the folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it; only where that is unset (tests, a laptop)
-    a folder below the temporary directory stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/loomspan-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..storage import read_table, shared_dir, staged  # noqa: F401
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
