@@ -8,8 +8,8 @@ drops what is far below the bound; the rest is confirmed on the full sets.
 
 Texts with equal sets are one class from the start. In each bucket of a band, all
 members meet the first one, the hub. What stays in other components than most is compared
-with the rest: in small buckets directly; in large ones by what texts have beyond the
-hub's set. With i shingles shared with the hub and c shared beyond it, two sets have at
+with the rest: in small buckets directly; in large ones by what texts have beyond a
+common core. With i shingles of the core and c shared beyond it, two sets have at
 most min(i, i') + c in common, so only pairs for which that is enough are confirmed:
 every link is found, and the pairs do not grow with the square of a group.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codec import _Hashes
@@ -30,6 +30,7 @@ from .common import slices, staged, strings
 BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.09, 4.0, 255
+SAMPLE = 17  # members that a core is drawn from
 SMALL = 32  # members of buckets in which components are compared directly
 MARGIN = 0.13  # five standard deviations of the estimate
 
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if not large.isEmpty():
         need = large.select(F.col("hub").alias("id")).union(large.select("rep")).distinct()
         have = source.join(need, "id") if texts is None else texts.join(need, "id", "left_semi").unionByName(source.join(need.join(texts.select("id").distinct(), "id", "left_anti"), "id"))
-        found = found.unionByName(beyond_hub(staged(large), have, width, percent).withColumn("est", F.lit(least)))
+        found = found.unionByName(beyond_core(staged(large), have, width, percent).withColumn("est", F.lit(least)))
     found = staged(found.join(pairs, ["a", "b"], "left_anti").dropDuplicates(["a", "b"]))
     if not found.isEmpty():
         edges, labels = confirm(found, edges)
@@ -272,28 +273,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def beyond_hub(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def beyond_core(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs a, b of members (hub, rep, label) of one hub and different labels that can be similar enough.
 
-    Of each member only what its set has beyond the hub's is compared. Members of the
-    label that most of a hub's members have are not compared with each other.
+    Of each member only what its set has beyond the core is compared: the shingles that
+    at least half of up to SAMPLE members have. Any core gives a right bound, a typical one a
+    tight bound. Members of the label that most of a hub's members have are not compared with each other.
     """
+    side = texts.select(F.col("id").alias("rep"), "t")
+
+    def core_of(rows: pa.Table) -> pa.Table:
+        sets = shingle_sets(["" if x is None else x for x in rows.column("t").to_pylist()], width)
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.table({"hub": rows.column("hub").slice(0, 1), "core": pa.array([found[2 * n >= len(sets)].view(np.int64)], pa.list_(pa.int64()))})
+
+    drawn = F.row_number().over(Window.partitionBy("hub").orderBy(F.xxhash64("rep"), "rep"))
+    sample = large.select("hub", "rep").distinct().withColumn("k", drawn).where(F.col("k") <= SAMPLE)
+    cores = staged(sample.join(side, "rep").select("hub", "t").groupBy("hub").applyInArrow(core_of, "hub long, core array<long>"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t_b", 1 << 20):
-            n = batch.num_rows
-            hubs = strings(batch, "t_a")
-            once = list(dict.fromkeys(hubs))
-            known = dict(zip(once, shingle_sets(once, width), strict=True))
+        for batch in slices(batches, "t", 1 << 20):
             rows = []
-            for hub, own in zip(hubs, shingle_sets(strings(batch, "t_b"), width), strict=True):
-                more = np.setdiff1d(own, known[hub], assume_unique=True)
+            cores = batch.column(4)
+            for k, own in enumerate(shingle_sets(strings(batch, "t"), width)):
+                core = cores[k].values.to_numpy().view(np.uint64)
+                more = np.setdiff1d(own, core, assume_unique=True)
                 rows.append((len(own), len(own) - len(more), more.view(np.int64)))
-            size, shared, more = zip(*rows, strict=True) if n else ((), (), ())
+            size, shared, more = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)] + [pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array(more, pa.list_(pa.int64()))], ["hub", "rep", "label", "n", "i", "more"])
 
-    side = lambda s, t: texts.select(F.col("id").alias(s), F.col("t").alias(t))
-    both = large.join(side("rep", "t_b"), "rep").join(side("hub", "t_a"), "hub").select("hub", "rep", "label", "t_a", "t_b")
+    both = large.join(side, "rep").join(cores, "hub").select("hub", "rep", "label", "t", "core")
     measured = staged(both.mapInArrow(work, "hub long, rep long, label long, n long, i long, more array<long>"))
     main = large.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     tails = staged(measured.join(main, "hub").where("label <> main"))
@@ -301,7 +310,7 @@ def beyond_hub(large: DataFrame, texts: DataFrame, width: int, percent: int) ->
     enough = lambda most: 100 * most >= percent * (F.col("n") + F.col("n_b") - most)
     apart_ = (F.col("label") != F.col("l_b")) & ((F.col("l_b") == F.col("main")) | (F.col("rep") < F.col("b")))
     names = [F.col("rep").alias("b"), F.col("label").alias("l_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b")]
-    # sharing nothing beyond the hub can be enough where texts are parts of it
+    # sharing nothing beyond the core can be enough where texts are parts of it
     plain = x(tails, "rep", "label", "main", "n", "i").join(x(measured, *names), "hub").where(apart_ & enough(F.least("i", "i_b")))
     one = x(tails, "rep", "label", "main", "n", "i", F.explode("more").alias("e"))
     two = x(measured, *names, F.explode("more").alias("e"))
