@@ -22,6 +22,7 @@ from .common import slices, strings
 
 BUCKETS = 1 << 14
 _SLICE = 1 << 20
+_WIDE = 8  # languages beyond which slices shrink in proportion, as there are numbers for each word and language
 # ASCII that is no letter ends a word; bytes above 127 belong to words
 _FOLD = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b > 127 else 32 for b in range(256))
 
@@ -83,7 +84,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float =
     return LanguageModel(names, np.array(logs, np.float32).reshape(len(names), BUCKETS))
 
 
-def mixture(texts: list[str], model: LanguageModel, rounds: int = 6, penalty: float = 2.0, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def mixture(texts: list[str], model: LanguageModel, rounds: int = 6, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (texts x languages, zero outside the chosen set) and the number of words of each text."""
     n, k = len(texts), len(model.languages)
     h, first, doc = _features(texts)
@@ -110,22 +111,31 @@ def mixture(texts: list[str], model: LanguageModel, rounds: int = 6, penalty: fl
 
     full = em(np.full((len(has), k), 1.0 / k), rounds)
     rank = np.argsort(-full, axis=1, kind="stable")
-    best, gain = None, np.full(len(has), -np.inf)
-    of = np.repeat(np.arange(len(has)), words[has])
-    for size in range(1, min(k, most) + 1):
-        p = np.zeros_like(full)
-        np.put_along_axis(p, rank[:, :size], np.take_along_axis(full, rank[:, :size], axis=1), axis=1)
+    of, at = np.repeat(np.arange(len(has)), words[has]), np.arange(len(like))
+    mixed, total = np.zeros(len(like)), np.zeros(len(has))
+    chosen, gain = np.ones(len(has), np.int64), np.full(len(has), -np.inf)
+    for size in range(1, k + 1):  # the sets grow by one language; the penalty alone says where to end
+        last = rank[:, size - 1]
+        p = full[np.arange(len(has)), last]
         p = np.maximum(p, 1e-300 * (p > 0))
-        total = p.sum(axis=1, keepdims=True)
-        p = p / np.where(total > 0, total, 1)
-        score = by_text(np.log((p[of] * like).sum(axis=1) + 1e-300)) - penalty * size * np.log(words[has] + 1)
+        mixed += p[of] * like[at, last[of]]
+        total += p
+        score = by_text(np.log(mixed / total[of] + 1e-300)) - penalty * size * np.log(words[has] + 1)
         better = score > gain
-        best = p if best is None else np.where(better[:, None], p, best)
+        chosen = np.where(better, size, chosen)
         gain = np.where(better, score, gain)
+    best = np.zeros_like(full)
+    np.put_along_axis(best, rank, np.where(np.arange(k) < chosen[:, None], np.take_along_axis(full, rank, axis=1), 0), axis=1)
+    best = np.maximum(best, 1e-300 * (best > 0))
+    best /= best.sum(axis=1, keepdims=True)
     share[has] = best
     return share, words
 
 
+def _slice(model: LanguageModel) -> int:
+    return max(1, _SLICE * _WIDE // max(_WIDE, len(model.languages)))
+
+
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
 
@@ -145,7 +155,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, "_t", _SLICE):
+        for batch in slices(batches, "_t", _slice(m)):
             texts = strings(batch, "_t")
             share, _ = mixture(texts, m)
             pred, score, sets = [], [], []
@@ -172,7 +182,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text", l
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, _SLICE):
+        for batch in slices(batches, text, _slice(shared.value)):
             texts = strings(batch, text)
             share, _ = mixture(texts, shared.value)
             sure = share.max(axis=1, initial=0.0) >= least

@@ -151,6 +151,19 @@ def test_language_of_held_out_texts_and_odd_ones(spark):
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame(odd, "doc_id long, text string"), nothing).collect()] == ["und"] * 5
 
 
+def test_texts_of_many_languages_keep_each(spark):
+    names = [f"l{k}" for k in range(6)]
+    vocabulary = {x: ["".join(random.Random(f"{x}{k}").choices("abcdefghijklmnopqrstuvwxyz"[4 * i : 4 * i + 5], k=6)) for k in range(40)] for i, x in enumerate(names)}
+    some = lambda x, n: random.Random(n).choices(vocabulary[x], k=n)
+    model = langid.fit(spark.createDataFrame([(k, " ".join(some(x, 400)), x) for k, x in enumerate(names)], "doc_id long, text string, lang string"))
+    shares = {0: [84, 40, 40, 36], 1: [100] * 6, 2: [120, 80], 3: [200]}
+    docs = spark.createDataFrame([(k, " ".join(w for x, n in zip(names, ns) for w in some(x, n))) for k, ns in shares.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for k, ns in shares.items():
+        assert set(got[k].langs) == set(names[: len(ns)]) and abs(got[k].score - max(ns) / sum(ns)) < 0.03
+    assert {r.doc_id for r in langid.keep_identified(docs, model).collect()} == {2, 3}
+
+
 def test_urls_equal_brute_force(spark):
     rules = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"), urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
     r = random.Random(1)
