@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,17 +145,16 @@ def sole_entity(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
 
 
-def reached(seeds: DataFrame, links: DataFrame, source: str, target: str, rounds: int = 64) -> DataFrame:
+def reached(seeds: DataFrame, links: DataFrame, source: str, target: str) -> DataFrame:
     """All files reachable from the seeds, with the round in which each was found."""
     known = staged(seeds.select(F.col(source).alias("file"), F.lit(0).alias("round")).distinct())
     front = known
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):  # each round finds new files or is the last
         new = front.join(links.select(F.col(source).alias("file"), F.col(target).alias("_to")), "file").select(F.col("_to").alias("file")).distinct()
         front = staged(new.join(known, "file", "left_anti").withColumn("round", F.lit(k)))
         if front.isEmpty():
-            break
+            return known
         known = staged(known.unionByName(front))
-    return known
 
 
 def one_hop(loaded: DataFrame, specs: DataFrame, files: DataFrame) -> DataFrame:

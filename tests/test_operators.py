@@ -124,6 +124,12 @@ def test_references_and_chains(spark):
     assert rows(circle) == [("a", "a", 2), ("a", "b", 1), ("b", "a", 1), ("b", "b", 2)]
 
 
+def test_reachability_follows_long_chains_and_circles(spark):
+    links = frame(spark, "a string, b string", *((f"f{k}", f"f{k + 1}") for k in range(67)), ("f67", "f0"), ("g", "f3"))
+    got = rows(graph.reached(frame(spark, "a string", ("f0",)), links, "a", "b"))
+    assert got == sorted(((f"f{k}", k) for k in range(68)), key=str)
+
+
 def test_similarity(spark):
     u = frame(spark, "unit string, terms array<string>", ("a", ["x", "y", "z"]), ("b", ["x", "y", "w"]), ("e", []), ("g", ["x", "", "y"]))
     f = similarity.features(u)
