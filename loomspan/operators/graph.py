@@ -112,18 +112,19 @@ def star_targets(stars: DataFrame, atoms: DataFrame) -> DataFrame:
     return best.select("file", "name", F.concat(F.lit("path:"), "base", F.lit("::"), "name").alias("target"))
 
 
-def chained(uses: DataFrame, segments: DataFrame, members: DataFrame, most: int = 8) -> DataFrame:
+def chained(uses: DataFrame, segments: DataFrame, members: DataFrame) -> DataFrame:
     """use_id, idx, ref: a dotted use followed segment by segment; it ends at the first that is unknown.
 
     ``uses`` has the reference of the first segment; ``members`` maps (ref, name) to ref.
     """
     out = now = uses.select("file", "use_id", F.lit(0).alias("idx"), "ref")
     step = members.select(F.col("ref"), F.col("name"), F.col("target"))
-    for k in range(1, most + 1):
+    for k in itertools.count(1):  # until no use has a segment that is known
         seg = segments.where(F.col("idx") == k).select("file", "use_id", "name")
-        now = now.join(seg, ["file", "use_id"]).join(step, ["ref", "name"]).select("file", "use_id", F.lit(k).alias("idx"), F.col("target").alias("ref"))
+        now = staged(now.join(seg, ["file", "use_id"]).join(step, ["ref", "name"]).select("file", "use_id", F.lit(k).alias("idx"), F.col("target").alias("ref")))
+        if now.isEmpty():
+            return out
         out = out.unionByName(now)
-    return out
 
 
 def canonical(refs: DataFrame, links: DataFrame, hops: int = 16) -> DataFrame:

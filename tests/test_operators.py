@@ -130,6 +130,14 @@ def test_reachability_follows_long_chains_and_circles(spark):
     assert got == sorted(((f"f{k}", k) for k in range(68)), key=str)
 
 
+def test_dotted_uses_are_followed_to_their_end(spark):
+    seg = frame(spark, "file string, use_id int, idx int, name string", *(("f", 0, k, "p") for k in range(1, 13)), ("f", 1, 1, "p"), ("f", 1, 3, "p"))
+    members = frame(spark, "ref string, name string, target string", *((f"m{k}", "p", f"m{k + 1}") for k in range(20)))
+    uses = frame(spark, "file string, use_id int, ref string", ("f", 0, "m0"), ("f", 1, "m0"))
+    want = [("f", 0, k, f"m{k}") for k in range(13)] + [("f", 1, 0, "m0"), ("f", 1, 1, "m1")]
+    assert rows(graph.chained(uses, seg, members)) == sorted(want, key=str)
+
+
 def test_similarity(spark):
     u = frame(spark, "unit string, terms array<string>", ("a", ["x", "y", "z"]), ("b", ["x", "y", "w"]), ("e", []), ("g", ["x", "", "y"]))
     f = similarity.features(u)
