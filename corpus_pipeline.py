@@ -20,10 +20,16 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_kept"), "left_semi")
-    return out.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Rows are told apart by 64-bit hashes of id and text, so rows without an id or with a
+    repeated one count on their own. The smallest id of a group stays, none before any.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = neardup.near_duplicates(keyed, id_col="_key", width=5, percent=80).select("_key", "component_id").distinct()
+    first = keyed.select("_key", "doc_id").join(found, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_first"))
+    out = keyed.join(first.select(F.col("_first._key").alias("_kept")), F.col("_key") == F.col("_kept"), "left_semi")
+    return out.drop("_key").dropDuplicates(["doc_id", "text"])
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

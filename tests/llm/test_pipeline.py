@@ -38,3 +38,14 @@ def test_each_stage_does_its_work(spark, tmp_path):
         if name == "repeats":
             assert after[8][0].text == before[8].text and len(after[3][0].text) < 500 and after[3][0].n_chars == len(after[3][0].text)
     assert set(after) == {0, 3, 4, 8} and set(now.columns) >= {"sequence_id", "offset"}
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    texts = [words(120, k) for k in range(20, 24)]
+    near = [t.rsplit(" ", 1)[0] + " changed" for t in texts]
+    rows = [(None, texts[0]), (None, near[0]), (1, texts[1]), (2, near[1]), (2, texts[2]), (2, texts[2]), (3, texts[3]), (3, near[3]), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    alone = [(1, texts[1]), (2, texts[2]), (None, None), (4, "")]
+    pairs = [{(None, texts[0]), (None, near[0])}, {(3, texts[3]), (3, near[3])}]
+    assert len(got) == 6 and set(alone) < set(got) and all(len(p & set(got)) == 1 for p in pairs)
