@@ -74,8 +74,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def blended(weighted: Column, a: Column, b: Column) -> Column:
-    """The weighted Jaccard similarity with a little of SimHash's."""
-    return 0.85 * weighted + 0.15 * (1 - hamming(a, b) / 64.0)
+    """The weighted Jaccard similarity with a little of SimHash's; SimHash's alone where a side has no features and so no hash (null)."""
+    alike = 1 - hamming(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))) / 64.0
+    return F.when(a.isNull() | b.isNull(), alike).otherwise(0.85 * weighted + 0.15 * alike)
 
 
 def hole_numbers(cells: DataFrame) -> DataFrame:

@@ -539,7 +539,7 @@ def blended_similarity(spark, sf_dir):
     f = similarity.features(u)
     h = similarity.simhash(f)
     s = similarity.pair_scores(f, _turn_pairs(u))
-    s = s.join(h.select(F.col("unit").alias("a"), F.col("simhash").alias("x")), "a").join(h.select(F.col("unit").alias("b"), F.col("simhash").alias("y")), "b")
+    s = s.join(h.select(F.col("unit").alias("a"), F.col("simhash").alias("x")), "a", "left").join(h.select(F.col("unit").alias("b"), F.col("simhash").alias("y")), "b", "left")
     return s.select("a", "b", F.round(similarity.blended(F.col("weighted"), F.col("x"), F.col("y")), 9).alias("score"))
 
 

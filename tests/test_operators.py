@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from loomspan import model
+from loomspan import model, queries
 from loomspan.functions import paths, text as texts
 from loomspan.operators import graph, relations, rules, similarity, spans, tape
 from loomspan.plans.rules import load
@@ -150,6 +150,14 @@ def test_similarity(spark):
     assert h & (1 << 64) - 1 == want
 
 
+def test_pairs_with_an_empty_turn_have_a_score(spark, tmp_path):
+    turns = (("c", 0, "one two"), ("c", 1, "one two"), ("c", 2, ""), ("c", 3, ""))
+    frame(spark, "conv_id string, turn int, text string", *turns).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [r.score for r in queries.blended_similarity(spark, str(tmp_path)).orderBy("a").collect()]
+    one = similarity.simhash(similarity.features(frame(spark, "unit string, terms array<string>", ("u", ["one", "two"])))).first().simhash
+    assert got == [1.0, round(1 - one.bit_count() / 64, 9), 1.0]
+
+
 def test_paths_and_references(spark):
     assert rows(frame(spark, "p string", ("src/a.go",), ("a.go",), ("src/x/a.py",)).where(paths.matches_glob(F.col("p"), "src/**/*.go"))) == [("src/a.go",)]
     refs = ["Go:net/http::Get", "a/b.py::f", "./x", "name", "/abs", "x::y"]
