@@ -192,6 +192,24 @@ def test_url_filter_has_no_false_negatives(spark):
     assert keys.selectExpr("concat('x', key) as key").where(urlfilter.may_contain(F.col("key"), found)).count() < 600
 
 
+def test_url_filter_grows_with_its_rules(spark):
+    n = 100_000
+    keys = spark.range(n).selectExpr("concat('k', id) as key")
+    blocks = urlfilter.size_for(n)
+    table = urlfilter.block_table(keys, "key", blocks)
+    assert blocks > 8192 and urlfilter.possible(keys, "key", table, blocks, True).count() == n
+    assert urlfilter.possible(keys.selectExpr("concat('x', key) as key"), "key", table, blocks, True).count() < n / 20
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+def test_a_table_of_blocks_changes_no_verdict(spark, broadcast_rows):
+    rules = [urlfilter.Rule(v, h, p) for v, h, p in (("block", "net", "/"), ("allow", "a.net", "/x/"), ("block", "b.org", ""))]
+    urls = [None, "", "http://net/", "http://a.net/x/1", "http://a.net/x/1", "http://c.a.net/y", "http://b.org", "http://org/", "http://q.b.org/z?x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = urlfilter.judge_urls(pages, rules, literal_blocks=0, broadcast_rows=broadcast_rows).collect()
+    assert sorted(got) == sorted(urlfilter.judge_urls(pages, rules).collect()) and len(got) == len(urls)
+
+
 def base_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
