@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 from ..storage import read_table, shared_dir, staged  # noqa: F401
 
 
+BATCH_BYTES = "4m"
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of about BATCH_BYTES, however long the rows are.
+
+    Spark counts rows unless told otherwise, and each task holds a batch in the JVM and one
+    in its worker. The bound is a setting of the session, which keeps it.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(work, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of ``text`` (one row at least)."""
     for batch in batches:

@@ -8,33 +8,40 @@ drops what is far below the bound; the rest is confirmed on the full sets.
 
 Texts with equal sets are one class from the start. In each bucket of a band, all
 members meet the first one, the hub. What stays in other components than most is compared
-with the rest: in small buckets directly; in large ones by what texts have beyond a
-common core. With i shingles of the core and c shared beyond it, two sets have at
-most min(i, i') + c in common, so only pairs for which that is enough are confirmed:
-every link is found, and the pairs do not grow with the square of a group.
+with the rest: in small buckets directly. Large buckets whose members are mostly of
+one component make a family, and its members meet by how they differ from a pivot, one
+text of that component. Let D be the symmetric difference of a set and the pivot's. Two
+sets x, y are similar enough exactly if their symmetric difference is at most
+T = (1 - s) / (1 + s) * (|x| + |y|), that is, if Dx and Dy share at least
+(|Dx| + |Dy| - T) / 2 elements. For x too far from the pivot to be linked with it this is more
+than 0 for every y, so an equi-join on the rarest elements of each D, only as many as that
+bound leaves, finds all such pairs; those that are near the pivot are linked with it. No
+link is lost, and pairs that meet have something rare in common that the pivot has not (or lacks
+what it has).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .codec import _Hashes
-from .common import slices, staged, strings
+from .common import mapped, slices, staged, strings
+from .words import split
 
 BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.09, 4.0, 255
-SAMPLE = 17  # members that a core is drawn from
+LOAD = 512  # texts that are compared with one copy of another text
+FILTER_WORDS = 1 << 20  # of 64 bits, at most, in the filter of wanted ids
 SMALL = 32  # members of buckets in which components are compared directly
 MARGIN = 0.13  # five standard deviations of the estimate
 
-_HASHES = _Hashes()
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _draw = np.random.default_rng(20240229)
 _FACTORS = _draw.integers(0, 1 << 32, REGISTERS, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -42,15 +49,16 @@ _SHIFTS = _draw.integers(0, 1 << 32, REGISTERS, np.uint64).astype(np.uint32)
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
-    """The sorted 64-bit hashes of each text's distinct ``width``-word shingles.
+    """The sorted 64-bit hashes of each text's distinct ``width``-word shingles, made of exact keys of the words.
 
     A-Z count as a-z; words are runs without ASCII white space. Fewer words make one
     shingle of them all; no word makes an empty set.
     """
     raw = [x.encode().translate(_LOWER) for x in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
-    starts, _, keys = _HASHES.words(np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8))
-    ends = np.searchsorted(starts, np.cumsum(sizes + 1))
+    found = split(b"\n".join(raw))
+    keys = found.hash
+    ends = np.searchsorted(found.start, np.cumsum(sizes + 1))
     shingles = np.zeros(len(keys), np.uint64)
     for k in range(width):
         part = keys[k:]
@@ -71,6 +79,14 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
+def exact_set(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The set itself, of words and not of hashes."""
+    w = text.encode().translate(_LOWER).split()  # bytes are split at ASCII white space
+    if len(w) < width:
+        return {tuple(w)} if w else set()
+    return set(zip(*(w[k:] for k in range(width)), strict=False))
+
+
 def _mix(h: np.ndarray, key: np.ndarray) -> np.ndarray:
     h = (h ^ key) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0xD6E8FEB86659FD93)
     return h ^ h >> np.uint64(32)
@@ -119,7 +135,7 @@ def sketched(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["id", "n", "digest", "sketch"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("t"))
-    return staged(rows.mapInArrow(work, "id long, n long, digest binary, sketch binary"))
+    return staged(mapped(rows, work, "id long, n long, digest binary, sketch binary"))
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -137,7 +153,7 @@ def banded(classes: DataFrame) -> DataFrame:
             rep = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, BANDS)), pa.array(h.ravel().view(np.int64))], ["rep", "band"])
 
-    return classes.select("rep", "sketch").mapInArrow(work, "rep long, band long")
+    return mapped(classes.select("rep", "sketch"), work, "rep long, band long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -155,27 +171,82 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 keep = np.flatnonzero(est >= least - MARGIN)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), part.column(1).take(pa.array(keep)), pa.array(est[keep])], ["a", "b", "est"])
 
-    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(work, "a long, b long, est double")
+    return mapped(both.select("a", "b", "n_a", "n_b", "s_a", "s_b"), work, "a long, b long, est double")
+
+
+def wanted(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``source`` whose id is among the distinct ``ids``.
+
+    Before texts are moved, a blocked Bloom filter of the ids (FILTER_WORDS words at
+    most) drops nearly all others in the scan; beyond some million ids it drops fewer, and
+    the join alone decides.
+    """
+    ids = staged(ids)
+    n = ids.count()
+    if not n:
+        return source.limit(0)
+    blocks = min(FILTER_WORDS, max(64, 1 << (n // 4).bit_length()))
+    h = F.xxhash64(F.lit(3), "id")
+    mask = F.expr(" | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(3, id), {k}) & 63 AS INT))" for k in (40, 46, 52, 58)))
+    rows = ids.select(F.pmod(h, F.lit(blocks)).cast("int").alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = np.zeros(blocks, np.int64)
+    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    shared = source.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def may_be(block: pd.Series, mask: pd.Series) -> pd.Series:
+        m = mask.to_numpy()
+        return pd.Series(shared.value[block.to_numpy()] & m == m)
+
+    some = source.where(may_be(F.pmod(h, F.lit(blocks)).cast("int"), mask))
+    return some.join(ids.hint("shuffle_hash"), "id")
+
+
+def beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows a, salt, side, id, t of each pair (a, id): the text of ``a`` (side 0) before those that meet it (side 1).
+
+    Columns beyond a and id are kept. Where many meet one text, it is repeated for each LOAD of
+    them, so no task holds a whole group. Partitions have whole (a, salt), sorted.
+    """
+    more = [c for c in pairs.columns if c not in ("a", "id")]
+    kinds = {f.name: f.dataType for f in pairs.schema.fields}
+    load = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LOAD).cast("int").alias("salts")))
+    sides = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), "id", *more)
+    own = load.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("id"), *(F.lit(None).cast(kinds[c]).alias(c) for c in more))
+    rows = sides.unionByName(own).hint("shuffle_hash").join(texts, "id")
+    return rows.select("a", "salt", "side", "id", "t", *more).repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "id", "t")
+
+
+def met(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list, object]]]]:
+    """Per batch of ``beside``: (row, what ``make`` gives for the texts of ``a``, what it gives for the row's own)."""
+    key, held = None, []
+    for batch in slices(batches, "t", 1 << 20):
+        out = []
+        made = make(strings(batch, "t"))
+        for k, (a, salt, side) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+            if (a, salt) != key:
+                key, held = (a, salt), []
+            if side == 0:
+                held = [*held, made[k]]  # a repeated id has several texts
+            else:
+                out.append((k, held, made[k]))
+        if out:
+            yield batch, out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs a, b confirmed on full sets: 100 * intersection >= ``percent`` * union."""
+    """Pairs a, b confirmed on full sets of words: 100 * intersection >= ``percent`` * union."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t_a", 1 << 20):
-            n = batch.num_rows
-            sets = shingle_sets(strings(batch, "t_a") + strings(batch, "t_b"), width)
-            ok = []
-            for k, (x, y) in enumerate(zip(sets[:n], sets[n:], strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    ok.append(k)
-            at = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
-
-    side = lambda s: texts.select(F.col("id").alias(s), F.col("t").alias(f"t_{s}"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "t_a", "t_b").mapInArrow(work, "a long, b long")
+        def linked(x: set, y: set) -> bool:
+            both = len(x & y)
+            return bool(both) and 100 * both >= percent * (len(x) + len(y) - both)
+
+        for batch, rows in met(batches, lambda own: [exact_set(x, width) for x in own]):
+            at = pa.array([k for k, hubs, own in rows if any(linked(x, own) for x in hubs)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at)], ["a", "b"])
+
+    return mapped(beside(pairs.select("a", F.col("b").alias("id")), texts), work, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,17 +291,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     members = staged(bands.join(hubs, "band").select("band", "hub", "rep"))
 
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("t"))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts: DataFrame | None = None
 
-    def confirm(pairs: DataFrame, edges: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-        """Adds what holds of the likely ``pairs``: first each text's most likely partner, then what is still apart."""
+    def fetch(ids: DataFrame) -> DataFrame:
+        """Texts of these ids and all wanted before."""
         nonlocal texts
-        need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        ids = ids.distinct()
         if texts is not None:
-            need = need.join(texts.select("id").distinct(), "id", "left_anti")
-        more = staged(source.join(need, "id"))
+            ids = ids.join(texts.select("id").distinct(), "id", "left_anti")
+        more = staged(wanted(source, ids))
         texts = more if texts is None else texts.unionByName(more)
+        return texts
+
+    def confirm(pairs: DataFrame, edges: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+        """Adds what holds of the likely ``pairs``: first each text's most likely partner, then what is still apart."""
+        fetch(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
         best = staged(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", F.negate("a"))).alias("a")))
         edges = grown(edges, verified(best, texts, width, percent))
         labels = components(edges) if edges is not None else None
@@ -252,14 +328,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     own = staged(own.join(mixed, "band"))
     few = own.where(F.col("size") <= SMALL)
     other = few.select("band", F.col("rep").alias("b"), F.col("label").alias("l_b"))
-    met = few.withColumnRenamed("rep", "a").join(other, "band").where("a < b and label <> l_b").select("a", "b").distinct()
-    found = staged(likely(met.join(pairs, ["a", "b"], "left_anti"), classes, least))
-    large = own.where(F.col("size") > SMALL).select("hub", "rep", "label").distinct()
+    close = few.withColumnRenamed("rep", "a").join(other, "band").where("a < b and label <> l_b").select("a", "b").distinct()
+    large = own.where(F.col("size") > SMALL).select("band", "rep", "label")
     if not large.isEmpty():
-        need = large.select(F.col("hub").alias("id")).union(large.select("rep")).distinct()
-        have = source.join(need, "id") if texts is None else texts.join(need, "id", "left_semi").unionByName(source.join(need.join(texts.select("id").distinct(), "id", "left_anti"), "id"))
-        found = found.unionByName(beyond_core(staged(large), have, width, percent).withColumn("est", F.lit(least)))
-    found = staged(found.join(pairs, ["a", "b"], "left_anti").dropDuplicates(["a", "b"]))
+        close = close.unionByName(by_difference(large, fetch, width, percent))
+    found = staged(likely(close.distinct().join(pairs, ["a", "b"], "left_anti"), classes, least).dropDuplicates(["a", "b"]))
     if not found.isEmpty():
         edges, labels = confirm(found, edges)
 
@@ -273,51 +346,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def beyond_core(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs a, b of members (hub, rep, label) of one hub and different labels that can be similar enough.
+def by_difference(large: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int, percent: int) -> DataFrame:
+    """Pairs a, b of members (band, rep, label) of large buckets that can be similar enough and have different labels.
 
-    Of each member only what its set has beyond the core is compared: the shingles that
-    at least half of up to SAMPLE members have. Any core gives a right bound, a typical one a
-    tight bound. Members of the label that most of a hub's members have are not compared with each other.
+    The label that most members of a bucket have names its family. ``fetch`` gives the texts of
+    ids. See the module's head for why no pair that is similar enough is left out.
     """
-    side = texts.select(F.col("id").alias("rep"), "t")
-
-    def core_of(rows: pa.Table) -> pa.Table:
-        sets = shingle_sets(["" if x is None else x for x in rows.column("t").to_pylist()], width)
-        found, n = np.unique(np.concatenate(sets), return_counts=True)
-        return pa.table({"hub": rows.column("hub").slice(0, 1), "core": pa.array([found[2 * n >= len(sets)].view(np.int64)], pa.list_(pa.int64()))})
-
-    drawn = F.row_number().over(Window.partitionBy("hub").orderBy(F.xxhash64("rep"), "rep"))
-    sample = large.select("hub", "rep").distinct().withColumn("k", drawn).where(F.col("k") <= SAMPLE)
-    cores = staged(sample.join(side, "rep").select("hub", "t").groupBy("hub").applyInArrow(core_of, "hub long, core array<long>"))
+    sizes = large.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    family = sizes.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("family"))
+    members = staged(large.join(family, "band").select("family", "rep", "label").distinct())
+    pivots = members.where("label = family").groupBy("family").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("a"))
+    texts = fetch(members.select(F.col("rep").alias("id")))
+    far = (100 - percent) / (100 + percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1 << 20):
-            rows = []
-            cores = batch.column(4)
-            for k, own in enumerate(shingle_sets(strings(batch, "t"), width)):
-                core = cores[k].values.to_numpy().view(np.uint64)
-                more = np.setdiff1d(own, core, assume_unique=True)
-                rows.append((len(own), len(own) - len(more), more.view(np.int64)))
-            size, shared, more = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)] + [pa.array(size, pa.int64()), pa.array(shared, pa.int64()), pa.array(more, pa.list_(pa.int64()))], ["hub", "rep", "label", "n", "i", "more"])
-
-    both = large.join(side, "rep").join(cores, "hub").select("hub", "rep", "label", "t", "core")
-    measured = staged(both.mapInArrow(work, "hub long, rep long, label long, n long, i long, more array<long>"))
-    main = large.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    tails = staged(measured.join(main, "hub").where("label <> main"))
-    x = lambda df, *c: df.select("hub", *c)
-    enough = lambda most: 100 * most >= percent * (F.col("n") + F.col("n_b") - most)
-    apart_ = (F.col("label") != F.col("l_b")) & ((F.col("l_b") == F.col("main")) | (F.col("rep") < F.col("b")))
-    names = [F.col("rep").alias("b"), F.col("label").alias("l_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b")]
-    # sharing nothing beyond the core can be enough where texts are parts of it
-    plain = x(tails, "rep", "label", "main", "n", "i").join(x(measured, *names), "hub").where(apart_ & enough(F.least("i", "i_b")))
-    one = x(tails, "rep", "label", "main", "n", "i", F.explode("more").alias("e"))
-    two = x(measured, *names, F.explode("more").alias("e"))
-    met = one.join(two, ["hub", "e"]).where(apart_).groupBy("hub", "rep", "b", "n", "i", "n_b", "i_b").agg(F.count(F.lit(1)).alias("c"))
-    met = met.where(enough(F.least("i", "i_b") + F.col("c")))
-    pair = [F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")]
-    return plain.select(*pair).unionByName(met.select(*pair)).distinct()
+        for batch, rows in met(batches, lambda own: shingle_sets(own, width)):
+            out = []
+            for k, pivot, own in rows:
+                # a repeated id has several texts: the pivot is the first of them
+                more = np.setxor1d(own, pivot[0], assume_unique=True)
+                out.append((k, len(own), len(pivot[0]), more.view(np.int64)))
+            at, size, pivot_size, more = zip(*out, strict=True)
+            own = [batch.column(i).take(pa.array(at)) for i in (0, 3, 5, 6)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(pivot_size, pa.int64()), pa.array(more, pa.list_(pa.int64()))], ["pivot", "rep", "family", "label", "n", "n_pivot", "more"])
+
+    rows = beside(members.join(pivots, "family").select("a", F.col("rep").alias("id"), "family", "label"), texts)
+    measured = staged(mapped(rows, work, "pivot long, rep long, family long, label long, n long, n_pivot long, more array<long>"))
+    d = F.size("more")
+    tail = F.col("label") != F.col("family")
+    near = d <= far * (F.col("n") + F.col("n_pivot")) + 1e-6
+    plain = measured.where(tail & near).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+
+    # each set's rarest differences, as many as the bound leaves
+    each = measured.select("family", "rep", "label", "n", d.alias("d"), (tail & ~near).alias("tail"), F.explode("more").alias("e"))
+    common = each.groupBy("family", "e").agg(F.count(F.lit(1)).alias("k"), F.max("tail").alias("some")).where("k > 1")
+    order = Window.partitionBy("family", "rep", "n", "d").orderBy(F.desc_nulls_last("k"), "e")  # one set's own differences
+    ranked = each.join(common, ["family", "e"], "left").withColumn("left", F.row_number().over(order).cast("long"))
+    short = F.col("left") >= F.col("d") - F.floor(far * F.col("n") * (1 + 100 / percent) + 1e-6)
+    index = staged(ranked.where("some").where(short).select("family", "e", "rep", "label", "n", "d", "left", "tail"))
+    x = index.where("tail").select("family", "e", *(F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "d", "left")))
+    most = far * (F.col("n") + F.col("n_x")) + 1e-6
+    needed = (F.col("d") + F.col("d_x") - most) / 2
+    fits = (F.col("label") != F.col("label_x")) & (F.least("left", "left_x") >= needed) & (F.abs(F.col("d") - F.col("d_x")) <= most)
+    found = x.join(index, ["family", "e"]).where(fits).select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b"))
+    return plain.unionByName(found.distinct())
 
 
 def grown(edges: DataFrame | None, new: DataFrame) -> DataFrame | None:
