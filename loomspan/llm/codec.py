@@ -8,26 +8,33 @@ by byte, all words of a batch at once; the index summed up on the way selects th
 ids. Words that it lacks are merged exactly, lowest rank and leftmost first, all
 new words of a batch at once.
 
-Texts whose treatment depends on Unicode tables outside of Latin (or that spell a
+Words whose treatment depends on Unicode tables outside of Latin (or that spell a
 special token) go through the ``tokenizers`` library, so ids are always those of
-the library.
+the library; the other words of such texts are treated as all others. Words are
+remembered by exact keys (module ``words``).
 """
 
 from __future__ import annotations
 
+import atexit
 import json
 import mmap
 import os
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_scratch, slices, strings
+from .common import mapped, slices, strings
+from .words import Words, WordTable, split
 
 # Fixed values of the tokenizer file: its split pattern, for lower-cased Latin text.
 _LETTERS = "a-zªµºß-öø-ʯⱥⱦ"
@@ -35,6 +42,7 @@ _DIGITS = "0-9²³¹¼-¾"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
 _PIECE_OR_END = re.compile(f"{_PIECE.pattern}|\n")
 _FOREIGN = re.compile("[^\t-\r -~\xa1-įı-ɏ]")
+_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _WHOLE_WORD_END = "</w>"
 _LONG = 192  # bytes of a piece from which on the library's heap merges beat row-wise merges
 
@@ -267,14 +275,10 @@ class Transducer:
         return len(text).to_bytes(8, "little") + text + b"".join(body)
 
     @classmethod
-    def mapped(cls, data: bytes) -> Transducer:
-        """Put the automaton in a file of this process's folder, map it, unlink the name."""
-        path = local_scratch("lexicon")
-        with open(path, "w+b") as f:
-            f.write(data)
-            f.flush()
+    def mapped(cls, path: str) -> Transducer:
+        """Map the automaton's file; processes that map one file share its pages."""
+        with open(path, "rb") as f:
             view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        os.unlink(path)
         n = int.from_bytes(view[:8], "little")
         return cls({name: np.frombuffer(view, np.dtype(kind), count, 8 + n + at) for name, kind, count, at in json.loads(view[8 : 8 + n])})
 
@@ -314,72 +318,6 @@ class _Numbered(dict):
         return k
 
 
-class _Hashes:
-    """Words of a byte buffer by polynomial hashes modulo 2**64, with prefix sums: a few array operations for all."""
-
-    BASE = 0x9E6C63D0876A9A55  # odd, so powers have inverses
-
-    def __init__(self):
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def _reach(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 20)
-            self.powers, self.inverse = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
-
-    def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and hashes of the runs without white space; ``raw`` begins and ends with white space."""
-        edges = np.flatnonzero(np.diff(_IS_SPACE[raw].view(np.int8)))
-        starts, ends = edges[0::2] + 1, edges[1::2] + 1
-        self._reach(len(raw) + 1)
-        sums = np.cumsum(raw * self.powers[: len(raw)], dtype=np.uint64)
-        h = (sums[ends - 1] - sums[starts - 1]) * self.inverse[starts]
-        h = (h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xA0761D6478BD642F)
-        return starts, ends, h ^ h >> np.uint64(32)
-
-
-_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
-class _WordTable:
-    """Hashes of words to numbers, open addressing; grows by appending."""
-
-    def __init__(self, room: int):
-        self.bits = int(room * 2).bit_length()
-        self.mask = (1 << self.bits) - 1
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys = np.zeros(room, np.uint64)
-        self.size = 0
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.slots[at]
-        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & self.mask
-            out[open_] = found = self.slots[at[open_]]
-            open_ = open_[(found >= 0) & (self.keys[found] != keys[open_])]
-        return out
-
-    def add(self, keys: np.ndarray) -> None:
-        """New, distinct keys."""
-        pending = np.arange(self.size, self.size + len(keys), dtype=np.int32)
-        if pending.size and pending[-1] >= len(self.keys):
-            self.keys = np.concatenate((self.keys, np.zeros(len(keys) + len(self.keys), np.uint64)))
-        self.keys[pending] = keys
-        self.size += len(keys)
-        if self.size * 2 > len(self.slots):
-            self.bits = int(self.size * 2).bit_length()
-            self.mask, self.slots = (1 << self.bits) - 1, np.full(1 << self.bits, -1, np.int32)
-            pending = np.arange(self.size, dtype=np.int32)
-        at = (self.keys[pending] >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(pending):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = pending[free]
-            lost = self.slots[at] != pending
-            pending, at = pending[lost], (at[lost] + 1) & self.mask
-
-
 class WordCodec:
     """Encodes texts as the tokenizers library would, word by word.
 
@@ -387,18 +325,17 @@ class WordCodec:
     beyond that, words met once only are forgotten.
     """
 
-    def __init__(self, path: str, lexicon: Transducer | None = None, most: int = 1_000_000, most_pieces: int = 400_000, strings: bool = False):
+    def __init__(self, path: str, lexicon: Transducer | None = None, most: int = 1_000_000, most_pieces: int = 250_000, strings: bool = False):
         self.path, self.lexicon, self.most, self.most_pieces = path, lexicon, 200_000 if strings else most, most_pieces
         self.merges = Merges(path)
         self._library = None
         self.name = {i: t for t, i in self.merges.vocab.items()}
         self.strings = strings
-        self.hashes = _Hashes()
         self._forget()
         self._forget_pieces()
 
     def _forget(self) -> None:
-        self.table = _WordTable(self.most)
+        self.table = WordTable(self.most)
         self.starts, self.counts, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.int32)
         self.decimal: list[str] = []
@@ -451,32 +388,47 @@ class WordCodec:
             flat = np.concatenate(parts)
         return flat, sizes
 
-    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
+    def _of_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has: by the lexicon, the merges, or the library for foreign ones."""
+        shown = [w.decode() for w in words]
+        foreign = np.array([bool(_FOREIGN.search(x)) or any(t in x for t in _SPECIAL) for x in shown])
+        words = [x.lower().encode() for x in shown]
         places = self.lexicon.places(words) if self.lexicon else np.full(len(words), -1, np.int64)
+        places[foreign] = -1
         counts = np.zeros(len(words), np.int64)
-        known, rest = np.flatnonzero(places >= 0), np.flatnonzero(places < 0)
-        first = self.lexicon.out_start[places[known]].astype(np.int64) if len(known) else known
+        known, rest, other = np.flatnonzero(places >= 0), np.flatnonzero((places < 0) & ~foreign), np.flatnonzero(foreign)
+        first = known
         if len(known):
+            first = self.lexicon.out_start[places[known]].astype(np.int64)
             counts[known] = self.lexicon.out_start[places[known] + 1] - first
-        flat = np.empty(0, np.int32)
+        flat, own = np.empty(0, np.int32), np.empty(0, np.int32)
         if len(rest):
             flat, counts[rest] = self._merged([words[k] for k in rest.tolist()])
+        if len(other):
+            ids = [self.library.encode(shown[k], add_special_tokens=False).ids for k in other.tolist()]
+            counts[other], own = [len(x) for x in ids], np.array([i for x in ids for i in x], np.int32)
         starts = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int32)
         if len(known):
             out[_spread(starts[known], counts[known])] = self.lexicon.out_ids[_spread(first, counts[known])]
         out[_spread(starts[rest], counts[rest])] = flat
+        out[_spread(starts[other], counts[other])] = own
+        return out, counts
+
+    def _learn(self, words: list[bytes], keys: Words) -> None:
+        out, counts = self._of_new(words)
+        starts = np.cumsum(counts) - counts
         self.starts = np.concatenate((self.starts, starts + len(self.ids)))
         self.counts = np.concatenate((self.counts, counts))
         self.used = np.concatenate((self.used, np.zeros(len(words), np.int64)))
         self.ids = np.concatenate((self.ids, out))
-        self.table.add(keys)
+        self.table.add(keys.a, keys.b, keys.size)
         if self.strings:
-            name, all_ids = self.name, out.tolist()
+            all_ids = out.tolist()
             for a, n in zip(starts.tolist(), counts.tolist(), strict=True):
                 own_ids = all_ids[a : a + n]
                 self.decimal.append(" ".join(map(str, own_ids)))
-                self.shown.append(" ".join([name[i] for i in own_ids]))
+                self.shown.append(self.decode(own_ids))
 
     def _thin(self) -> None:
         if self.table.size <= self.most:
@@ -484,85 +436,88 @@ class WordCodec:
         keep = np.flatnonzero(self.used > 1)
         if len(keep) > self.most // 2:
             keep = np.sort(keep[np.argsort(self.used[keep], kind="stable")[-(self.most // 2) :]])
-        keys = self.table.keys[keep]
+        keys = self.table.a[keep], self.table.b[keep], self.table.n[keep]
         ids, counts, used, decimal, shown, starts = self.ids, self.counts, self.used, self.decimal, self.shown, self.starts
         self._forget()
-        self.table.add(keys)
+        self.table.add(*keys)
         self.counts, self.used = counts[keep], used[keep] // 2
         self.ids = ids[_spread(starts[keep], self.counts)]
         self.starts = np.cumsum(self.counts) - self.counts
         if self.strings:
             self.decimal, self.shown = [decimal[k] for k in keep.tolist()], [shown[k] for k in keep.tolist()]
 
-    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
-        """Word numbers of all texts, how many each text has, and the ids of texts left to the library."""
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts, and how many words each text has."""
         self._thin()
-        other: dict[int, list[int]] = {}
-        plain: list[str] = [""]
-        for k, text in enumerate(texts):
-            if _FOREIGN.search(text) or "<|startoftext|>" in text or "<|endoftext|>" in text:
-                other[k] = self.library.encode(text, add_special_tokens=False).ids
-                text = ""
-            plain.append(text)
-        plain.append("")
-        data = "\n".join(plain).lower().encode()
-        lengths = np.array([len(x) for x in plain[1:-1]], np.int64)
-        if len(data) != sum(map(len, plain)) + len(plain) - 1:  # not ASCII, or longer in lower case
-            lengths = np.array([len(x.lower().encode()) for x in plain[1:-1]], np.int64)
-        raw = np.frombuffer(data, np.uint8)
-        starts, ends, keys = self.hashes.words(raw)
-        sizes = np.diff(np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths + 1))), side="right"))
-        numbers = self.table.find(keys).astype(np.int64)
+        # case matters to the library only where a text has what the library must treat
+        plain = [x if _FOREIGN.search(x) or "<|" in x else x.lower() for x in texts]
+        data = "\n".join(plain).encode()
+        lengths = np.array([len(x) for x in plain], np.int64)
+        if len(data) != int(lengths.sum()) + max(0, len(plain) - 1):  # not ASCII
+            lengths = np.array([len(x.encode()) for x in plain], np.int64)
+        found = split(data)
+        sizes = np.diff(np.searchsorted(found.start, np.concatenate(([0], np.cumsum(lengths + 1)))))
+        h = found.hash
+        numbers = self.table.find(found, h).astype(np.int64)
         missed = np.flatnonzero(numbers < 0)
-        if len(missed):
-            new, at = np.unique(keys[missed], return_index=True)
-            first = missed[at]
-            self._learn([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], new)
-            numbers[missed] = self.table.find(keys[missed])
+        while len(missed):
+            _, at = np.unique(h[missed], return_index=True)  # of words with one hash, one at a time
+            new = found.take(missed[at])
+            self._learn([data[a:b] for a, b in zip(new.start.tolist(), new.end.tolist(), strict=True)], new)
+            numbers[missed] = self.table.find(found.take(missed), h[missed])
+            missed = missed[numbers[missed] < 0]
         self.used += np.bincount(numbers, minlength=len(self.used))
-        return numbers, sizes, other
+        return numbers, sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        numbers, sizes, other = self._numbers(texts)
+        numbers, sizes = self._numbers(texts)
         counts = self.counts[numbers]
         flat = self.ids[_spread(self.starts[numbers], counts)]
         ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(sizes)))]
-        return [np.array(other[k], np.int32) if k in other else flat[ends[k] : ends[k + 1]] for k in range(len(texts))]
+        return [flat[ends[k] : ends[k + 1]] for k in range(len(texts))]
 
     def encode_shown(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: how many ids, the ids in decimal, and the decoded text."""
-        numbers, sizes, other = self._numbers(texts)
-        counts, at = self.counts[numbers], 0
-        for k, n in enumerate(sizes.tolist()):
-            if k in other:
-                ids = other[k]
-                yield len(ids), " ".join(map(str, ids)), self.library.decode(ids, skip_special_tokens=False)
-                continue
-            own = numbers[at : at + n].tolist()
-            yield int(counts[at : at + n].sum()), " ".join([self.decimal[i] for i in own]), self.decode_words(own)
-            at += n
+        numbers, sizes = self._numbers(texts)
+        counts = self.counts[numbers]
+        some = counts > 0  # a word of what only Unicode counts as white space has no id
+        ends = np.cumsum(sizes)
+        for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            own = numbers[a:b][some[a:b]].tolist()
+            yield int(counts[a:b].sum()), " ".join([self.decimal[i] for i in own]), self.decode_words(own)
 
     def decode_words(self, numbers: list[int]) -> str:
         return " ".join([self.shown[i] for i in numbers])
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False): the tokens, joined by one space."""
-        name = self.name
-        return " ".join([name[i] if i in name else self.library.id_to_token(i) for i in np.asarray(ids).tolist() if i in name or self.library.id_to_token(i) is not None])
+        shown = [self.name[i] if i in self.name else self.library.id_to_token(i) for i in np.asarray(ids).tolist()]
+        return " ".join([x for x in shown if x is not None])
 
 
 _CODECS: dict[tuple, WordCodec] = {}
 
 
-def codec(path: str, lexicon: bytes | None = None, strings: bool = False) -> WordCodec:
-    """One codec for each Python worker; its memory of words serves all tasks."""
-    key = (path, hash(lexicon), strings)
+def codec(path: str, lexicon: str | None = None, strings: bool = False) -> WordCodec:
+    """One codec for each Python worker, with the lexicon of that file; its memory of words serves all tasks."""
+    key = (path, lexicon, strings)
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = WordCodec(path, Transducer.mapped(lexicon) if lexicon else None, strings=strings)
     return _CODECS[key]
 
 
+def shipped(spark: SparkSession, data: bytes) -> str:
+    """Give every executor the bytes as a file (Spark copies it once to each); returns its name there."""
+    folder = tempfile.mkdtemp(prefix="lexicon-")  # the driver's copy, from which Spark serves executors that come later
+    name = f"{uuid.uuid4().hex}.lexicon"
+    with open(os.path.join(folder, name), "wb") as f:
+        f.write(data)
+    spark.sparkContext.addFile(os.path.join(folder, name))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return name
+
+
 def frequent_words(docs: DataFrame, most: int = 50_000, share: float = 2e-6, text: str = "text") -> list[str]:
     """The ``most`` most frequent words of all texts.
 
@@ -576,17 +531,16 @@ def frequent_words(docs: DataFrame, most: int = 50_000, share: float = 2e-6, tex
         total, floor = 0, 0
         for batch in slices(batches, text):
             for x in strings(batch, text):
-                if not _FOREIGN.search(x):
-                    own = x.lower().split()
-                    total += len(own)
-                    seen.update(own)
+                own = x.lower().split()
+                total += len(own)
+                seen.update(own)
             if len(seen) > 400_000:  # lossy counting: what is rare so far loses its count
                 floor = max(floor + 1, int(total * share))
                 seen = Counter({w: n for w, n in seen.items() if n > floor})
-        keep = {w: n for w, n in seen.items() if n > max(1, total * share) and len(w) < 64}
+        keep = {w: n for w, n in seen.items() if n > max(1, total * share) and len(w) < 64 and not _FOREIGN.search(w)}
         yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.string()), pa.array(list(keep.values()), pa.int64())], ["word", "n"])
 
-    found = docs.select(F.col(text).alias(text)).mapInArrow(count, "word string, n long")
+    found = mapped(docs.select(F.col(text).alias(text)), count, "word string, n long")
     top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
     return [r.word for r in top.select("word").collect()]  # bounded by ``most``
 
@@ -607,10 +561,10 @@ def encode_documents(docs: DataFrame, path: str, lexicon: bytes, id_col: str = "
     """
     import hashlib
 
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the lexicon's ``most`` words
+    name = shipped(docs.sparkSession, lexicon)  # bounded by the lexicon's ``most`` words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, shared.value, strings=True)
+        own = codec(path, SparkFiles.get(name), strings=True)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in slices(batches, "t"):
             rows = [(n, sha(a), sha(b)) for n, a, b in own.encode_shown(strings(batch, "t"))]
@@ -618,5 +572,5 @@ def encode_documents(docs: DataFrame, path: str, lexicon: bytes, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(work, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")), work, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

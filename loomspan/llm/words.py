@@ -29,16 +29,14 @@ class Words(NamedTuple):
     def size(self) -> np.ndarray:
         return self.end - self.start
 
-    @property
-    def keys(self) -> np.ndarray:
-        """One row of three numbers for each word; rows are equal where words are."""
-        return np.stack([self.a, self.b, self.size.astype(np.uint64)], axis=1)
-
     @property
     def hash(self) -> np.ndarray:
         """64 bits of each key."""
         return hashed(self.a, self.b, self.size.astype(np.uint64))
 
+    def take(self, rows: np.ndarray) -> Words:
+        return Words(*(x[rows] for x in self))
+
 
 def hashed(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     h = (a ^ size * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
@@ -70,38 +68,39 @@ class WordTable:
     def __init__(self, room: int):
         self.bits = int(room * 2).bit_length()
         self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys = np.zeros((min(room, 1 << 16), 3), np.uint64)
+        self.a, self.b = np.zeros((2, min(room, 1 << 16)), np.uint64)
+        self.n = np.zeros(min(room, 1 << 16), np.int64)
         self.size = 0
 
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (hashed(keys[:, 0], keys[:, 1], keys[:, 2]) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, -1 for absent ones."""
-        at = self._home(keys)
+    def find(self, words: Words, h: np.ndarray) -> np.ndarray:
+        """The number of each word (``h``: its hash), -1 for absent ones."""
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.slots[at]
-        other = lambda found, own: (found >= 0) & (self.keys[found] != own).any(axis=1)
-        open_ = np.flatnonzero(other(out, keys))
+        size = words.size
+        open_ = np.flatnonzero((out >= 0) & ((self.a[out] != words.a) | (self.b[out] != words.b) | (self.n[out] != size)))
         while len(open_):
             at[open_] = (at[open_] + 1) & len(self.slots) - 1
             out[open_] = found = self.slots[at[open_]]
-            open_ = open_[other(found, keys[open_])]
+            other = (self.a[found] != words.a[open_]) | (self.b[found] != words.b[open_]) | (self.n[found] != size[open_])
+            open_ = open_[(found >= 0) & other]
         return out
 
-    def add(self, keys: np.ndarray) -> None:
-        """New, distinct keys."""
-        pending = np.arange(self.size, self.size + len(keys), dtype=np.int32)
-        self.size += len(keys)
-        if self.size > len(self.keys):
-            grown = np.zeros((max(self.size, 2 * len(self.keys)), 3), np.uint64)
-            grown[: self.size - len(keys)] = self.keys[: self.size - len(keys)]
-            self.keys = grown
-        self.keys[pending] = keys
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        """New, distinct words by their keys."""
+        pending = np.arange(self.size, self.size + len(a), dtype=np.int32)
+        self.size += len(a)
+        if self.size > len(self.a):
+            room = max(self.size, 2 * len(self.a))
+            for name in ("a", "b", "n"):
+                own = getattr(self, name)
+                setattr(self, name, np.concatenate((own, np.zeros(room - len(own), own.dtype))))
+        self.a[pending], self.b[pending], self.n[pending] = a, b, n
         if self.size * 2 > len(self.slots):
             self.bits = int(self.size * 2).bit_length()
             self.slots = np.full(1 << self.bits, -1, np.int32)
             pending = np.arange(self.size, dtype=np.int32)
-        at = self._home(self.keys[pending])
+        h = hashed(self.a[pending], self.b[pending], self.n[pending].astype(np.uint64))
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(pending):
             free = self.slots[at] < 0
             self.slots[at[free]] = pending[free]  # of those that want a free slot, one wins
