@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import _Hashes
-from .common import slices, strings
+from . import words as exact
+from .common import mapped, slices, strings
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
-_HASHES = _Hashes()
 
 
 class Texts:
@@ -42,11 +41,19 @@ class Texts:
         return self._known[name]
 
     def only(self, rows: np.ndarray) -> Texts:
-        """The chosen texts, with the per-text measures known so far."""
+        """The chosen texts, with all that is known of them so far."""
         if len(rows) == len(self):
             return self
         out = Texts([self.texts[k] for k in rows.tolist()])
         out._known = {k: v[rows] for k, v in self._known.items() if k not in ("raw", "words")}
+        if "raw" in self._known:
+            out._known["raw"] = [self.raw[k] for k in rows.tolist()]
+        if "words" in self._known:
+            doc, words = self.words
+            number = np.full(len(self), -1)
+            number[rows] = np.arange(len(rows))
+            own = number[doc] >= 0
+            out._known["words"] = number[doc[own]], exact.Words(*(x[own] for x in words))
         return out
 
 
@@ -58,12 +65,16 @@ def _without(t: Texts, letters: bytes) -> np.ndarray:
     return np.array([len(r) - len(r.translate(None, letters)) for r in t.raw], np.int64)
 
 
-def _words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and start of each word of the batch."""
+def _words(t: Texts) -> tuple[np.ndarray, exact.Words]:
+    """Text number of each word of the batch, and the words."""
     sizes = np.array([len(r) for r in t.raw], np.int64)
-    starts, _, keys = _HASHES.words(np.frombuffer(b"\n" + b"\n".join(t.raw) + b"\n", np.uint8))
-    begins = np.cumsum(sizes + 1) - sizes
-    return np.searchsorted(begins, starts, side="right") - 1, keys, starts
+    found = exact.split(b"\n".join(t.raw))
+    return np.searchsorted(np.cumsum(sizes + 1), found.start, side="right"), found
+
+
+def _same(words: exact.Words, x: np.ndarray | slice, y: np.ndarray | slice) -> np.ndarray:
+    """Whether the words at ``x`` are those at ``y``."""
+    return (words.a[x] == words.a[y]) & (words.b[x] == words.b[y]) & (words.size[x] == words.size[y])
 
 
 def _n_words(t: Texts) -> np.ndarray:
@@ -72,7 +83,8 @@ def _n_words(t: Texts) -> np.ndarray:
 
 def _repeat_words(t: Texts, width: int = 5) -> np.ndarray:
     """Words that lie in a window of ``width`` words found twice or more in the text."""
-    doc, key, _ = t.words
+    doc, words = t.words
+    key = words.hash
     n = len(doc) - width + 1
     if n < 1:
         return np.zeros(len(t), np.int64)
@@ -84,6 +96,11 @@ def _repeat_words(t: Texts, width: int = 5) -> np.ndarray:
     h = (h[whole] + doc[whole].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xA0761D6478BD642F)
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
+    pairs = np.flatnonzero(same)  # equal hashes: the words decide
+    x, y = whole[order[pairs]], whole[order[pairs + 1]]
+    for k in range(width):
+        same[pairs] &= _same(words, x + k, y + k)
+    same[pairs] &= doc[x] == doc[y]
     twice = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(order) else np.zeros(0, bool)
     at = whole[order[twice]]
     mark = np.zeros(len(doc) + 1, np.int64)
@@ -104,8 +121,8 @@ def _lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _stutter(t: Texts) -> np.ndarray:
     """Words equal to the word before."""
-    doc, key, _ = t.words
-    same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
+    doc, words = t.words
+    same = _same(words, slice(1, None), slice(None, -1)) & (doc[1:] == doc[:-1])
     return np.bincount(doc[1:][same], minlength=len(t))
 
 
@@ -138,14 +155,27 @@ DEFAULT = (
     *BASE,
     QualityRule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
     QualityRule("shouting", lambda t: (2 * t.cased[:, 0] > t.cased[:, 1]) & (t.cased[:, 1] >= 40)),
-    QualityRule("stutter", lambda t: 2 * t.stutter > t.n_words),
+    QualityRule("stutter", lambda t: 4 * t.stutter > t.n_words),
     QualityRule("repeated_lines", lambda t: 2 * t.n_dup_lines > t.lines[:, 0]),
     QualityRule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 20 * t.n_words)),
 )
 
 
+def sampled(docs: DataFrame, rows: int, files: int = 4) -> DataFrame:
+    """About ``rows`` rows, drawn evenly from ``files`` files spread over the table (from all of it, if it isn't made of files).
+
+    Only these files are read, and nothing is shuffled.
+    """
+    every = sorted(docs.inputFiles())
+    if len(every) > files:
+        chosen = [every[k * len(every) // files] for k in range(files)]
+        docs = docs.where(F.col("_metadata.file_path").isin(chosen))
+    n = docs.count()
+    return docs.sample(min(1.0, rows / n), seed=7) if n else docs
+
+
 def measure(docs: DataFrame, rules: tuple[QualityRule, ...], text: str = "text", sample_rows: int = 2000) -> dict[str, tuple[float, float]]:
-    """Cost (seconds a text) and selectivity (share rejected) of each rule on at most ``sample_rows`` rows."""
+    """Cost (seconds a text) and selectivity (share rejected) of each rule on about ``sample_rows`` rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 1 << 20):
@@ -155,7 +185,7 @@ def measure(docs: DataFrame, rules: tuple[QualityRule, ...], text: str = "text",
                 rejected = int(np.count_nonzero(rule.rejects(t)))
                 yield pa.RecordBatch.from_arrays([pa.array([rule.name]), pa.array([time.perf_counter() - began]), pa.array([rejected]), pa.array([len(texts)])], ["rule", "s", "rejected", "n"])
 
-    found = docs.select(F.col(text).alias("t")).limit(sample_rows).mapInArrow(work, "rule string, s double, rejected long, n long")
+    found = mapped(sampled(docs, sample_rows).select(F.col(text).alias("t")), work, "rule string, s double, rejected long, n long")
     rows = found.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()
     return {r.rule: (r.s / r.n, r.rejected / r.n) for r in rows}
 
@@ -180,31 +210,37 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tu
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     A null text counts as the empty one; it has no words and fails. Words are runs
-    without ASCII white space, told apart by 64-bit hashes. Repeated rows give repeated
-    rows. Only ``id_col`` and ``text`` are read. Upper case is judged on ASCII letters.
+    without ASCII white space, told apart exactly. Repeated rows give repeated rows, no
+    row gives none. Only ``id_col`` and ``text`` are read. Upper case is judged on ASCII
+    letters. The counts returned are worked out once for all rows; what else the rules
+    need, only for the texts that get that far.
     """
     order = ordered(rules, measure(docs, rules, text, sample_rows))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
             t = Texts(strings(batch, "t"))
+            counts = [pa.array(np.asarray(getattr(t, k), np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             kept = np.zeros(len(t), bool)
             kept[cascade(t, order)] = True
             failed = BASE[0].rejects(t) | BASE[1].rejects(t)
-            counts = [pa.array(np.asarray(getattr(t, k), np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(failed), pa.array(kept & ~failed)], ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(work, schema).withColumnRenamed("id", id_col)
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")), work, schema).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[QualityRule, ...] = DEFAULT, sample_rows: int = 2000) -> DataFrame:
-    """The rows whose text passes the cascade, with all their columns."""
+    """The rows whose text passes the cascade, with all their columns.
+
+    A null text counts as the empty one and goes with ``few_words``. Each row is judged
+    by its text alone, so repeated rows stay or go together and ties do not arise.
+    """
     order = ordered(rules, measure(docs, rules, text, sample_rows))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             yield batch.take(pa.array(cascade(Texts(strings(batch, text)), order)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return mapped(docs, work, docs.schema)
