@@ -19,15 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .codec import codec
-from .common import shared_dir, slices, staged, strings
+from .common import mapped, shared_dir, slices, staged, strings
 
 MAGIC = b"LOOMSST1"
 _FOOTER = struct.Struct("<QQQQQQI8s")  # index place, size; filter place, size; entries, ids; CRC of both; magic
 RESTART = 16
+READERS = 10_000
 
 
 def _varint(n: int) -> bytes:
@@ -76,7 +78,7 @@ def _bloom_bits(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Writer:
-    """Writes one file; keys must not fall. Equal keys keep their order."""
+    """Writes one file; keys must not fall. Entries with equal keys keep the order in which they are added."""
 
     def __init__(self, out, block: int = 1 << 16):
         self.out, self.block = out, block
@@ -189,11 +191,13 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text", most: int = 64 << 20) -> DataFrame:
-    """Write documents in ascending id order; returns the list of files: file, first_key, last_key, n_docs, n_ids, n_bytes.
+    """Write documents in ascending id order; returns the list of files: file, part, number, first_key, last_key, n_docs, n_ids, n_bytes.
 
     Range partitions are written by their tasks, each into files of about ``most``
-    bytes with names of their own; a file that a lost task left is in no list. Rows
-    without an id count as id -2**63. Null texts have ``end_id`` alone.
+    bytes with names of their own; a file that a lost task left is in no list. Files follow
+    each other by part and number. Rows without an id count as id -2**63. Null texts have
+    ``end_id`` alone. Rows with one id follow each other by a hash of the text; they can lie
+    in several partitions, so an id that many rows have is no task's burden.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +206,12 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
         system.create_dir(base, recursive=True)
         writer = out = None
         rows = []
+        part = TaskContext.get().partitionId()
 
         def end() -> None:
             writer.finish()
             out.close()
-            rows.append((f"{folder}/{name}", writer.keys[0], writer.keys[-1], writer.entries, writer.n_ids, writer.at))
+            rows.append((f"{folder}/{name}", part, len(rows), writer.keys[0], writer.keys[-1], writer.entries, writer.n_ids, writer.at))
 
         for batch in slices(batches, "t"):
             for key, ids in zip(batch.column(0).to_pylist(), own.encode(strings(batch, "t")), strict=True):
@@ -220,19 +225,25 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
                     writer = None
         if writer is not None:
             end()
-        kinds = [pa.string()] + [pa.int64()] * 5
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "first_key", "last_key", "n_docs", "n_ids", "n_bytes"])
+        kinds = [pa.string()] + [pa.int64()] * 7
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "part", "number", "first_key", "last_key", "n_docs", "n_ids", "n_bytes"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("t"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id")
-    return staged(dealt.mapInArrow(work, "file string, first_key long, last_key long, n_docs long, n_ids long, n_bytes long"))
+    # the place of a row in the input parts repeated rows, so the ranges can split them too
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    dealt = rows.repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h", "place").select("id", "t")
+    return staged(mapped(dealt, work, "file string, part long, number long, first_key long, last_key long, n_docs long, n_ids long, n_bytes long"))
 
 
 def read_shards(files: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """Rows of all files: id, start (ids of all documents before), n_tokens, ids_crc32 (and ids)."""
-    before = Window.orderBy("first_key", "last_key", "file").rowsBetween(Window.unboundedPreceding, -1)
-    listed = files.select("file", "n_bytes", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))  # one row a file
+    """Rows of all files: id, start (ids of all documents before), n_tokens, ids_crc32 (and ids).
+
+    Up to READERS tasks read, each its share of the files.
+    """
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    listed = files.select("part", "number", "file", "n_bytes", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))  # one row a file
+    readers = max(1, min(READERS, files.count()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
@@ -253,14 +264,14 @@ def read_shards(files: DataFrame, id_col: str = "doc_id", keep_ids: bool = False
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return listed.repartition(F.col("file")).mapInArrow(work, schema)
+    return mapped(listed.repartitionByRange(readers, "part", "number").select("file", "n_bytes", "base"), work, schema)
 
 
 def lookup(files: DataFrame, keys: list[int]) -> dict[int, list[np.ndarray]]:
     """Values of a few keys, each by binary search in the files whose range can have it."""
     out: dict[int, list[np.ndarray]] = {k: [] for k in keys}
     for key in keys:
-        for r in files.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "file").collect():
+        for r in files.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "number").collect():
             system, place = _open(r.file)
             with system.open_input_file(place) as source:
                 out[key] += Reader(source, r.n_bytes).get(key)
