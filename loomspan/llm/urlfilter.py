@@ -28,7 +28,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return ascii_lower(host), path
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case; other letters stay."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _key(host: Column, path: Column) -> Column:
@@ -78,8 +83,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "p
 
     A rule fits its host and all subdomains where the URL's path starts with the rule's;
     of rules of one length the longer host wins, then ``block``. URLs that no rule
-    fits get ``default``. Null and malformed URLs have an empty host and path. Repeated
-    rows give repeated rows; only ``id_col`` and ``url`` are read. The rules are joined by
+    fits get ``default``, and so does every URL where there is no rule. Null and malformed
+    URLs have an empty host and path. Hosts are compared with A-Z lower-cased, rules' and URLs'.
+    Repeated rows give repeated rows, no row gives none; only ``id_col`` and ``url`` are read. The rules are joined by
     broadcast only where they are counted to be at most ``broadcast_rows``. The filter
     grows with the rules: up to ``literal_blocks`` words are part of the scan, more are a
     table of blocks, which is broadcast up to ten times ``broadcast_rows`` (16 bytes each).
@@ -88,8 +94,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "p
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
     listed = rules.select(
-        _key(F.lower("host"), F.col("path")).alias("_key"),
-        F.concat(F.lower("host"), F.col("path")).alias("rule"), F.col("verdict"), F.length("host").alias("_h"), F.length(F.concat("host", "path")).alias("_n"),
+        _key(ascii_lower(F.col("host")), F.col("path")).alias("_key"),
+        F.concat(ascii_lower(F.col("host")), F.col("path")).alias("rule"), F.col("verdict"), F.length("host").alias("_h"), F.length(F.concat("host", "path")).alias("_n"),
     )
     listed = listed.groupBy("_key").agg(F.max_by(F.struct("rule", "verdict", "_h", "_n"), "verdict").alias("_r"))
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # at most the length of a URL
@@ -114,7 +120,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "p
         small = blocks <= 10 * broadcast_rows
         keyed = seen.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.explode(keys).alias("_key"))
         pairs = possible(keyed if small else keyed.distinct(), "_key", block_table(listed, "_key", blocks), blocks, small).distinct()
+        seen = seen.withColumn("_hits", F.lit(None).cast("array<string>"))
     joined = pairs.join(F.broadcast(listed) if n <= broadcast_rows else listed, "_key")
     best = joined.groupBy("_host", "_path").agg(F.max_by("_r", F.struct("_r._n", "_r._h", "_r.verdict")).alias("_best"))
-    out = seen.join(best, (seen["host"] == best["_host"]) & (seen["path"] == best["_path"]), "left")
-    return out.select(id_col, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    may = seen.where("_hits IS NULL OR size(_hits) > 0")
+    out = may.join(best, (may["host"] == best["_host"]) & (may["path"] == best["_path"]), "left")
+    out = out.select(id_col, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    # pages that the filter rules out are moved nowhere
+    none = seen.where("size(_hits) = 0").select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return out.unionByName(none)
