@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import mapped, slices, strings
 
 FRAME = 192  # samples a frame; payloads are padded to whole frames
 PACKET = 10 * FRAME
@@ -176,18 +176,26 @@ class Sound:
 
 
 def read(data: bytes) -> Sound:
-    """The payload of a stored file, checked against its index."""
+    """The payload of a stored file, checked against its index, which must cover all of it; OggError for any other file."""
     streams = demux(data)
     if set(streams) != {SOUND, INDEX}:
         raise OggError("not the two streams that are expected")
     sound, index = streams[SOUND], streams[INDEX]
-    if _SOUND_HEAD.unpack(sound.packets[0])[0] != b"pcm8mono" or _INDEX_HEAD.unpack(index.packets[0])[0] != b"crcindex":
-        raise OggError("unknown headers")
+    for stream, head, name in ((sound, _SOUND_HEAD, b"pcm8mono"), (index, _INDEX_HEAD, b"crcindex")):
+        first = stream.packets[0] if stream.packets else b""
+        if len(first) != head.size or head.unpack(first)[0] != name:
+            raise OggError("unknown headers")
     payload = b"".join(sound.packets[1:])
+    done = 0
     for entry in index.packets[1:]:
+        if len(entry) != _ENTRY.size:
+            raise OggError("an index packet of another size")
         first, n, crc = _ENTRY.unpack(entry)
-        if zlib.crc32(payload[first : first + n]) != crc:
+        if first != done or zlib.crc32(payload[first : first + n]) != crc:
             raise OggError(f"samples from {first} on differ from the index")
+        done += n
+    if done != len(payload):
+        raise OggError("the index does not cover the samples")
     if not sound.packets[1:] or sound.ends[-1] != len(payload):
         raise OggError("the last granule position differs from the samples")
     # within a page only the last packet's end is told; sizes give the others, backwards
@@ -233,7 +241,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(work, schema).withColumnRenamed("id", id_col)
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")), work, schema).withColumnRenamed("id", id_col)
 
 
 def packets(media: DataFrame, id_col: str = "doc_id", column: str = "media") -> DataFrame:
@@ -257,5 +265,5 @@ def packets(media: DataFrame, id_col: str = "doc_id", column: str = "media") ->
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], [pa.int64()] * 4 + [pa.string()], strict=True))], names)
 
     kind = media.schema[id_col].dataType.simpleString()
-    out = media.select(F.col(id_col).alias("id"), F.col(column).alias("m")).mapInArrow(work, f"id {kind}, serial long, packet long, granule long, n_bytes long, error string")
+    out = mapped(media.select(F.col(id_col).alias("id"), F.col(column).alias("m")), work, f"id {kind}, serial long, packet long, granule long, n_bytes long, error string")
     return out.withColumnRenamed("id", id_col)
