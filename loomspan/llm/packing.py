@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import codec
-from .common import ranked, slices, staged, strings
+from .common import mapped, ranked, slices, staged, strings
+
+
+PLAN_ROWS = 1 << 22  # of 32 bytes, that a plan may have
 
 
 @dataclass
@@ -205,18 +208,22 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(work, schema).withColumnRenamed("id", id_col)
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")), work, schema).withColumnRenamed("id", id_col)
 
 
 def pack(pieces: DataFrame, capacity: int, order: list[str], length: str = "length") -> DataFrame:
     """Add sequence_id and offset to rows that have a ``length`` from 1 to ``capacity``.
 
     Rows of one length are ranked over hash buckets, so neither a length that a
-    third of all rows have nor a large corpus lands in one task.
+    third of all rows have nor a large corpus lands in one task. The plan that is broadcast
+    has a row for each place of each run; runs end where some place changes its length, so their
+    number depends on ``capacity`` and the groups, not on how many rows there are; PLAN_ROWS is checked.
     """
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most ``capacity`` rows
     table = placements(plan(counts, capacity))
+    if len(table) > PLAN_ROWS:
+        raise ValueError(f"a plan of {len(table)} rows")
     shared = spark.sparkContext.broadcast((table["length"].to_numpy() << 40 | table["first"].to_numpy(), table["first"].to_numpy(), table["sequence"].to_numpy(), table["offset"].to_numpy()))
 
     @F.pandas_udf("sequence_id long, offset long")
