@@ -25,17 +25,23 @@ def languages(files: DataFrame, claims: DataFrame, globs: list[tuple[str, str]]
     return files.withColumn("_l", hits).withColumn("lang", one).drop("_l")
 
 
-def visible(scopes: DataFrame, declares: DataFrame, rounds: int = 64) -> DataFrame:
-    """file, scope_idx, leaf, ref, depth: declarations of a scope and of all scopes around it; depth 0 is the scope's own."""
+def visible(scopes: DataFrame, declares: DataFrame) -> DataFrame:
+    """file, scope_idx, leaf, ref, depth: declarations of a scope and of all scopes around it; depth 0 is the scope's own.
+
+    Scopes that lie around each other in a circle are an error.
+    """
     own = declares.select("file", "scope_idx", "leaf", "ref", F.lit(0).alias("depth"))
     out, last = own, staged(own)
     up = scopes.where("parent >= 0").select("file", F.col("idx").alias("child"), F.col("parent").alias("scope_idx"))
-    for depth in range(1, rounds + 1):
+    deepest = up.groupBy("file").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] + 1
+    for depth in range(1, deepest + 1):
         last = staged(last.join(up, ["file", "scope_idx"]).select("file", F.col("child").alias("scope_idx"), "leaf", "ref", F.lit(depth).alias("depth")))
         if last.isEmpty():
-            return out.dropDuplicates(["file", "scope_idx", "leaf", "ref"])
+            return out.groupBy("file", "scope_idx", "leaf", "ref").agg(F.min("depth").alias("depth"))
         out = out.unionByName(last)
-    raise RuntimeError("scopes are nested too deeply, or in a circle")
+    if not last.isEmpty() and deepest > 1:
+        raise RuntimeError("scopes lie in a circle")
+    return out.groupBy("file", "scope_idx", "leaf", "ref").agg(F.min("depth").alias("depth"))
 
 
 def declared_in(scopes: DataFrame, atoms: DataFrame, levels: int = 32) -> DataFrame:
@@ -83,14 +89,6 @@ def aliases(imports: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select(file_ref(F.col("file")).alias("ref"), F.when(whole, F.col("start")).otherwise(F.col("tstart")).alias("start"), F.when(whole, F.col("end")).otherwise(F.col("tend")).alias("end"), "target", "spec", "pstart", "pend")
 
 
-def peers(files: DataFrame, same_dir: bool = False) -> DataFrame:
-    """file, peer: other files of the language and package; ``same_dir``: of the folder too."""
-    keys = ["lang", "package"] + ["_dir"] * same_dir
-    own = files.withColumn("_dir", dir_of(F.col("file")))
-    other = own.select(*keys, F.col("file").alias("peer"))
-    return own.join(other, keys).where("file <> peer").select("file", "peer")
-
-
 def binds(uses: DataFrame, steps: list[DataFrame], keys: list[str]) -> DataFrame:
     """Uses with ``target_ref`` of the first step that knows one, and that step's number.
 

@@ -79,6 +79,14 @@ def _scan(df: DataFrame, a: Atom) -> DataFrame | None:
     return df.where(keep).select(*(c.alias(v) for v, c in seen.items())) if seen else df.where(keep).limit(1).select(F.lit(1).alias("_unit"))
 
 
+def _without(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows that are not among the known ones; a null is equal to a null."""
+    names = [f"_k{k}" for k in range(len(rows.columns))]
+    own, other = rows.toDF(*names).alias("n"), known.toDF(*names).alias("o")
+    same = reduce(lambda x, y: x & y, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in names])
+    return own.join(other, same, "left_anti").toDF(*rows.columns)
+
+
 def _shared(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in b.columns if c in a.columns]
 
@@ -91,7 +99,7 @@ class Program:
         """Bindings of a body; ``delta`` stands in for the relation of the atom ``instead``."""
         out: DataFrame | None = None
         for k, a in enumerate(c.body):
-            if a.relation.startswith("$"):
+            if a.relation.startswith("$") and a.relation not in tables:
                 out = self._builtin(out, a)
             else:
                 df = delta if k == instead else tables.get(a.relation)
@@ -152,32 +160,32 @@ class Program:
             cols = [x.cast(k) for x, k in zip(cols, kinds, strict=True)]
         return rows.select(*(x.alias(n) for x, n in zip(cols, columns, strict=True)))
 
-    def evaluate(self, tables: dict[str, DataFrame], rounds: int = 100) -> dict[str, DataFrame]:
-        """All relations after the three strata; each stratum runs to its fixed point."""
+    def evaluate(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """All relations after the three strata; each stratum runs to its fixed point, however many rounds that takes.
+
+        A round works on the rows that the one before found for the first time. Rows are
+        equal where all values are, nulls included, so a rule that finds them again ends.
+        """
         tables = dict(tables)
         for stratum in range(3):
             own = [c for c in self.clauses if c.stratum == stratum]
             heads = {c.head.relation for c in own}
             recursive = any(a.relation in heads for c in own for a in c.body)
             delta = self._round(own, tables, None)
-            for _ in range(rounds):
+            while delta:
                 fresh: dict[str, DataFrame] = {}
                 for name, rows in delta.items():
                     old = tables.get(name)
                     rows = rows.dropDuplicates()
                     if old is not None:
-                        rows = rows.join(old.distinct(), rows.columns, "left_anti") if rows.columns == old.columns else rows.exceptAll(old)
+                        rows = _without(rows, old)
                     if recursive:
                         rows = staged(rows)
                         if rows.isEmpty():
                             continue
                     fresh[name] = rows
-                    tables[name] = rows if old is None else old.unionByName(rows)
-                if not recursive or not fresh:
-                    break
-                delta = self._round(own, tables, fresh)
-            else:
-                raise RuntimeError(f"no fixed point after {rounds} rounds")
+                    tables[name] = rows if old is None else old.union(rows)
+                delta = self._round(own, tables, fresh) if recursive and fresh else {}
         return tables
 
     def _round(self, own: list[Clause], tables: dict[str, DataFrame], delta: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
@@ -199,19 +207,21 @@ class Program:
         return {n: reduce(DataFrame.union, dfs) for n, dfs in out.items()}
 
 
-def closure(edges: DataFrame, parent: str, child: str, rounds: int = 100) -> DataFrame:
-    """All (ancestor, descendant, depth) pairs of a forest, each at its smallest depth; doubles the depth in each round."""
-    paths = staged(edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant"), F.lit(1).alias("depth")).distinct())
+def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """All (ancestor, descendant, depth) pairs of a graph, each at its smallest depth; doubles the depth in each round.
+
+    In a circle each node is its own descendant. Edges with a null end lead nowhere.
+    """
+    ends = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant"), F.lit(1).alias("depth")).dropna().distinct()
+    paths = staged(ends)
     reach = 1
-    for _ in range(rounds):
+    while True:
         right = paths.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("to"), F.col("depth").alias("more"))
         longer = paths.where(F.col("depth") == reach).join(right, "descendant").select("ancestor", F.col("to").alias("descendant"), (F.col("depth") + F.col("more")).alias("depth"))
-        both = staged(paths.union(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
+        paths = staged(paths.union(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
         reach *= 2
-        if both.where(F.col("depth") >= reach).isEmpty():
-            return both
-        paths = both
-    raise RuntimeError("the graph has a cycle or is too deep")
+        if paths.where(F.col("depth") >= reach).isEmpty():
+            return paths
 
 
 #: Host relations that need no data beside their arguments.
@@ -237,3 +247,22 @@ PLAIN = {
     "$ref_file": Builtin(1, lambda r: F.filter(F.array(F.struct(F.regexp_extract(r, "^path:([^:]+)", 1).alias("o0"))), lambda x: x["o0"] != "")),
     "$span_ok": Builtin(2, lambda s, e: e > s),
 }
+
+
+def host_tables(specs: DataFrame | None = None, visible: DataFrame | None = None, members: DataFrame | None = None, renames: DataFrame | None = None, holes: DataFrame | None = None, places: DataFrame | None = None, moved: DataFrame | None = None, rewrites: DataFrame | None = None, sites: DataFrame | None = None, peers: DataFrame | None = None, sources: DataFrame | None = None, imported: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The host relations that are tables, by name; a clause reads them like any other relation.
+
+    ``$mod_resolve`` spec, file, base; ``$visible_at`` file, scope, name, ref; ``$hop`` ref, name, target;
+    ``$rename_leaf`` ref, new_text; ``$move_hole`` and ``$move_place``; ``$move_file`` (the moved
+    files, for ``$not_move_file`` use it negated); ``$rewrite_spec`` file, spec, new_spec (where they differ);
+    ``$rule`` number, file, start, end; ``$pkg_peer`` file, peer; ``$use_from`` file, scope, ref;
+    ``$import_member`` base, member, ref.
+    """
+    changed = None if rewrites is None else rewrites.where(~F.col("spec").eqNullSafe(F.col("new_spec"))).select("file", "spec", "new_spec")
+    given = {
+        "$mod_resolve": (specs, ["spec", "file", "base"]), "$visible_at": (visible, ["file", "scope_idx", "leaf", "ref"]), "$hop": (members, ["ref", "name", "target"]),
+        "$rename_leaf": (renames, ["ref", "new_text"]), "$move_hole": (holes, ["file", "start", "end"]), "$move_place": (places, ["file", "start", "end", "text"]),
+        "$move_file": (moved, ["file"]), "$rewrite_spec": (changed, ["file", "spec", "new_spec"]), "$rule": (sites, ["rule", "file", "start", "end"]),
+        "$pkg_peer": (peers, ["file", "peer"]), "$use_from": (sources, ["file", "scope", "ref"]), "$import_member": (imported, ["base", "member", "ref"]),
+    }
+    return {name: df.select(*columns).distinct() for name, (df, columns) in given.items() if df is not None}
