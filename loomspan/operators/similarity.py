@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,24 +45,30 @@ def pair_scores(feats: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", ratio(F.col("inter"), F.col("k_a") + F.col("k_b") - F.col("inter")).alias("jaccard"), ratio(F.col("low"), F.col("w_a") + F.col("w_b") - F.col("low")).alias("weighted"))
 
 
-def md5_hash(feature: Column) -> Column:
-    """60 bits of MD5 as a long; SQL engines agree on it."""
-    return F.conv(F.substring(F.md5(feature), 1, 15), 16, 10).cast("long")
+_OFFSET, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)  # fixed values of FNV-1a
+
+
+def fnv(texts: list[bytes]) -> np.ndarray:
+    """FNV-1a of 64 bits of each byte string, all strings one byte further at a time."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    raw, starts = np.frombuffer(b"".join(texts), np.uint8), (np.cumsum(sizes) - sizes)[order]
+    h = np.full(len(texts), _OFFSET)
+    for k in range(int(sizes.max(initial=0))):
+        live = int(np.searchsorted(-sizes[order], -k, side="left"))
+        h[:live] = (h[:live] ^ raw[starts[:live] + k]) * _PRIME
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 @F.pandas_udf(T.LongType())
 def fnv_hash(feature: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits as a signed long."""
-    def one(s: str) -> int:
-        h = 0xCBF29CE484222325
-        for b in s.encode():
-            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return h - (1 << 64) if h >> 63 else h
-
-    return feature.map(one)
+    return pd.Series(fnv([x.encode() for x in feature]).view(np.int64))
 
 
-def simhash(feats: DataFrame, hashed=md5_hash, bits: int = 60) -> DataFrame:
+def simhash(feats: DataFrame, hashed=fnv_hash, bits: int = 64) -> DataFrame:
     """unit, simhash: a bit is set where the features that have it outweigh those that don't."""
     h = feats.select("unit", "n", hashed(F.col("feature")).alias("h"))
     bit = lambda b: F.call_function("shiftright", F.col("h"), F.lit(b)).bitwiseAND(F.lit(1).cast("long"))
@@ -69,6 +80,69 @@ def simhash(feats: DataFrame, hashed=md5_hash, bits: int = 60) -> DataFrame:
     return sums.select("unit", out.alias("simhash"))
 
 
+def counted(terms: list[str | None]) -> Counter[str]:
+    """The features of one unit, as ``features`` has them."""
+    out: Counter[str] = Counter()
+    for k, a in enumerate(terms):
+        if a:
+            two = terms[k + 1] if k + 1 < len(terms) else None
+            three = terms[k + 2] if k + 2 < len(terms) else None
+            out[f"u:{a}"] += 1
+            if two:
+                out[f"b:{a}\0{two}"] += 1
+                if three:
+                    out[f"t:{a}\0{two}\0{three}"] += 1
+    return out
+
+
+def fingerprint(features: list[Counter[str]]) -> np.ndarray:
+    """The SimHash of each multiset as unsigned 64 bits."""
+    names = [f for c in features for f in c]
+    if not names:
+        return np.zeros(len(features), np.uint64)
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(f, len(number)) for f in names])
+    bits = np.unpackbits(fnv([f.encode() for f in number]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) * 2 - 1
+    weights = np.array([n for c in features for n in c.values()], np.int64)
+    sizes = np.array([len(c) for c in features], np.int64)
+    some = np.flatnonzero(sizes)
+    sums = np.zeros((len(features), 64), np.int64)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    for k in range(0, 64, 8):  # eight bits of all features at a time
+        sums[some, k : k + 8] = np.add.reduceat(bits[at, k : k + 8] * weights[:, None], starts, axis=0)
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def similarities(units: DataFrame, pairs: DataFrame, unit: str = "unit", terms: str = "terms") -> DataFrame:
+    """a, b, jaccard, weighted, alike (of SimHash), blended of each pair of units, from their terms.
+
+    Only the terms are moved, once for each side of a pair; features, hashes and scores are worked out
+    where a pair's terms meet. A unit without terms is like any other unit without terms.
+    """
+    side = lambda s: units.select(F.col(unit).alias(s), F.col(terms).alias(f"t_{s}"))
+    both = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "t_a", "t_b")
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                x, y = ([counted(t or []) for t in batch.column(c).to_pylist()] for c in (2, 3))
+                hashes = fingerprint(x + y)
+                differ = np.bitwise_count(hashes[: len(x)] ^ hashes[len(x) :])
+                rows = []
+                for p, q, d in zip(x, y, differ.tolist(), strict=True):
+                    shared = p.keys() & q.keys()
+                    low, total = sum(min(p[f], q[f]) for f in shared), p.total() + q.total()
+                    jaccard = len(shared) / (len(p) + len(q) - len(shared)) if p or q else 1.0
+                    weighted, alike = low / (total - low) if total else 1.0, 1 - d / 64.0
+                    rows.append((jaccard, weighted, alike, 0.85 * weighted + 0.15 * alike if p and q else alike))
+                scores = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *scores], ["a", "b", "jaccard", "weighted", "alike", "blended"])
+
+    return both.mapInArrow(work, f"a {kinds['a']}, b {kinds['b']}, jaccard double, weighted double, alike double, blended double")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
