@@ -5,8 +5,10 @@ from __future__ import annotations
 import posixpath
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def glob_regex(glob: str) -> str:
@@ -132,3 +134,29 @@ def rebased_import(spec: str, old: str, new: str) -> str:
     if not spec.startswith("."):
         return spec
     return relative_import(new, posixpath.normpath(posixpath.join(posixpath.dirname(old), spec)))
+
+
+@F.pandas_udf(StringType())
+def relative_to(source: pd.Series, target: pd.Series) -> pd.Series:
+    """``relative_import`` of columns."""
+    return pd.Series([None if a is None or b is None else relative_import(a, b) for a, b in zip(source, target, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def rebased(spec: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+    """``rebased_import`` of columns."""
+    return pd.Series([None if None in x else rebased_import(*x) for x in zip(spec, old, new, strict=True)], dtype=object)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """The folders that two paths share, from the root down."""
+    x, y = F.split(a, "/"), F.split(b, "/")
+    n = F.least(F.size(x), F.size(y)) - 1
+    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    same = F.filter(steps, lambda k: F.slice(x, 1, k) == F.slice(y, 1, k))
+    return F.array_join(F.slice(x, 1, F.size(same)), "/")
+
+
+def atom_name(name: Column) -> Column:
+    """The last part of an atom's name, without quotes or brackets around it: ``T.'x.md'`` gives ``x.md``."""
+    return F.regexp_replace(F.regexp_replace(leaf(name), r"^\[(.*)\]$", "$1"), "^([\"'`])(.*)\\1$", "$2")

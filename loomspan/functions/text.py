@@ -12,6 +12,11 @@ def byte_substring(text: Column, start: Column, end: Column) -> Column:
     return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")
 
 
+def slice_of(raw: Column, start: Column, end: Column) -> Column:
+    """The text of a byte range of an encoded text."""
+    return F.decode(F.substring(raw, start + 1, end - start), "UTF-8")
+
+
 def line_of(text: Column, at: Column) -> Column:
     """1-based line of a byte offset."""
     prefix = byte_substring(text, F.lit(0), at)
@@ -64,7 +69,8 @@ def occurrences(text: Column, word: str, whole: bool = True) -> Column:
     parts = F.split(text, around)
     sizes = F.transform(parts, lambda p: F.octet_length(p))
     n = len(word.encode())
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: (F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda a, x: a + x) + (k - 1) * n).cast("int")) if word else F.array().cast("array<int>")
+    nth = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(nth, lambda k: (F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda a, x: a + x) + (k - 1) * n).cast("int")) if word else F.array().cast("array<int>")
 
 
 def term(text: Column, cls: Column, target: Column, hole: Column | None = None) -> Column:
@@ -78,6 +84,30 @@ def term(text: Column, cls: Column, target: Column, hole: Column | None = None)
     return plain if hole is None else F.when(hole.isNotNull(), F.concat(F.lit("%r"), hole.cast("string"))).otherwise(plain)
 
 
+def name_list(parts: Column) -> Column:
+    """Names of a list of names (array of struct<text, before>): after a comma a new one begins, after anything else the last one goes on."""
+
+    def add(acc: Column, x: Column) -> Column:
+        new = (F.size(acc) == 0) | x["before"].rlike(r"^\s*,\s*$")
+        last = F.concat(F.get(acc, F.size(acc) - 1), F.lit("."), x["text"])
+        return F.when(new, F.array_append(acc, x["text"])).otherwise(F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), last))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), add)
+
+
+def qualified(text: Column, names: Column, qualifier: Column) -> Column:
+    """A text with ``qualifier.`` before each identifier of ``names`` that has no dot before it."""
+    word = lambda n: F.concat(F.lit(r"(?<![A-Za-z0-9_.])"), n, F.lit(r"(?![A-Za-z0-9_])"))
+    return F.when(qualifier == "", text).otherwise(F.aggregate(names, text, lambda acc, n: F.regexp_replace(acc, word(n), F.concat(qualifier, F.lit("."), n))))
+
+
+def dedented(text: Column) -> Column:
+    """A text whose lines lose the blanks that the first line begins with."""
+    blanks = F.length(F.regexp_extract(text, r"^([ \t]*)", 1))
+    lines = F.transform(F.split(text, "\n"), lambda l: F.substring(l, 1 + F.least(blanks, F.length(F.regexp_extract(l, r"^([ \t]*)", 1))), F.length(l)))
+    return F.array_join(lines, "\n")
+
+
 #: Tokens that stand without a blank before or after them.
 _TIGHT_BEFORE = (",", ".", ")", "]", ";", ":", "}")
 _TIGHT_AFTER = (".", "(", "[", "{", "!", "&", "*")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import pattern as P
@@ -152,6 +152,18 @@ def lowered(files: DataFrame, pat, tokens: str = "tokens", overlap: bool = False
     return files.select("file", F.explode(found).alias("_h")).select("file", "_h.first", "_h.last", "_h.sites")
 
 
+def not_since(files: DataFrame, first: str, dead: str, tokens: str = "tokens") -> DataFrame:
+    """file, pos, token: tokens before which no ``first`` stands with nothing ``dead`` between.
+
+    What ``(assert_not_behind (seq first (* (not dead))))`` asserts, by two running maxima instead of a run back from each token.
+    """
+    cells = files.select("file", F.posexplode(tokens).alias("pos", "token"))
+    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda t: F.max(F.when(F.col("token") == t, F.col("pos"))).over(before)
+    out = cells.withColumn("_first", last(first)).withColumn("_dead", last(dead))
+    return out.where(F.col("_first").isNull() | (F.coalesce("_dead", F.lit(-1)) > F.col("_first"))).drop("_first", "_dead")
+
+
 SITES = "map<string,array<struct<start:int,end:int,text:string>>>"
 MATCHES = f"pattern int, file string, first int, last int, start int, end int, text string, sites {SITES}"
 _SITES = pa.map_(pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))
@@ -183,24 +195,11 @@ def lex_tokens(text: str, lexer: re.Pattern, targets: dict[tuple[int, int], str]
     return out
 
 
-def required_texts(pat) -> set[str]:
-    """Token texts that every match holds."""
-    if isinstance(pat, P.Unit):
-        return {pat.value} if pat.kind == "text" and not pat.negated and pat.value else set()
-    if isinstance(pat, P.Seq):
-        return set().union(*map(required_texts, pat.items))
-    if isinstance(pat, P.Alt):
-        return set.intersection(*map(required_texts, pat.items))
-    if isinstance(pat, (P.Group, P.Bind)):
-        return required_texts(pat.body)
-    return required_texts(pat.body) if isinstance(pat, P.Gaps) and pat.low else set()
-
-
 def prefiltered(files: DataFrame, pats: list) -> DataFrame:
     """Files that can match some pattern, by the literal texts that it requires."""
     each = []
     for pat in pats:
-        need = sorted(required_texts(pat), key=lambda t: (-len(t), t))
+        need = sorted(P.required_texts(pat), key=lambda t: (-len(t), t))
         if not need:
             return files
         each.append(_all([F.instr("text", t) > 0 for t in need]))

@@ -6,6 +6,7 @@ touches, so that no file is joined with itself as a whole.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,7 +56,7 @@ def overlapping(left: DataFrame, right: DataFrame, how: str = "left_semi", width
     on = (F.col("_bin") == F.col("_obin")) & (F.col("start") < F.col("o_end")) & (F.col("o_start") < F.col("end"))
     for c in by:
         on &= F.col(c) == F.col(f"o_{c}")
-    return left.join(l.join(r, on, "left_semi").select(*keys).distinct(), keys, how)
+    return left.join(l.join(r, on, "left_semi").select(*keys).distinct(), keys, how).select(*left.columns)
 
 
 def merged_runs(spans: DataFrame, by: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -84,23 +85,41 @@ def greedy(positions: Column, width: int | Column) -> Column:
     return F.aggregate(positions, start, add, lambda a: a["o"])
 
 
+class Claims:
+    """Spans that overlap no earlier one, held in order."""
+
+    def __init__(self):
+        self.held: list[tuple[int, int]] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Whether the span is free; it no longer is."""
+        k = bisect.bisect_left(self.held, (end,))  # spans before this one begin before its end; the last of them ends last
+        free = k == 0 or self.held[k - 1][1] <= start
+        if free:
+            bisect.insort(self.held, (start, end))
+        return free
+
+
 def claimed(edits: DataFrame, order: str = "seq") -> DataFrame:
     """Edits with ``applied``: in their order, each that overlaps no applied one; the rest are skipped.
 
-    One row per file holds its edits; a fold keeps the claimed spans.
+    A file's edits come by in order, and only the spans that are applied so far are held, sorted.
     """
-    item = F.struct(order, "start", "end", "new_text")
-    per_file = edits.groupBy("file").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = per_file.schema["items"].dataType.simpleString()
-    state = F.struct(F.array().cast(kind).alias("taken"), F.array().cast("array<boolean>").alias("ok"))
+    names = ["file", order, "start", "end", "new_text"]
+    dealt = edits.select(*names).repartition("file").sortWithinPartitions(*names)
 
-    def add(a: Column, x: Column) -> Column:
-        free = ~F.exists(a["taken"], lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
-        return F.struct(F.when(free, F.array_append(a["taken"], x)).otherwise(a["taken"]).alias("taken"), F.array_append(a["ok"], free).alias("ok"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, claims = object(), Claims()
+        for batch in batches:
+            ok = []
+            for f, start, end in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if f != file:
+                    file, claims = f, Claims()
+                ok.append(claims.take(start, end))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], [*names, "applied"])
 
-    folded = per_file.withColumn("ok", F.aggregate("items", state, add, lambda a: a["ok"]))
-    rows = folded.select("file", F.explode(F.arrays_zip("items", "ok")).alias("z"))
-    return rows.select("file", "z.items.*", F.col("z.ok").alias("applied"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    return dealt.mapInArrow(work, f"{kinds}, applied boolean")
 
 
 def apply_edits(text: str, edits: list[tuple[int, int, str]]) -> str:
@@ -121,7 +140,9 @@ def edited(files: DataFrame, edits: DataFrame) -> DataFrame:
             text = [None if t is None else apply_edits(t, [(e["start"], e["end"], e["new_text"]) for e in own or ()]) for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["file", "text"])
 
-    return files.select("file", "text").join(per_file, "file", "left").mapInArrow(work, "file string, text string")
+    own = files.select("file", "text")
+    done = own.join(per_file, "file").select("file", "text", "edits").mapInArrow(work, "file string, text string")
+    return own.join(per_file.select("file"), "file", "left_anti").unionByName(done)
 
 
 def minimal_edit(old: str, new: str) -> tuple[int, int, str] | None:

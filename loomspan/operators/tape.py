@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spans as spans_of
+
 #: Words and single other characters; no token holds white space.
 WORDS = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
 #: Comments and string literals are one token each.
@@ -27,13 +29,9 @@ def tokens(files: DataFrame, regex: str = WORDS, atomic: tuple[str, ...] = (), f
 
 
 def spans(files: DataFrame, regex: str = WORDS, file: str = "file", text: str = "text") -> DataFrame:
-    """file, pos, text, start, end in bytes: tokens and white space partition a text, so starts are running sums."""
-    pieces = files.select(F.col(file).alias("file"), F.posexplode(token_array(F.col(text), rf"\s+|{regex}")).alias("i", "text"))
-    before = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    out = pieces.withColumn("start", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("int"))
-    out = out.where(F.trim(F.regexp_replace("text", r"\s+", "")) != "")
-    pos = F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1
-    return out.select("file", pos.alias("pos"), "text", "start", (F.col("start") + F.octet_length("text")).cast("int").alias("end"))
+    """file, pos, text, start, end in bytes: one row per token, without a shuffle."""
+    own = lexed(files, regex, file, text).select("file", F.posexplode("tokens").alias("pos", "t"))
+    return own.select("file", "pos", F.col("t.text").alias("text"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
 
 
 #: Leaf classes by text, checked in order.
@@ -47,12 +45,29 @@ def token_class(text: Column, keywords: tuple[str, ...] = ()) -> Column:
     return out.otherwise(F.lit("punct"))
 
 
+def class_counts(files: DataFrame, keywords: tuple[str, ...] = (), tokens: str = "tokens") -> DataFrame:
+    """file, cls, n: how many tokens of each class a file has, counted inside its array."""
+    names = ["keyword"] * bool(keywords) + [name for name, _ in CLASSES] + ["punct"]
+    classes = F.transform(tokens, lambda t: token_class(t, keywords))
+
+    def of(own: Column, name: str) -> Column:
+        return F.struct(F.lit(name).alias("cls"), F.size(F.filter(own, lambda x: x == name)).cast("long").alias("n"))
+
+    bound = F.get(F.transform(F.array(classes), lambda c: F.array(*(of(c, n) for n in names))), F.lit(0))
+    return files.select("file", F.explode(bound).alias("c")).where("c.n > 0").select("file", "c.cls", "c.n")
+
+
+def compiled(regex: str) -> re.Pattern:
+    """Blanks and words are those of ASCII, as they are where tokens are found without Python."""
+    return re.compile(regex, re.ASCII)
+
+
 TOKENS = "array<struct<text:string,start:int,end:int>>"
 
 
 def lexed(files: DataFrame, regex: str = SOURCE, file: str = "file", text: str = "text") -> DataFrame:
     """file, text, tokens: a row per file with byte spans, lexed in Arrow batches. Null texts have no tokens."""
-    pattern = re.compile(regex)
+    pattern = compiled(regex)
     kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def lex(x: str) -> list[dict]:
@@ -84,8 +99,8 @@ def without_space(cells: DataFrame) -> DataFrame:
 
 
 def merged(cells: DataFrame) -> DataFrame:
-    """Cells of one span become one: the first type and target that are not empty, by ``seq``."""
-    first = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("seq"))).alias(c)
+    """Cells of one span become one: the first type and target that are not empty, by ``seq``, then by name."""
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c) != "", F.struct("seq", c))).alias(c)
     return cells.groupBy("file", "start", "end").agg(first("type"), first("target"))
 
 
@@ -104,17 +119,21 @@ def innermost(cells: DataFrame) -> DataFrame:
 
 def spliced(host: DataFrame, regions: DataFrame, embedded: DataFrame) -> DataFrame:
     """Host cells outside of the regions, and the embedded language's cells of the regions."""
-    r = regions.select(F.col("file").alias("_f"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = (F.col("file") == F.col("_f")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
-    return host.join(r, hit, "left_anti").unionByName(embedded)
+    return spans_of.overlapping(host, regions, "left_anti").unionByName(embedded)
 
 
 def painted(cells: DataFrame, paints: DataFrame) -> DataFrame:
-    """Each cell's class: of its exact span, else of the smallest painted span around it, else its own ``cls``."""
-    p = paints.select(F.col("file").alias("_f"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("cls").alias("_c"))
-    around = (F.col("file") == F.col("_f")) & (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e"))
-    best = cells.join(p, around, "left").groupBy(*cells.columns).agg(F.min_by("_c", F.struct(F.col("_e") - F.col("_s"), "_c")).alias("_best"))
-    return best.withColumn("cls", F.coalesce("_best", "cls")).drop("_best")
+    """Each cell's class: of its exact span, else of the smallest painted span around it, else its own ``cls``; of equal spans the first class by name."""
+    around = spans_of.innermost_cover(cells, paints.select("file", "start", "end", "cls"), "cls")
+    return around.withColumn("cls", F.coalesce("cover", "cls")).drop("cover")
+
+
+def identifier_at(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """file, at, start, end, identifier: the identifier around each byte, else the one that ends there."""
+    own = cells.where(F.col("text").rlike("^[A-Za-z_][A-Za-z0-9_]*$")).select("file", "start", (F.col("end") + 1).alias("end"), F.col("text").alias("identifier"))
+    met = spans_of.containing(points.select("file", "at", F.col("at").alias("start"), (F.col("at") + 1).alias("end")), own)
+    best = met.groupBy("file", "at").agg(F.max(F.struct("o_start", "o_end", "o_identifier")).alias("o"))  # of two the one that begins at the byte
+    return best.select("file", "at", F.col("o.o_start").alias("start"), (F.col("o.o_end") - 1).alias("end"), F.col("o.o_identifier").alias("identifier"))
 
 
 def use_targets(binds: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -191,6 +191,26 @@ def gate_of(m) -> Gate | None:
     return None
 
 
+#: Ways of a matcher that are told apart by what they need, at most.
+MOST_WAYS = 64
+
+
+def needs(m) -> list[frozenset[str]] | None:
+    """Sets of texts, of which a file must hold one whole set to have a match; None where nothing is known."""
+    if isinstance(m, Leaf):
+        own = P.required_texts(m.pat)
+        return [frozenset(own)] if own else None
+    if isinstance(m, Either):
+        own = [needs(a) for a in m.arms]
+        return None if None in own or sum(map(len, own)) > MOST_WAYS else [x for o in own for x in o]
+    if isinstance(m, (Under, AsLanguage)):
+        region, body = needs(m.region), needs(m.body)
+        if region is None or body is None:
+            return region or body
+        return [a | b for a in region for b in body] if len(region) * len(body) <= MOST_WAYS else region
+    return needs(m.body) if isinstance(m, (Gated, Lang, Take)) else None
+
+
 def within(tokens: list[Token], start: int, end: int) -> list[Token]:
     return [t for t in tokens if start <= t.start and t.end <= end]
 

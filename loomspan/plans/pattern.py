@@ -198,6 +198,19 @@ def names(pat) -> list[str]:
     return out
 
 
+def required_texts(pat) -> set[str]:
+    """Token texts that every match holds."""
+    if isinstance(pat, Unit):
+        return {pat.value} if pat.kind == "text" and not pat.negated and pat.value else set()
+    if isinstance(pat, Seq):
+        return set().union(*map(required_texts, pat.items))
+    if isinstance(pat, Alt):
+        return set.intersection(*map(required_texts, pat.items))
+    if isinstance(pat, (Group, Bind)):
+        return required_texts(pat.body)
+    return required_texts(pat.body) if isinstance(pat, Gaps) and pat.low else set()
+
+
 def uses_refs(pat) -> bool:
     return any(isinstance(p, Unit) and p.kind == "ref" for p in walk(pat))
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import ast
+import itertools
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from dataclasses import field as dataclass_field
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "file string, node_id int, parent_id int, type string, start int, end int, depth int"
+NODES = "file string, node_id int, parent_id int, type string, start int, end int, depth int, field string"
 #: Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
@@ -56,11 +60,11 @@ def html_nodes(text: str) -> list[tuple]:
     p.close()
     for k in p.open:
         p.rows[k][4] = len(text)
-    return _in_bytes(text, p.rows)
+    return [(*r, "") for r in _in_bytes(text, p.rows)]
 
 
 def python_nodes(text: str) -> list[tuple]:
-    """Nodes of a Python file; none where it doesn't parse."""
+    """Nodes of a Python file, each with the field of its parent that it fills; none where it doesn't parse."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
@@ -70,14 +74,16 @@ def python_nodes(text: str) -> list[tuple]:
         lines.append(lines[-1] + len(line) + 1)
     rows: list[tuple] = []
 
-    def visit(node, parent: int, depth: int) -> None:
+    def visit(node, parent: int, depth: int, field: str) -> None:
         if hasattr(node, "lineno"):
-            rows.append((len(rows), parent, type(node).__name__, lines[node.lineno - 1] + node.col_offset, lines[node.end_lineno - 1] + node.end_col_offset, depth))
+            rows.append((len(rows), parent, type(node).__name__, lines[node.lineno - 1] + node.col_offset, lines[node.end_lineno - 1] + node.end_col_offset, depth, field))
             parent, depth = len(rows) - 1, depth + 1
-        for child in ast.iter_child_nodes(node):
-            visit(child, parent, depth)
+        for name, value in ast.iter_fields(node):
+            for child in value if isinstance(value, list) else [value]:
+                if isinstance(child, ast.AST):
+                    visit(child, parent, depth, name)
 
-    visit(tree, -1, 0)
+    visit(tree, -1, 0, "")
     return rows
 
 
@@ -100,11 +106,79 @@ def nodes(files: DataFrame, language: str, file: str = "file", text: str = "text
     parse = PARSERS[language]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "node_id", "parent_id", "type", "start", "end", "depth"]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        names = ["file", "node_id", "parent_id", "type", "start", "end", "depth", "field"]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             rows = [(f, *r) for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in parse(t or "")]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+            columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return files.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text")).mapInArrow(work, NODES)
+
+
+@dataclass
+class Shape:
+    """A node of a type (``_``: any), in a field of its parent, with children of some shapes; ``name`` captures it."""
+
+    type: str
+    field: str = ""
+    children: list[Shape] = dataclass_field(default_factory=list)
+    name: str = ""
+
+
+def shape(source: str) -> Shape:
+    """``(type field: (child) @name (other))``, as tree queries are written."""
+    words = re.findall(r"[()]|@[A-Za-z_][A-Za-z0-9_]*|[A-Za-z_][A-Za-z0-9_]*:?", source)
+    at = 0
+
+    def read(field: str) -> Shape:
+        nonlocal at
+        if at + 1 >= len(words) or words[at] != "(":
+            raise ValueError(f"not a tree query: {source}")
+        out = Shape(words[at + 1], field)
+        at += 2
+        own = ""
+        while at < len(words) and words[at] != ")":
+            if words[at].endswith(":"):
+                own, at = words[at][:-1], at + 1
+                continue
+            out.children.append(read(own))
+            own = ""
+        if at == len(words):
+            raise ValueError(f"not closed: {source}")
+        at += 1
+        if at < len(words) and words[at].startswith("@"):
+            out.name, at = words[at][1:], at + 1
+        return out
+
+    return read("")
+
+
+def query(nodes: DataFrame, source: str) -> DataFrame:
+    """file, start, end of nodes of a shape, and ``<name>_start``, ``<name>_end`` of each captured node; one row for each way to match.
+
+    Each level of the shape is an equi join of nodes with their parents.
+    """
+    number = itertools.count()
+
+    def rows(s: Shape) -> DataFrame:
+        k = next(number)
+        own = nodes if s.type == "_" else nodes.where(F.col("type") == s.type)
+        if s.field:
+            own = own.where(F.col("field") == s.field)
+        more = [F.col("start").alias(f"{s.name}_start"), F.col("end").alias(f"{s.name}_end")] if s.name else []
+        out = own.select("file", F.col("node_id").alias(f"_n{k}"), F.col("parent_id").alias("_parent"), F.col("start").alias("_start"), F.col("end").alias("_end"), *more)
+        for child in s.children:
+            below = rows(child).drop("_start", "_end").withColumnRenamed("_parent", "_up")
+            out = out.join(below, (out["file"] == below["file"]) & (out[f"_n{k}"] == below["_up"])).drop(below["file"]).drop("_up")
+        return out
+
+    found = rows(shape(source))
+    captures = [c for c in found.columns if not c.startswith("_") and c != "file"]
+    return found.select("file", F.col("_start").alias("start"), F.col("_end").alias("end"), *captures)
+
+
+def indexed(nodes: DataFrame) -> DataFrame:
+    """file, nodes: for each file a map from node types to the spans of its nodes, in order."""
+    each = nodes.groupBy("file", "type").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return each.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("type", "spans"))).alias("nodes"))

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``; where that is unset (tests, a laptop), below the temporary folder."""
+    """A fresh folder name below ``spark.checkpoint.dir``; where that is unset on one machine (tests, a laptop), below the temporary folder.
+
+    On a cluster it must be set: what one machine writes in a folder of its own the others never see.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/loomspan-{uuid.uuid4().hex}"
 
