@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -644,6 +644,10 @@ _COLUMNS = [("relation", pa.string()), ("file", pa.string()), ("name", pa.string
 
 def _rows(path: str, text: str) -> Iterator[tuple]:
     lang, f = facts_of(path, text)
+    yield from _rows_of(path, text, lang, f)
+
+
+def _rows_of(path: str, text: str, lang: str, f: Facts) -> Iterator[tuple]:
     blank = (None,) * 6
     yield ("file", path, lang, f.package[0] if f.package else "", "", 0, len(text.encode()), f.package[1] if f.package else 0, *blank[:3], None, None)
     around = [f.inner(a, b, strict=True) for a, b, _ in f.scopes]
@@ -676,12 +680,37 @@ def _rows(path: str, text: str) -> Iterator[tuple]:
 
 def extracted(files: DataFrame) -> DataFrame:
     """All facts of files (file, text) in one table, one row for each; ``relation`` says of which kind. See ``relations``."""
+    return _table(files, lambda: _rows)
+
+
+def packed(files: DataFrame, pack: str, regex: str = SOURCE) -> DataFrame:
+    """As ``extracted``, by the verbs of a pack; what they paint are rows ``paint`` with the class as name."""
+
+    def maker() -> Callable[[str, str], Iterator[tuple]]:
+        from ..plans import claims, matcher
+        from .sequence import lex_tokens
+
+        own, lexer = claims.load(pack), compiled(regex)
+
+        def rows(path: str, text: str) -> Iterator[tuple]:
+            lang = next((v[0] for v in own.of("as-language", path)), "")
+            f, paints = claims.facts(own, matcher.File(path, text.encode(), lex_tokens(text, lexer), lang))
+            yield from _rows_of(path, text, lang, f)
+            for a, b, cls in paints:
+                yield ("paint", path, cls, "", "", a, b, None, None, None, None, None, None)
+
+        return rows
+
+    return _table(files, maker)
+
 
+def _table(files: DataFrame, maker: Callable[[], Callable[[str, str], Iterator[tuple]]]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of = maker()
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                rows = [r for f, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in _rows(f, t or "")]
+                rows = [r for f, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in rows_of(f, t or "")]
                 columns = list(zip(*rows, strict=True)) or [()] * len(_COLUMNS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _COLUMNS, strict=True)], [n for n, _ in _COLUMNS])
 
@@ -704,6 +733,7 @@ def relations(found: DataFrame) -> dict[str, DataFrame]:
         "use": of("use").select("file", "name", "start", "end", c("a").alias("scope"), c("i").alias("scope_idx"), c("j").alias("n_prefix"), c("k").alias("use_id")),
         "use_seg": of("use_seg").select("file", c("i").alias("use_id"), c("j").alias("idx"), "name", "start", "end"),
         "flow": of("flow").select("file", "start", "end", c("name").alias("class")),
+        "paint": of("paint").select("file", "start", "end", c("name").alias("cls")),
         "doc": of("doc").select("file", "name", c("a").alias("signature"), c("b").alias("doc")),
         "declares": of("declares").select("file", c("i").alias("scope_idx"), leaf(c("name")).alias("leaf"), atom_ref(c("file"), c("name")).alias("ref"), c("start").alias("seq")),
     }

@@ -23,7 +23,7 @@ class Walker:
         self.files = files.select("file", "text")
         self.store = Store(self.spark)
         tables = extract.relations(staged(extract.extracted(self.files)))
-        self.doc = tables.pop("doc")
+        self.doc, self.paint = tables.pop("doc"), tables.pop("paint")
         for name, rows in tables.items():
             self.store.put(name, rows)
         self._close(go_module)

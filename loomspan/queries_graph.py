@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import model
+from .functions import paths
 from .operators import binding, extract, graph, refactor, relations, rules, spans, tape
-from .plans import providers
+from .plans import claims, providers
 from .plans.walker import Walker
 from .registry import FILES, IV, SPANS, event_files, files, intervals, query, turns
 from .sources import files as sources
@@ -169,6 +170,69 @@ def syntax_node_index(spark, sf_dir):
     return pages.select("file").join(index, "file", "left").select("file", F.coalesce(F.size(F.col("nodes")["title"]), F.lit(0)).cast("long").alias("titles"))
 
 
+_PACK = """
+(under (path "**/*.go")
+  (as-language "go") (as-family "go" package_scoped nested) (as-layout package import body) (as-atomic "interface{}") (as-docstring comment-before)
+  (as-package (seq "package" (capture pkg any)))
+  (as-keyword (regex "^(func|return|if|else|for|range|type|struct|package)$"))
+  (as-number (regex "^[0-9]+$"))
+  (as-atom public (seq "func" "(" any "*" (capture name any) ")" (capture name any) "("))
+  (as-atom private (seq "func" (capture name (regex "^[a-z]")) "("))
+  (as-decl (seq "struct" "{" (* any) "}"))
+  (under (seq "func" (* any) "return")
+    (as-scope (this))
+    (as-use (seq (capture name any) "." (capture name any))))
+  (as-flow structural (seq "for" (* any) "{")))
+(under (path "*.none") (as-language "none") (as-family "go" include_export))
+"""
+
+
+@query(f"SELECT file, 'S'||s_suppkey||'.Total' AS name, true AS exported FROM {_GOF} UNION ALL SELECT DISTINCT 'p'||(s_suppkey % 7)||'/shared.go', 'shared', false FROM supplier")
+def extract_by_pack(spark, sf_dir):
+    """Declarations by the verbs of a pack: the receiver's type and the method's name make one name."""
+    return extract.relations(staged(extract.packed(_go_files(spark, sf_dir), _PACK)))["atom"].select("file", "name", "exported")
+
+
+@query(f"SELECT file, 's.Key' AS name FROM {_GOF}")
+def extract_uses_by_pack(spark, sf_dir):
+    """Uses inside the places of a pack, with what qualifies them."""
+    t = extract.relations(staged(extract.packed(_go_files(spark, sf_dir), _PACK)))
+    return t["use"].join(t["use_seg"].select("file", "use_id", F.col("name").alias("prefix")), ["file", "use_id"]).select("file", F.concat_ws(".", "prefix", "name").alias("name"))
+
+
+@query(f"SELECT file, 'p'||(s_suppkey % 7) AS package, 1 AS scopes, 1 AS holes, 1 AS flows FROM {_GOF} UNION ALL SELECT DISTINCT 'p'||(s_suppkey % 7)||'/shared.go', 'p'||(s_suppkey % 7), 1, 0, 0 FROM supplier")
+def extract_scopes_by_pack(spark, sf_dir):
+    t = extract.relations(staged(extract.packed(_go_files(spark, sf_dir), _PACK)))
+    n = lambda rows, name: rows.groupBy("file").agg(F.count(F.lit(1)).cast("int").alias(name))
+    out = t["package"].select("file", F.col("name").alias("package"))
+    for rows, name in ((t["scope"].where("NOT hole"), "scopes"), (t["scope"].where("hole"), "holes"), (t["flow"], "flows")):
+        out = out.join(n(rows, name), "file", "left")
+    return out.fillna(0)
+
+
+@query(f"SELECT file, unnest(['keyword', 'number']) AS cls, unnest([12, 4]) AS n FROM {_GOF} UNION ALL SELECT DISTINCT 'p'||(s_suppkey % 7)||'/shared.go', 'keyword', 3 FROM supplier")
+def painted_by_pack(spark, sf_dir):
+    paint = extract.relations(staged(extract.packed(_go_files(spark, sf_dir), _PACK)))["paint"]
+    return paint.groupBy("file", "cls").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("SELECT 'go' AS lang, 'go' AS family, ['include_export', 'nested', 'package_scoped'] AS flags UNION ALL SELECT 'none', 'go', ['include_export', 'nested', 'package_scoped']")
+def claims_of_a_pack(spark, sf_dir):
+    """The flags of a family, from the claims of all its languages."""
+    own = claims.load(_PACK)
+    assert own.of("as-layout", "a/b.go") == [("package", "import", "body")] and own.of("as-atomic", "x.py") == [] and own.of("as-docstring", "b.go") == [("comment-before",)]
+    return binding.family_flags(spark.createDataFrame(own.families(), "lang string, family string, flag string"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'x.md' ELSE 'n'||p_partkey END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'a/b' WHEN p_partkey % 3 = 1 THEN 'a' ELSE '' END AS shared FROM part")
+def names_and_prefixes(spark, sf_dir):
+    """The last part of quoted names, and the folders that two paths share."""
+    k = F.col("p_partkey")
+    name = F.when(k % 2 == 0, "Type.'x.md'").otherwise(F.concat(F.lit("A.B.n"), _str("p_partkey")))
+    other = F.when(k % 3 == 0, "a/b/d").when(k % 3 == 1, "a/c/d").otherwise("b/c/d")
+    return read_table(spark, sf_dir, "part").select("p_partkey", paths.atom_name(name).alias("name"), paths.common_prefix(F.lit("a/b/c"), other).alias("shared"))
+
+
 # --- binds -------------------------------------------------------------------
 
 

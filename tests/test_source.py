@@ -172,3 +172,29 @@ def test_counts_that_differ_are_an_error(spark):
     assert binding.expected(spark.range(3), 3).first().n == 3
     with pytest.raises(Exception, match="expected 4 matches, found 3"):
         binding.expected(spark.range(3), 4).collect()
+
+
+def test_packs_claim_and_extract():
+    from loomspan.operators.tape import SOURCE, compiled
+    from loomspan.operators.sequence import lex_tokens
+    from loomspan.plans import claims, matcher
+    from loomspan.plans.sexp import PatternError
+
+    pack = claims.load('''
+(def call () (seq (capture name (regex "^[a-z]")) "("))
+(under (path "*.x")
+  (as-language "x") (as-family "f" one two)
+  (as-import (seq "use" (capture path any) "as" (capture alias any)))
+  (as-atom (seq "let" (capture name any) "," (capture name any)))
+  (as-atom private (seq "def" (capture name any) "{" (capture name any)))
+  (under (seq "{" (* any) "}") (as-scope (this)) (as-use (call)) (as-use (seq (capture name any) "." (capture name any) "("))))''')
+    text = 'use "a/b" as c let p, q def T { m { c.go(x) go(1) } }'
+    f, paints = claims.facts(pack, matcher.File("d/e.x", text.encode(), lex_tokens(text, compiled(SOURCE))))
+    assert [a[0] for a in f.atoms] == ["p", "q", "T.m"] and [a[3] for a in f.atoms] == [True, True, False]
+    assert [i[:3] for i in f.imports] == [("c", "a/b", "")] and text[f.imports[0][8] : f.imports[0][9]] == "a/b"
+    assert [(".".join([*(n for n, _, _ in u[3]), u[0]])) for u in f.uses] == ["c.go", "go"] and paints == []
+    assert claims.facts(pack, matcher.File("d/e.y", text.encode(), lex_tokens(text, compiled(SOURCE))))[0].atoms == []
+    assert sorted(pack.families()) == [("x", "f", "one"), ("x", "f", "two")]
+    for bad in ("(as-nothing)", '(as-atom "a" "b")', "x"):
+        with pytest.raises(PatternError):
+            claims.load(bad)
