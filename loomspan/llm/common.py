@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import read_table, shared_dir, staged  # noqa: F401
@@ -25,10 +25,24 @@ def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     in its worker. The bound is a setting of the session, which keeps it.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(work, schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        _released()
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    return df.mapInArrow(run, schema)
+
+
+def _released() -> None:
+    """Give memory that a task has freed back to the machine: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of ``text`` (one row at least)."""
     for batch in batches:
         n = batch.num_rows
@@ -50,6 +64,47 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+FILTER_WORDS = 1 << 20  # of 64 bits, at most, in a broadcast filter
+
+
+def _bits(name: str, blocks: int) -> list[Column]:
+    """A key's word in a filter and its four bits there."""
+    block = F.pmod(F.xxhash64(F.lit(3), name), F.lit(blocks)).cast("int")
+    bits = (f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(3, `{name}`), {k}) & 63 AS INT))" for k in (40, 46, 52, 58))
+    return [block.alias("block"), F.expr(" | ".join(bits)).alias("mask")]
+
+
+def bloom_words(keys: DataFrame, key: str) -> np.ndarray | None:
+    """A blocked Bloom filter of the distinct keys, FILTER_WORDS words at most; None where they are too many for that."""
+    n = keys.count()
+    if n > 8 * FILTER_WORDS:
+        return None
+    blocks = min(FILTER_WORDS, max(64, 1 << (n // 4).bit_length()))
+    rows = keys.select(*_bits(key, blocks)).groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()  # a row for each word at most
+    words = np.zeros(blocks, np.int64)
+    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return words
+
+
+def likely_among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose long ``column`` may be among the distinct ``keys``, so that a join need not move the others.
+
+    All rows with a key stay, and few others; where the keys are too many for a filter, all rows stay.
+    """
+    words = bloom_words(keys, key)
+    if words is None:
+        return df
+    blocks = len(words)
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def may_be(block: pd.Series, mask: pd.Series) -> pd.Series:
+        m = mask.to_numpy()
+        return pd.Series(shared.value[block.to_numpy()] & m == m)
+
+    return df.where(may_be(*_bits(column, blocks)))
+
+
 def ranked(df: DataFrame, key: str, order: list[str], rank: str, spread: list[str], few_keys: int, buckets: int = 256) -> DataFrame:
     """Number the rows of each ``key`` from 0 without one task holding a whole key.
 
@@ -66,8 +121,3 @@ def ranked(df: DataFrame, key: str, order: list[str], rank: str, spread: list[st
     out = df.withColumn("_own", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1)
     out = out.join(first, (out[key] == first["_key"]) & (out["_bucket"] == first["_b"]))
     return out.withColumn(rank, (F.col("_first") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_key", "_b", "_first")
-
-
-def local_scratch(prefix: str) -> str:
-    """A name for a file in this process's own temporary folder."""
-    return os.path.join(tempfile.gettempdir(), f"{prefix}-{uuid.uuid4().hex}")

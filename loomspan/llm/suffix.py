@@ -3,42 +3,60 @@
 Every string of ``length`` bytes has one anchor, its smallest k-gram hash, so equal
 strings have equal anchors. Neighbouring strings with one anchor make a segment. Only
 segments whose anchor occurs again can hold a repeated string; those of one anchor that
-are all equal are repeated as a whole. The others meet, distinct ones once, in
+are all equal (by 128 bits) are repeated as a whole. The others meet, distinct ones once, in
 shards made by anchor: each shard's suffix array is refined by Larsson and Sadakane's
 doubling in numpy, Kasai's walk gives common prefixes, all segments in parallel, and
 adjacent suffixes that share ``length`` bytes are repeated. A group that needs
-several shards is merged by binary search of each shard's strings in the others'
-sorted ones; groups beyond GROUP are merged by a distributed sort of fingerprints.
+several shards is merged by binary search of each shard's strings in the others' suffix
+arrays. A group of more than GROUP distinct segments is first split: each of its strings has half of
+what its anchor leaves on one side of it, so the anchor grown by that half to the left, or to the
+right, divides the strings, and what then is alone or all equal is decided; the rest goes the same way again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import _Hashes
-from .common import slices, staged, strings
+from .common import likely_among, mapped, slices, staged, strings
 
 GRAM = 40  # bytes of an anchor
 SHARD = 1 << 20  # bytes of text in a shard
-GROUP = 20_000  # distinct segments of one anchor that one task merges
-_HASHES = _Hashes()
+GROUP = 20_000  # distinct segments of one anchor that meet in one task
+SLICE = 1 << 18  # bytes of texts that are cut at once
+_BASE = 0x9E6C63D0876A9A55  # odd, so powers have inverses
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2**64, as far as needed so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+_POWERS = _Powers()
 
 
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    _HASHES._reach(len(raw) + 1)
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * _HASHES.powers[: len(raw)], dtype=np.uint64)))
+    _POWERS.reach(len(raw) + 1)
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * _POWERS.up[: len(raw)], dtype=np.uint64)))
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of byte ranges, the same for the same bytes anywhere."""
-    h = (sums[ends] - sums[starts]) * _HASHES.inverse[starts]
+    h = (sums[ends] - sums[starts]) * _POWERS.down[starts]
     h = (h ^ (ends - starts).astype(np.uint64)) * np.uint64(0xA0761D6478BD642F)
     h ^= h >> np.uint64(32)
     return (h * np.uint64(0xD6E8FEB86659FD93)) ^ h >> np.uint64(29)
@@ -55,11 +73,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, hash of the whole segment, part number, start and size of all segments of the parts."""
+    """Anchor hash, part number, start, size and the anchor's place of all segments of the parts."""
     gram = min(GRAM, length)
     sizes = np.array([len(p) for p in parts], np.int64)
     raw = np.frombuffer(b"".join(parts), np.uint8)
-    none = (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3
+    none = (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 4
     if len(raw) < length:
         return none
     sums = prefix_sums(raw)
@@ -77,8 +95,13 @@ def segments(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
     first, last = inside[new], inside[np.append(new[1:], len(inside)) - 1]
     anchor, part = anchor[new], part[new]
-    whole = span_hash(sums, first, last + length) ^ (anchor - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return h[anchor], whole, part, first - (ends - sizes)[part], last - first + length
+    return h[anchor], part, first - (ends - sizes)[part], last - first + length, anchor - first
+
+
+def _digests(parts: list[bytes], core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each part and the place of its anchor, in two."""
+    d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in parts]), "<u8").reshape(-1, 2)
+    return d[:, 0] + core.astype(np.uint64), d[:, 1].copy()
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +111,11 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     still tied are sorted again, by the rank of what follows.
     """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    key = _eights(text, ">u8")[:n].astype(np.uint64)
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-    del key, sorted_key, padded
+    del key, sorted_key
     place = np.arange(n, dtype=np.int32)  # a shard has far fewer than 2**31 bytes
     order = order.astype(np.int32)
     rank = np.empty(n + 1, np.int32)  # the first place of a suffix's group; what lies behind the text is smallest
@@ -106,11 +126,11 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tied = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(tied):
         own = order[tied]
-        follow = rank[np.minimum(own + width, n)]
-        by = np.lexsort((follow, head[tied]))
-        own, follow, group = own[by], follow[by], head[tied][by]
+        pair = head[tied].astype(np.int64) << 32 | rank[np.minimum(own + width, n)] + 1  # its group, then the rank of what follows
+        by = np.argsort(pair)
+        own, pair = own[by], pair[by]
         order[tied] = own
-        start = np.concatenate(([True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])))
+        start = np.concatenate(([True], pair[1:] != pair[:-1]))
         head[tied] = np.maximum.accumulate(np.where(start, tied, 0))
         rank[own] = head[tied]
         alone = start & np.append(start[1:], True)
@@ -121,14 +141,21 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, where
 
 
+def _eights(text: np.ndarray, kind: str, more: int = 0) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the text."""
+    return np.ndarray((len(text) + more + 1,), kind, text.tobytes() + bytes(more + 8), strides=(1,))
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, where: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     """For each suffix, the bytes (``most`` at most) it shares with the suffix before it in order.
 
     Kasai's walk: from one suffix to the next the shared prefix shrinks by one byte
-    at most. The runs (starts, counts) are walked side by side, one step for all.
+    at most. The runs (starts, counts) are walked side by side, one step for all, and
+    grow by up to eight bytes at once.
     """
-    padded = np.concatenate((text, np.zeros(most + 1, np.uint8)))
-    out = np.zeros(len(text), np.int64)
+    n = len(text)
+    eights = _eights(text, "<u8", most)
+    out = np.zeros(n, np.int64)
     by = np.argsort(-counts, kind="stable")
     starts, counts = starts[by], counts[by]
     shared = np.zeros(len(starts), np.int64)
@@ -136,16 +163,20 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, where: np.ndarray, star
         live = int(np.searchsorted(-counts, -step, side="left"))
         at = starts[:live] + step
         w = where[at]
-        before = order[w - 1]
+        before = order[w - 1].astype(np.int64)
         h = np.maximum(shared[:live] - 1, 0)
         h[w == 0] = 0
-        grow = np.flatnonzero((w > 0) & (h < most))
+        limit = np.minimum(most, n - np.maximum(at, before))
+        grow = np.flatnonzero((w > 0) & (h < limit))
         while len(grow):
-            same = padded[at[grow] + h[grow]] == padded[np.minimum(before[grow] + h[grow], len(text))]
-            same &= (before[grow] + h[grow] < len(text)) & (at[grow] + h[grow] < len(text))
-            grow = grow[same]
-            h[grow] += 1
-            grow = grow[h[grow] < most]
+            own = h[grow]
+            differ = eights[at[grow] + own] ^ eights[before[grow] + own]
+            same = np.full(len(grow), 8)
+            odd = np.flatnonzero(differ)
+            lowest = differ[odd] & (~differ[odd] + np.uint64(1))
+            same[odd] = np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3  # the first byte that differs
+            h[grow] = own = np.minimum(own + same, limit[grow])
+            grow = grow[(same == 8) & (own < limit[grow])]
         out[at] = h
         shared = h
     return out
@@ -178,28 +209,41 @@ def repeated(parts: list[bytes], counts: np.ndarray, length: int) -> tuple[np.nd
     return text, starts, order[valid[order]], mark & valid
 
 
-class _Sorted:
-    """A shard's strings in order, for binary search from other shards."""
-
-    def __init__(self, text: np.ndarray, at: np.ndarray, length: int):
-        self.text, self.length = text, length
-        sums = prefix_sums(text)
-        h = span_hash(sums, at, at + length)
-        by = np.argsort(h, kind="stable")
-        self.hashes, self.at = h[by], at[by]
-
-    def meet(self, other: _Sorted) -> tuple[np.ndarray, np.ndarray]:
-        """Starts here and there of strings that both have; each start with a partner is named."""
-        pairs = []
-        for a, b in ((self, other), (other, self)):
-            k = np.minimum(np.searchsorted(b.hashes, a.hashes), len(b.hashes) - 1)
-            hit = np.flatnonzero(b.hashes[k] == a.hashes)
-            mine, theirs = a.at[hit], b.at[k[hit]]
-            same = np.ones(len(hit), bool)
-            for x in range(0, a.length):
-                same &= a.text[mine + x] == b.text[theirs + x]
-            pairs.append(mine[same])
-        return pairs[0], pairs[1]
+class Shard:
+    """A shard's text and the starts of its strings in the order of its suffix array."""
+
+    def __init__(self, text: np.ndarray, order: np.ndarray, length: int):
+        self.text, self.order, self.length = text, order, length
+        # what is compared from each start: eight bytes at a time, the last time the string's last eight
+        self.steps = [*range(0, max(length - 8, 0), 8), max(length - 8, 0)]
+        self.cut = np.uint64(8 * max(0, 8 - length))
+        self.eights = _eights(text, ">u8", 8)
+
+    def _at(self, starts: np.ndarray, step: int) -> np.ndarray:
+        return self.eights[starts + step].astype(np.uint64) >> self.cut
+
+    def find(self, other: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """Starts here and in ``other`` of equal strings, by binary search of the others' strings in this suffix array."""
+        asked = other.order.astype(np.int64)
+        low, high = np.zeros(len(asked), np.int64), np.full(len(asked), len(self.order), np.int64)
+        live = np.arange(len(asked))
+        for step in self.steps:  # narrow each range to the strings that go on alike
+            want = other._at(asked[live], step)
+            low[live], high[live] = self._bound(want, low[live], high[live], step, False), self._bound(want, low[live], high[live], step, True)
+            live = live[low[live] < high[live]]
+        return self.order[low[live]], asked[live]
+
+    def _bound(self, want: np.ndarray, low: np.ndarray, high: np.ndarray, step: int, after: bool) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        live = np.flatnonzero(low < high)
+        while len(live):
+            mid = (low[live] + high[live]) >> 1
+            own = self._at(self.order[mid], step)
+            right = own <= want[live] if after else own < want[live]
+            low[live] = np.where(right, mid + 1, low[live])
+            high[live] = np.where(right, high[live], mid)
+            live = live[low[live] < high[live]]
+        return low
 
 
 def _spans(mark: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -212,102 +256,102 @@ def _spans(mark: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length) for a, b in zip(first, last, strict=True)]
 
 
-def _shards(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[list[list[tuple[int, int, int, bytes]]]]:
-    """Rows (anchor, whole, n, text), sorted by anchor, cut into shards: whole groups together, long groups over several."""
+def _shards(rows: Iterator[tuple]) -> Iterator[list[list[tuple]]]:
+    """Rows (anchor, x, y, n, text), sorted by anchor, cut into shards: whole groups together, long groups over several."""
     held: list[tuple] = []
-    group: list[list[tuple]] = [[]]
-    size = own = 0
-    anchor = None
-
-    def groups() -> Iterator[list]:
-        nonlocal group, own, anchor
-        for row in rows:
-            if row[0] != anchor and group[0]:
-                yield group
-                group, own = [[]], 0
-            anchor = row[0]
-            if own + len(row[3]) > SHARD and group[-1]:
-                group.append([])
+    size = 0
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        parts: list[list[tuple]] = [[]]
+        own = 0
+        for row in group:
+            if own + len(row[4]) > SHARD and parts[-1]:
+                parts.append([])
                 own = 0
-            group[-1].append(row)
-            own += len(row[3])
-        if group[0]:
-            yield group
-
-    for g in groups():
-        if len(g) > 1:
-            yield g
+            parts[-1].append(row)
+            own += len(row[4])
+        if len(parts) > 1:
+            yield parts
             continue
-        n = sum(len(r[3]) for r in g[0])
-        if held and size + n > SHARD:
+        if held and size + own > SHARD:
             yield [held]
             held, size = [], 0
-        held = held + g[0] if len(g[0]) > 64 else (held.extend(g[0]) or held)
-        size += n
+        held.extend(parts[0])
+        size += own
     if held:
         yield [held]
 
 
-def repeated_spans(distinct: DataFrame, length: int) -> DataFrame:
-    """anchor, whole, spans: repeated byte ranges of each distinct segment (anchor, whole, n, t), sharded by anchor."""
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_SPAN_TYPE = "spans array<struct<a:int,b:int>>"
+
+
+def sharded_spans(distinct: DataFrame, length: int) -> DataFrame:
+    """anchor, x, y, spans: repeated byte ranges of each distinct segment (anchor, x, y, n, t), in shards by anchor."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for batch in slices(batches, "t", 1 << 20):
+            for batch in slices(batches, "t", SLICE):
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         for shards in _shards(rows()):
-            done = []
-            for shard in shards:
-                done.append((shard, *repeated([r[3] for r in shard], np.array([r[2] for r in shard], np.int64), length)))
+            done = [(shard, *repeated([r[4] for r in shard], np.array([r[3] for r in shard], np.int64), length)) for shard in shards]
             if len(done) > 1:
-                tables = [_Sorted(text, at, length) for _, text, _, at, _ in done]
+                sorted_ = [Shard(text, order, length) for _, text, _, order, _ in done]
                 for i in range(len(done)):
                     for j in range(i):
-                        mine, theirs = tables[i].meet(tables[j])
+                        mine, theirs = sorted_[i].find(sorted_[j])
                         done[i][4][mine] = True
                         done[j][4][theirs] = True
             for shard, _, starts, _, mark in done:
-                spans = [_spans(mark[s : s + len(r[3])], length) for s, r in zip(starts.tolist(), shard, strict=True)]
-                yield _span_batch([r[0] for r in shard], [r[1] for r in shard], spans)
-
-    dealt = distinct.select("anchor", "whole", "n", "t").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(work, f"anchor long, whole long, {_SPAN_TYPE}")
-
-
-_SPAN_TYPE = "spans array<struct<a:int,b:int>>"
-
-
-def _span_batch(anchor: list[int], whole: list[int], spans: list) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(whole, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], kind)], ["anchor", "whole", "spans"])
-
-
-def repeated_spans_of_large_groups(distinct: DataFrame, length: int) -> DataFrame:
-    """As repeated_spans for groups that no task should hold: shards of any rows publish the 128-bit
-    fingerprints of their strings, a distributed sort brings equal ones together."""
-
-    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1 << 18):
-            anchor, whole, n, t = (c.to_pylist() for c in batch.columns)
-            sizes = np.array([len(x) for x in t], np.int64)
-            raw = np.frombuffer(b"".join(t), np.uint8)
-            windows = sizes - length + 1
-            row = np.repeat(np.arange(len(t)), windows)
-            off = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            at = (np.cumsum(sizes) - sizes)[row] + off
-            sums, twisted = prefix_sums(raw), prefix_sums(raw ^ np.uint8(0x5A))
-            f, g = span_hash(sums, at, at + length), span_hash(twisted, at, at + length)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()).take(take), pa.array(whole, pa.int64()).take(take), pa.array(n, pa.int64()).take(take), pa.array(off.astype(np.int32)), pa.array(f.view(np.int64)), pa.array(g.view(np.int64))],
-                ["anchor", "whole", "n", "off", "f", "g"],
-            )
-
-    rows = distinct.select("anchor", "whole", "n", "t").mapInArrow(publish, "anchor long, whole long, n long, off int, f long, g long")
-    twice = rows.groupBy("f", "g").agg(F.sum("n").alias("total")).where("total > 1").select("f", "g")
-    found = rows.join(twice, ["f", "g"]).groupBy("anchor", "whole").agg(F.collect_set("off").alias("offs"))
-    return found.select("anchor", "whole", F.transform("offs", lambda o: F.struct(o.alias("a"), (o + length).alias("b"))).alias("spans"))
+                spans = [_spans(mark[s : s + len(r[4])], length) for s, r in zip(starts.tolist(), shard, strict=True)]
+                keys = [pa.array([r[k] for r in shard], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], _SPANS)], ["anchor", "x", "y", "spans"])
+
+    dealt = distinct.select("anchor", "x", "y", "n", "t").repartition("anchor").sortWithinPartitions("anchor")
+    return mapped(dealt, work, f"anchor long, x long, y long, {_SPAN_TYPE}")
+
+
+def repeated_spans(distinct: DataFrame, length: int, width: int) -> DataFrame:
+    """As sharded_spans, of segments (anchor, x, y, n, core, t) whose anchor is ``width`` bytes at ``core``; groups beyond GROUP are split first."""
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("group"))
+    large = sizes.where(F.col("group") > GROUP).select("anchor")
+    large = staged(large)
+    if large.isEmpty():
+        return staged(sharded_spans(distinct, length))
+    found = staged(sharded_spans(distinct.join(large, "anchor", "left_anti"), length))
+    half = -(-(length - width) // 2)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["o_anchor", "o_x", "o_y", "off", "n", "anchor", "x", "y", "core", "t"]
+        for batch in slices(batches, "t", SLICE):
+            rows = []
+            for anchor, x, y, n, core, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(t) >= core + width + half:  # strings with so much to the right of the anchor
+                    off = max(0, core + width + half - length)
+                    rows.append((anchor, x, y, off, n, b"r" + t[core : core + width + half], core - off, t[off:]))
+                if core >= half:  # and to the left
+                    rows.append((anchor, x, y, 0, n, b"l" + t[core - half : core + width], core - half, t[: core - half + length]))
+            if not rows:
+                continue
+            *origin, off, n, key, core, t = zip(*rows, strict=True)
+            key = np.array([xxhash.xxh3_64_intdigest(k, width) for k in key], np.uint64).view(np.int64)
+            x, y = _digests(list(t), np.array(core))
+            columns = [*origin, off, n, key, x.view(np.int64), y.view(np.int64), core]
+            kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 4 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(t, pa.binary())], names)
+
+    # a segment with its bytes is one of a few hundred bytes, so nothing here grows with a group but the number of rows
+    whole = distinct.join(large, "anchor").select("anchor", "x", "y", "n", "core", "t")
+    parts = staged(mapped(whole, split, "o_anchor long, o_x long, o_y long, off int, n long, anchor long, x long, y long, core int, t binary"))
+    own = parts.groupBy("anchor", "x", "y").agg(F.sum("n").alias("n"), F.first("core").alias("core"), F.first("t").alias("t"))
+    groups = parts.groupBy("anchor").agg(F.sum("n").alias("total"), *(f(c).alias(f"{c}_{k}") for c in ("x", "y") for k, f in (("low", F.min), ("high", F.max))))
+    own = staged(own.join(groups.where("total > 1").select("anchor", F.expr("x_low <> x_high OR y_low <> y_high").alias("mixed")), "anchor"))
+    equal = own.where("NOT mixed").select("anchor", "x", "y", F.array(F.struct(F.lit(0).alias("a"), F.length("t").alias("b"))).alias("spans"))
+    deeper = repeated_spans(own.where("mixed").select("anchor", "x", "y", "n", "core", "t"), length, width + half)
+    again = parts.select("o_anchor", "o_x", "o_y", "off", "anchor", "x", "y").join(equal.unionByName(deeper), ["anchor", "x", "y"])
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("off")).alias("a"), (s["b"] + F.col("off")).alias("b")))
+    back = again.groupBy(F.col("o_anchor").alias("anchor"), F.col("o_x").alias("x"), F.col("o_y").alias("y")).agg(F.flatten(F.collect_list(moved)).alias("spans"))  # two lists at most
+    return staged(found.unionByName(back))
 
 
 def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,59 +399,70 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     source = source.select("id", F.xxhash64("t").alias("th"), "t", "extra")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1 << 20):
-            anchor, whole, part, first, size = segments([x.encode() for x in strings(batch, "t")], length)
+        for batch in slices(batches, "t", SLICE):
+            anchor, part, first, size, core = segments([x.encode() for x in strings(batch, "t")], length)
             take = pa.array(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], ["id", "th", "anchor", "whole", "first", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor.view(np.int64)), pa.array(first << 32 | size << 16 | core)], ["id", "th", "anchor", "place"])
 
-    rows = staged(source.where(F.octet_length("t") >= length).select("id", "th", "t").mapInArrow(cut, "id long, th long, anchor long, whole long, first int, size int"))
-    again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("x"), F.max("whole").alias("y")).where("n > 1")
-    again = again.select("anchor", (F.col("x") != F.col("y")).alias("mixed"))
-    rows = staged(rows.join(again, "anchor"))
-
-    per_text = rows.groupBy("id", "th").agg(F.collect_set(F.struct("first", "size", "anchor", "whole", "mixed")).alias("rows"))  # bounded by the text's length
+    long_ones = source.where(F.octet_length("t") >= length).select("id", "th", "t")
+    rows = staged(mapped(long_ones, cut, "id long, th long, anchor long, place long"))
+    again = staged(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    rows = likely_among(rows, "anchor", again, "anchor").join(again, "anchor")
+    per_text = rows.groupBy("id", "th").agg(F.collect_set(F.struct("anchor", "place")).alias("rows"))  # bounded by the text's length
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "place", "x", "y"]
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
         for batch in slices(batches, "t"):
-            n, sha, keep = [], [], []
-            for x, own in zip(strings(batch, "t"), batch.column(3).is_valid().to_pylist(), strict=True):
-                raw = x.encode()
-                n.append(len(raw)), keep.append(x if own or keep_text else None)
-                sha.append(None if own else hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.string()), batch.column(3), pa.array(n, pa.int64()), pa.array(sha, pa.string()), batch.column(4)], ["id", "th", "t", "rows", "n_bytes", "sha256", "extra"])
+            n, sha, keep, found = [], [], [], []
+            for text, own in zip(strings(batch, "t"), batch.column(3).to_pylist(), strict=True):
+                raw = text.encode()
+                n.append(len(raw)), keep.append(text if own is not None or keep_text else None)
+                sha.append(None if own is not None else hashlib.sha256(raw).hexdigest())
+                if own is None:
+                    found.append(None)
+                    continue
+                places = [r["place"] for r in own]
+                x, y = _digests([raw[p >> 32 : (p >> 32) + (p >> 16 & 0xFFFF)] for p in places], np.array(places) & 0xFFFF)
+                found.append([dict(zip(names, v, strict=True)) for v in zip((r["anchor"] for r in own), places, x.view(np.int64).tolist(), y.view(np.int64).tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.string()), pa.array(found, kind), pa.array(n, pa.int64()), pa.array(sha, pa.string()), batch.column(4)], ["id", "th", "t", "rows", "n_bytes", "sha256", "extra"])
 
-    kind = "array<struct<first:int,size:int,anchor:bigint,whole:bigint,mixed:boolean>>"
     joined = source.join(per_text, ["id", "th"], "left").select("id", "th", "t", "rows", "extra")
     held = joined.schema["extra"].dataType.simpleString()
-    settled = staged(joined.mapInArrow(settle, f"id long, th long, t string, rows {kind}, n_bytes long, sha256 string, extra {held}"))
+    kind = "array<struct<anchor:bigint,place:bigint,x:bigint,y:bigint>>"
+    settled = staged(mapped(joined, settle, f"id long, th long, t string, rows {kind}, n_bytes long, sha256 string, extra {held}"))
+
+    segs = settled.where("rows is not null").select("id", "th", F.explode("rows").alias("r")).select("id", "th", "r.*")
+    groups = segs.groupBy("anchor").agg(*(f(c).alias(f"{c}_{k}") for c in ("x", "y") for k, f in (("low", F.min), ("high", F.max))))
+    segs = staged(segs.join(groups.select("anchor", F.expr("x_low <> x_high OR y_low <> y_high").alias("mixed")), "anchor"))
 
     # distinct segments of anchors with several, each with the text of one place
-    mixed = rows.where("mixed").groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "first", "size")).alias("at"))
-    sizes = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("group"))
-    places = mixed.join(sizes, "anchor").select("anchor", "whole", "n", "group", "at.*")
-    wanted = places.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "whole", "n", "group", "first", "size")).alias("want"))
+    mixed = segs.where("mixed").groupBy("anchor", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "place")).alias("at"))
+    wanted = mixed.select("anchor", "x", "y", "n", "at.*").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "x", "y", "n", "place")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "whole", "n", "group", "t"]
-        for batch in slices(batches, "t", 1 << 20):
+        names = ["anchor", "x", "y", "n", "core", "t"]
+        for batch in slices(batches, "t", SLICE):
             out = []
             for x, want in zip(strings(batch, "t"), batch.column(1).to_pylist(), strict=True):
                 raw = x.encode()
-                out += [(w["anchor"], w["whole"], w["n"], w["group"], raw[w["first"] : w["first"] + w["size"]]) for w in want]
-            columns = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], names)
+                for w in want:
+                    first, size, core = w["place"] >> 32, w["place"] >> 16 & 0xFFFF, w["place"] & 0xFFFF
+                    out.append((w["anchor"], w["x"], w["y"], w["n"], core, raw[first : first + size]))
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     texts = settled.where("rows is not null").select("id", "th", "t").dropDuplicates(["id", "th"])
-    distinct = staged(texts.join(wanted, ["id", "th"]).select("t", "want").mapInArrow(fetch, "anchor long, whole long, n long, group long, t binary"))
-    found = repeated_spans(distinct.where(F.col("group") <= GROUP), length)
-    large = distinct.where(F.col("group") > GROUP)
-    found = staged(found.unionByName(repeated_spans_of_large_groups(large, length)))
-    hits = rows.where("mixed").join(found.where(F.size("spans") > 0), ["anchor", "whole"])
-    hits = hits.groupBy("id", "th").agg(F.collect_set(F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))).alias("hits"))
-    plain = F.transform(F.filter("rows", lambda r: ~r["mixed"]), lambda r: F.struct(r["first"].alias("a"), (r["first"] + r["size"]).alias("b")))
+    distinct = staged(mapped(texts.join(wanted, ["id", "th"]).select("t", "want"), fetch, "anchor long, x long, y long, n long, core int, t binary"))
+    found = repeated_spans(distinct, length, min(GRAM, length))
+    first, size = F.shiftright("place", 32).cast("int"), F.shiftright("place", 16).bitwiseAND(0xFFFF).cast("int")
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + first).alias("a"), (s["b"] + first).alias("b")))
+    parts = segs.where("mixed").join(found.where(F.size("spans") > 0), ["anchor", "x", "y"]).select("id", "th", moved.alias("spans"))
+    whole = segs.where("NOT mixed").select("id", "th", F.array(F.struct(first.alias("a"), (first + size).alias("b"))).alias("spans"))
+    hits = parts.unionByName(whole).groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("hits"))  # bounded by the text's length
     out = settled.join(hits, ["id", "th"], "left")
     none = F.array().cast("array<struct<a:int,b:int>>")
-    return out.select("extra", "t", F.concat(F.coalesce(plain, none), F.coalesce(F.flatten("hits"), none)).alias("runs"), "n_bytes", "sha256")
+    return out.select("extra", "t", F.coalesce("hits", none).alias("runs"), "n_bytes", "sha256")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
@@ -419,7 +474,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 2 << 20):
+        for batch in slices(batches, "t", 1 << 20):
             rows = []
             for x, spans, n, sha in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
                 if sha is not None:
@@ -433,7 +488,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = repeats(docs, id_col, text, length).select("extra.id", "t", "runs", "n_bytes", "sha256")
-    return found.mapInArrow(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return mapped(found, finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:

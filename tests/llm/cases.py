@@ -1,4 +1,4 @@
-"""Small documents with what operators trip over: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+"""Small documents with what operators trip over: nulls, empty and long texts, colliding words, ties, repeated rows, clashing columns."""
 
 import random
 
@@ -13,6 +13,12 @@ def words(n: int, seed: int) -> str:
     return " ".join(r.choice(_WORDS) + str(r.randrange(40)) for _ in range(n))
 
 
+def twins() -> tuple[str, str]:
+    """Two words that polynomial hashes modulo 2**64 do not tell apart, whatever the base (the sequence of Thue and Morse)."""
+    one = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
 def documents() -> list[tuple]:
     base, passage = words(120, 1), words(60, 2)
     near = base.split()

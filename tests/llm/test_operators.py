@@ -139,6 +139,70 @@ def test_sketches_merge_and_estimate():
     assert abs(j[0] - 0.8) < 0.12
 
 
+def naive_mixture(text, model, penalty=2.0):
+    """EM word by word over all languages, then again on each set of the largest, as long as the penalised likelihood rises."""
+    h, first, _ = langid._features([text])
+    words = [h[a:b] for a, b in zip(first, [*first[1:], len(h)])]
+    logs = [[sum(model.logs[i][w].astype(float)) for i in range(len(model.languages))] for w in words]
+    like = [[np.exp(x - max(row)) + 1e-12 for x in row] for row in logs]
+
+    def em(own, p, rounds):
+        for _ in range(rounds):
+            total = dict.fromkeys(own, 0.0)
+            for row in like:
+                z = sum(p[i] * row[i] for i in own)
+                for i in own:
+                    total[i] += p[i] * row[i] / z
+            p = {i: x / len(like) for i, x in total.items()}
+        return p, sum(np.log(sum(p[i] * row[i] for i in own)) for row in like)
+
+    every = range(len(model.languages))
+    full, _ = em(every, dict.fromkeys(every, 1 / len(every)), 6)
+    rank = sorted(every, key=lambda i: (-full[i], i))
+    best, gain = {}, -np.inf
+    for size in range(1, len(rank) + 1):
+        own = rank[:size]
+        z = sum(full[i] + 1e-12 for i in own)
+        p, score = em(own, {i: (full[i] + 1e-12) / z for i in own}, 6 if size > 1 else 0)
+        score -= penalty * size * np.log(len(like) + 1)
+        if score <= gain:
+            break
+        best, gain = p, score
+    return best, full
+
+
+def test_mixtures_equal_naive_em(spark):
+    names = ["l0", "l1", "l2", "l3", "l4"]
+    letters = {x: "abcdefghijklmno"[3 * i : 3 * i + 5] for i, x in enumerate(names)}  # neighbours share letters
+    some = lambda x, n, seed: " ".join("".join(random.Random(f"{x}{seed}{k}").choices(letters[x], k=5)) for k in range(n))
+    model = langid.fit(spark.createDataFrame([(k, some(x, 300, 0), x) for k, x in enumerate(names)], "doc_id long, text string, lang string"))
+    texts = [" ".join(some(x, n, 7) for x, n in zip(names, ns)) for ns in ([40], [20, 20], [30, 0, 9], [9, 9, 9, 9, 9], [1], [3, 2], [60, 1, 1])]
+    share, every, _ = langid.mixture(texts + ["", "1 2"], model)
+    for k, x in enumerate(texts):
+        best, full = naive_mixture(x, model)
+        assert np.allclose(every[k], [full[i] for i in range(5)], atol=1e-4)
+        assert np.allclose(share[k], [best.get(i, 0) for i in range(5)], atol=1e-4)
+    assert not share[len(texts) :].any()
+
+
+def test_language_of_odd_rows(spark, docs):
+    model = langid.fit(docs)
+    got = langid.identify(docs, model).collect()
+    assert len(got) == len(documents()) and all((r.lang_pred == "und") == (not any(map(str.isalpha, x or ""))) for r, x in zip(got, [r[1] for r in documents()]))
+    assert all(0 <= r.score <= 1 for r in got) and langid.keep_identified(docs, model).columns == docs.columns
+
+
+def test_operators_on_nothing(spark, empty):
+    path = codec.tokenizer_path()
+    model = langid.LanguageModel(("a",), np.zeros((1, langid.BUCKETS), np.float32))
+    pages = spark.createDataFrame([], "page_id long, url string")
+    for out in (
+        langid.identify(empty, model), langid.keep_identified(empty, model), quality.judge(empty), quality.keep_good(empty), ogg.text_media(empty),
+        codec.encode_documents(empty, path, codec.build_lexicon(empty, path)), suffix.remove_repeats(empty), suffix.cut_repeats(empty), sharding.assign_shards(empty), urlfilter.judge_urls(pages, []),
+    ):
+        assert out.collect() == []
+
+
 def test_language_of_held_out_texts_and_odd_ones(spark):
     rows = [(k, " ".join(random.Random(k).choice(v) for _ in range(60)), lang) for k in range(60) for lang, v in (("de", ["schön", "und", "nicht", "haben"]), ("en", ["the", "with", "that", "have"]))]
     model = langid.fit(spark.createDataFrame(rows[:100], "doc_id long, text string, lang string"))
@@ -146,7 +210,7 @@ def test_language_of_held_out_texts_and_odd_ones(spark):
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame([(r[0] * 2 + (r[2] == "en"), r[1]) for r in rows[100:]] + odd, "doc_id long, text string"), model).collect()}
     assert all(got[r[0] * 2 + (r[2] == "en")].lang_pred == r[2] for r in rows[100:])
     assert [got[k].lang_pred for k in (900, 901, 902, 903)] == ["und", "und", "und", "de"] and got[900].score == 0
-    assert set(got[904].langs) == {"de", "en"} and abs(got[904].score - 0.5) < 0.1
+    assert set(got[904].langs) == {"de", "en"} and abs(got[904].score - 0.5) < 0.1 and abs(got[904].langs["de"] - 0.5) < 0.1
     nothing = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame(odd, "doc_id long, text string"), nothing).collect()] == ["und"] * 5
 
@@ -183,6 +247,14 @@ def test_urls_equal_brute_force(spark):
     assert got == {k: judge(u) for k, u in rows}
 
 
+def test_urls_without_rules_and_with_odd_letters(spark):
+    pages = spark.createDataFrame([(1, "http://É.Net/x", "c"), (1, "http://É.Net/x", "c"), (2, None, "c"), (3, "http://" + "a." * 3000 + "net/" + "y" * 5000, "c")], "page_id long, url string, host string")
+    rules = [urlfilter.Rule("block", "É.NET", "/"), urlfilter.Rule("block", "É.NET", "/")]
+    got = sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.judge_urls(pages, rules).collect())
+    assert got == [(1, "É.net/", "block"), (1, "É.net/", "block"), (2, None, "allow"), (3, None, "allow")]
+    assert {(r.rule, r.verdict) for r in urlfilter.judge_urls(pages, []).collect()} == {(None, "allow")}
+
+
 def test_url_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).selectExpr("concat('k', id) as key")
     found = urlfilter.blocked_bloom(keys, "key", 256)
@@ -228,6 +300,15 @@ def test_quality_counts_equal_brute_force(docs):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
+def test_twice_written_words_are_turned_away(spark):
+    from loomspan.llm import queries
+
+    word = words(60, 3).split()
+    rows = [(0, " ".join(w for w in word for _ in range(2))), (1, " ".join(word)), (2, " ".join(w for k, w in enumerate(word) for _ in range(1 + (k % 8 == 0))))]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0: False, 1: True, 2: True} and "4 * stutter > n_words" in queries.ORACLE["op5_quality_rules"]
+
+
 def test_the_order_of_rules_changes_no_verdict():
     t = quality.Texts(TEXTS)
     want = quality.cascade(t, quality.DEFAULT).tolist()
@@ -275,6 +356,21 @@ def test_media_damage_is_found(spark):
     assert {r.doc_id for r in rows if r.error} == {2, 3} and sum(r.doc_id == 1 for r in rows) > 30
 
 
+def test_sound_files_of_another_kind_are_told():
+    def file(sound, index, samples=(b"x" * 192,)):
+        pages = [ogg._page(ogg.FIRST, 0, s, 0, *ogg._one(head)) for s, head in ((ogg.SOUND, sound), (ogg.INDEX, index))]
+        at = np.cumsum([len(x) for x in samples]).tolist()
+        body = [p for _, p in ogg._pages(ogg.SOUND, list(zip(samples, at, strict=True)), 1, True)]
+        entry = ogg._ENTRY.pack(0, 96, zlib.crc32(b"x" * 96))
+        return b"".join(pages + body + [p for _, p in ogg._pages(ogg.INDEX, [(entry, 96)], 1, True)])
+
+    good = ogg._SOUND_HEAD.pack(b"pcm8mono", 1, ogg.RATE, ogg.FRAME), ogg._INDEX_HEAD.pack(b"crcindex", ogg.RATE)
+    for heads in ((b"", good[1]), (b"short", good[1]), (good[0], b"other"), good):  # the last: an index of half of the samples
+        with pytest.raises(ogg.OggError):
+            ogg.read(file(*heads))
+    assert ogg.read(ogg.mux(b"y" * 1920)).payload == b"y" * 1920
+
+
 def test_long_packets_span_pages():
     pages = list(ogg._pages(9, [(b"x" * 200_000, 1), (b"", 2), (b"y" * 255, 3)], 0, True))
     data = b"".join(p for _, p in pages)
@@ -306,10 +402,11 @@ def test_merging_equals_the_library_on_random_text(library):
             assert ids.tolist() == ids_of(library, x), x
 
 
-def test_transducer_finds_its_words_only():
+def test_transducer_finds_its_words_only(tmp_path):
     r = random.Random(4)
     lexicon = {"".join(r.choice("abc") for _ in range(r.randint(1, 7))).encode(): np.array([k, k + 1]) for k in range(400)}
-    t = codec.Transducer.mapped(codec.Transducer.build(lexicon).to_bytes())
+    (tmp_path / "words").write_bytes(codec.Transducer.build(lexicon).to_bytes())
+    t = codec.Transducer.mapped(str(tmp_path / "words"))
     keys = sorted(lexicon)
     assert t.places(keys).tolist() == list(range(len(keys)))
     assert t.places([b"", b"abcabcabca", b"d"]).tolist() == [-1, -1, -1]
@@ -344,8 +441,10 @@ def test_repeats_over_several_shards_and_large_groups(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_repeats(rows, 30)
     monkeypatch.setattr(suffix, "GROUP", 5)  # most anchors of the passage are beyond it
-    got = suffix.remove_repeats(df, length=30).collect()
-    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    for shard in (suffix.SHARD, 300):  # groups in one shard, and in several
+        monkeypatch.setattr(suffix, "SHARD", shard)
+        got = suffix.remove_repeats(df, length=30).collect()
+        assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
 def test_shards_of_one_group_meet_by_binary_search():
@@ -353,7 +452,7 @@ def test_shards_of_one_group_meet_by_binary_search():
     parts = [words(4, k).encode() + passage + words(3, k).encode() for k in range(12)]
     n = np.ones(6, np.int64)
     a, b = (suffix.repeated(p, n, 40) for p in (parts[:6], parts[6:]))
-    mine, theirs = suffix._Sorted(a[0], a[2], 40).meet(suffix._Sorted(b[0], b[2], 40))
+    mine, theirs = suffix.Shard(a[0], a[2], 40).find(suffix.Shard(b[0], b[2], 40))
     assert {a[0][k : k + 40].tobytes() for k in mine} == {b[0][k : k + 40].tobytes() for k in theirs} >= {passage[:40]}
 
 
@@ -392,6 +491,23 @@ def test_tables_round_trip_in_order(spark, docs, library, tmp_path):
     assert [x.tolist() for x in found[12]] == [[*ids_of(library, rows[12][1]), 2]] and len(found[7]) == 2 and found[999] == []
 
 
+def test_an_id_that_many_rows_have_is_split(spark, library):
+    rows = [(7, words(3, k % 5)) for k in range(200)] + [(None, "same text")] * 200 + [(9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one partition
+    try:
+        files = sst.write_shards(df, codec.tokenizer_path(), f"{shared_dir(spark)}/t", 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sst.read_shards(files).orderBy("start").collect()
+    assert files.select("part").distinct().count() > 2
+    want = collections.Counter(((-(1 << 63) if i is None else i), len(ids_of(library, t)) + 1) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == want and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    order = lambda: [(r.start, r.ids_crc32) for r in sst.read_shards(sst.write_shards(df, codec.tokenizer_path(), f"{shared_dir(spark)}/t", 2)).orderBy("start").collect()]
+    assert order() == order()
+
+
 def test_tables_of_nothing(spark, empty):
     assert sst.round_trip(spark, empty, codec.tokenizer_path()).collect() == []
 
