@@ -25,20 +25,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, slices, staged, strings
+from .common import FILTER_WORDS, likely_among, mapped, slices, staged, strings
 from .words import split
 
 BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.09, 4.0, 255
 LOAD = 512  # texts that are compared with one copy of another text
-FILTER_WORDS = 1 << 20  # of 64 bits, at most, in the filter of wanted ids
 SMALL = 32  # members of buckets in which components are compared directly
 MARGIN = 0.13  # five standard deviations of the estimate
 
@@ -138,8 +136,9 @@ def sketched(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
     return staged(mapped(rows, work, "id long, n long, digest binary, sketch binary"))
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """rep, band: one row for each band of each class."""
+def banded(classes: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """rep, band: one row for each band of each class; with ``among`` (a bit for each value of the low bits of a band) only for those that may be there."""
+    wanted = None if among is None else classes.sparkSession.sparkContext.broadcast(among)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -150,12 +149,30 @@ def banded(classes: DataFrame) -> DataFrame:
             for k in range(ROWS):
                 h = (h ^ rows[:, :, k]) * factor
                 h ^= h >> np.uint64(29)
-            rep = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, BANDS)), pa.array(h.ravel().view(np.int64))], ["rep", "band"])
+            rep, band = np.repeat(batch.column(0).to_numpy(), BANDS), h.ravel()
+            if wanted is not None:
+                low = band & np.uint64(len(wanted.value) * 64 - 1)
+                may = wanted.value[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1) == 1
+                rep, band = rep[may], band[may]
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(band.view(np.int64))], ["rep", "band"])
 
     return mapped(classes.select("rep", "sketch"), work, "rep long, band long")
 
 
+def _marks(hubs: DataFrame) -> np.ndarray | None:
+    """A bit for each value that the low bits of a wanted band have, 16 bits a band; None where there are too many bands for FILTER_WORDS words."""
+    n = hubs.count()
+    if n > 4 * FILTER_WORDS:
+        return None
+    words = min(FILTER_WORDS, max(64, 1 << (n // 4).bit_length()))
+    low = F.col("band").bitwiseAND(F.lit(words * 64 - 1).cast("long"))
+    bit = F.expr("shiftleft(1L, CAST(band & 63 AS INT))")
+    rows = hubs.select(F.shiftright(low, 6).cast("int").alias("w"), bit.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # a row for each word at most
+    out = np.zeros(words, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs a, b whose sizes allow ``least`` and whose estimate is not far below it; adds ``est``."""
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
@@ -175,31 +192,9 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def wanted(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``source`` whose id is among the distinct ``ids``.
-
-    Before texts are moved, a blocked Bloom filter of the ids (FILTER_WORDS words at
-    most) drops nearly all others in the scan; beyond some million ids it drops fewer, and
-    the join alone decides.
-    """
+    """The rows of ``source`` whose id is among the distinct ``ids``; nearly all others are dropped in the scan, before texts are moved."""
     ids = staged(ids)
-    n = ids.count()
-    if not n:
-        return source.limit(0)
-    blocks = min(FILTER_WORDS, max(64, 1 << (n // 4).bit_length()))
-    h = F.xxhash64(F.lit(3), "id")
-    mask = F.expr(" | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(3, id), {k}) & 63 AS INT))" for k in (40, 46, 52, 58)))
-    rows = ids.select(F.pmod(h, F.lit(blocks)).cast("int").alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
-    words = np.zeros(blocks, np.int64)
-    words[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    shared = source.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def may_be(block: pd.Series, mask: pd.Series) -> pd.Series:
-        m = mask.to_numpy()
-        return pd.Series(shared.value[block.to_numpy()] & m == m)
-
-    some = source.where(may_be(F.pmod(h, F.lit(blocks)).cast("int"), mask))
-    return some.join(ids.hint("shuffle_hash"), "id")
+    return likely_among(source, "id", ids, "id").join(ids.hint("shuffle_hash"), "id")
 
 
 def beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -289,7 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = staged(classes)
     bands = banded(classes)
     hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
-    members = staged(bands.join(hubs, "band").select("band", "hub", "rep"))
+    hubs = staged(hubs)
+    members = staged(banded(classes, _marks(hubs)).join(hubs, "band").select("band", "hub", "rep"))
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts: DataFrame | None = None
