@@ -10,12 +10,15 @@ from loomspan.llm.common import read_table, staged
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule. Null and empty texts go; repeated rows stay or go together; no row gives none."""
     return quality.keep_good(docs)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one language, learned from all labelled documents, makes up half at least."""
+    """Documents of which one language, learned from all labelled documents, makes up half at least.
+
+    Null texts and texts without a letter go, and all go where no document has a language; repeated rows stay or go together.
+    """
     return langid.keep_identified(docs, langid.fit(docs))
 
 
@@ -23,7 +26,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
     Rows are told apart by 64-bit hashes of id and text, so rows without an id or with a
-    repeated one count on their own. The smallest id of a group stays, none before any.
+    repeated one count on their own. The smallest id of a group stays, none before any; of rows with equal id and text one stays.
+    Null, empty and wordless texts are like no other, and stay.
     """
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     found = neardup.near_duplicates(keyed, id_col="_key", width=5, percent=80).select("_key", "component_id").distinct()
@@ -33,12 +37,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 200 bytes that occur elsewhere; ``n_chars`` follows."""
+    """Documents without the strings of 200 bytes that occur elsewhere; ``n_chars`` follows.
+
+    Every row stays, if with an empty text; a null text becomes the empty one. Repeated rows lose what they share.
+    """
     return suffix.cut_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4096 tokens."""
+    """Pieces of the documents in sequences of at most 4096 tokens. A null or empty text has one token, the end; repeated rows are packed each."""
     return packing.pack_documents(docs, codec.tokenizer_path(), 4096, 1)
 
 

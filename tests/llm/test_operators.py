@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -126,6 +127,43 @@ def test_large_graded_groups_equal_brute_force(spark, kind):
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == want and len({c for _, _, c in want}) > 3
 
 
+def exact_links(rows, width, percent=80):
+    """All links of a table: candidates share one of the rarest shingles that the bound leaves, exact sets decide."""
+    sets = {i: shingles(t, width) for i, t in rows}
+    n = collections.Counter(x for s in sets.values() for x in s)
+    index, links = collections.defaultdict(list), set()
+    for i, s in sorted(sets.items(), key=lambda x: (len(x[1]), x[0])):
+        prefix = sorted(s, key=lambda x: (n[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        seen = {j for x in prefix for j in index[x] if 100 * len(sets[j]) >= percent * len(s)}
+        links |= {(min(i, j), max(i, j)) for j in seen if 100 * len(s & sets[j]) >= percent * len(s | sets[j])}
+        for x in prefix:
+            index[x].append(i)
+    return links
+
+
+def test_no_link_of_a_whole_table_is_lost(spark):
+    folder = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(folder)
+    component = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, width=2).collect()}
+    links = exact_links([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 2)
+    kept = sum(component[a] == component[b] for a, b in links)
+    print(f"links {len(links)}, in one component {kept}, recall {kept / len(links):.6f}")
+    assert kept == len(links) > 100
+    up = {i: i for i in component}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    assert {i: top(i) for i in component} == component
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).collect() == []
 
