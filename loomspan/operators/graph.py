@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import dir_of, file_ref, import_candidates, matches_glob
+from ..functions.paths import file_ref, import_candidates, matches_glob
 from ..storage import staged
 from . import spans
 

@@ -155,7 +155,7 @@ def docs_before_declarations(spark, sf_dir):
     return refactor.comments_before(own, points).select("file", "doc")
 
 
-@query("SELECT html_id AS file, 'p' AS type, n FROM (SELECT CAST(page_id AS VARCHAR) AS html_id, len(regexp_extract_all(html, '<title>')) AS n FROM pages) WHERE n > 0 AND false UNION ALL SELECT CAST(page_id AS VARCHAR), 'title in head', len(regexp_extract_all(html, '<title>')) FROM pages WHERE regexp_matches(html, '<title>')")
+@query("SELECT CAST(page_id AS VARCHAR) AS file, 'title in head' AS type, len(regexp_extract_all(html, '<title>')) AS n FROM pages WHERE regexp_matches(html, '<title>')")
 def syntax_tree_query(spark, sf_dir):
     """Nodes by the shape of the tree around them: a title directly below a head."""
     pages = read_table(spark, sf_dir, "pages").withColumn("file", _str("page_id"))
@@ -626,7 +626,7 @@ def applied_plan(spark, sf_dir):
     return refactor.applied_plan(own, edits, moves)
 
 
-@query(f"SELECT file, idx AS seq FROM {IV} a WHERE flag <> 'R' AND NOT EXISTS (SELECT 1 FROM {IV} b WHERE b.flag = 'R' AND b.file = a.file AND a.s < b.e AND b.s < a.e) AND NOT EXISTS (SELECT 1 FROM {IV} c WHERE c.flag <> 'R' AND c.file = a.file AND (c.idx < a.idx OR (c.idx = a.idx AND c.e < a.e)) AND c.s < a.e AND a.s < c.e AND false)")
+@query(f"SELECT file, idx AS seq FROM {IV} a WHERE flag <> 'R' AND NOT EXISTS (SELECT 1 FROM {IV} b WHERE b.flag = 'R' AND b.file = a.file AND a.s < b.e AND b.s < a.e)")
 def edits_off_occupied_spans(spark, sf_dir):
     """Edits that overlap no span that is taken: taken are the returned lines of an order."""
     own = intervals(spark, sf_dir)

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import io
-import json
 import os
 import zipfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import paths, text as texts
-from .operators import graph, rules, sequence, similarity, spans, tape
-from .plans import matcher as M
+from .operators import rules, sequence, similarity, tape
 from .plans import pattern as P
-from .plans.rules import load, load_folder
+from .plans.rules import load_folder
 from .plans.sexp import Expander
 from .registry import FILES, IV, PIECES, SEQ, SEQB, SPANS, TURN, event_files, files, intervals, query, scanned, sequences, turns
 from .sources import files as sources
@@ -375,9 +373,6 @@ def matcher_take(spark, sf_dir):
     return _search(spark, sf_dir, '(take b (seq (capture a "view") (capture b "click")))').select("file", "start", "end")
 
 
-_WORD_COUNT = "len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])the(?:$|[^A-Za-z0-9_])'))"
-
-
 @query(f"SELECT file, n FROM (SELECT file, lang, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]'), lambda t: t = 'the')) AS n FROM {FILES}) WHERE n > 0 AND file LIKE 'src1/%' AND file NOT LIKE '%.fr'")
 def matcher_and_gate(spark, sf_dir):
     found = rules.search(files(spark, sf_dir), '(and (path "src1/*") (not (path "*.fr")) "the")', regex=tape.WORDS)
