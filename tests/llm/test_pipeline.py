@@ -2,10 +2,10 @@ import collections
 import re
 
 import corpus_pipeline
-from loomspan.llm import codec, langid, quality
+from loomspan.llm import langid
 
 from .cases import words
-from .test_operators import TEXTS, base_counts, crc, ids_of, library, linked, naive_mixture  # noqa: F401
+from .test_operators import base_counts, crc, ids_of, library, linked, naive_mixture  # noqa: F401
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
