@@ -105,6 +105,25 @@ def likely_among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataF
     return df.where(may_be(*_bits(column, blocks)))
 
 
+HEAVY = 1000  # keys that each have more than this part of all rows are fewer than this
+
+
+def joined(df: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``df`` with ``table``, which has one row a key, nulls equal; ``weight`` counts the rows of a key and is dropped.
+
+    Rows of heavy keys stay where they are and their few table rows are broadcast; other rows move to their key's
+    row. No task gets all rows of a heavy key. ``df`` is read twice and ``table`` three times, so both should be written.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    table = table.withColumnRenamed(key, "_joined")
+    is_heavy = F.col(weight) * HEAVY > total
+    heavy, light = (table.where(x).drop(weight) for x in (is_heavy, ~is_heavy))
+    same = F.col(key).eqNullSafe(F.col("_joined"))
+    heavy = F.broadcast(heavy)  # fewer than HEAVY rows
+    rest = df.join(heavy.select("_joined"), same, "left_anti").join(light, same)
+    return df.join(heavy, same).unionByName(rest).drop("_joined")
+
+
 def ranked(df: DataFrame, key: str, order: list[str], rank: str, spread: list[str], few_keys: int, buckets: int = 256) -> DataFrame:
     """Number the rows of each ``key`` from 0 without one task holding a whole key.
 

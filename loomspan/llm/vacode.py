@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, staged
+from .common import joined, mapped, staged
 from .vectors import kept, scaled
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 CELL_BITS = 3
 _BLOCK = 2048  # vectors whose bounds are worked out at once
-HEAVY = 1000  # labels with more than this part of all rows are few, and broadcast
 
 
 class Cells:
@@ -160,13 +159,6 @@ def vector_codes(rows: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
 
 
 def summed(coded: DataFrame) -> DataFrame:
-    """Adds label_error: the errors of all rows of a label together.
-
-    Labels that each have more than a HEAVY-th of all rows are fewer than HEAVY; their rows stay where they are and the sums
-    are broadcast. The other rows move to their label's sum.
-    """
-    sums = staged(coded.groupBy("l").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("n")))
-    n = sums.agg(F.sum("n")).first()[0] or 0
-    heavy, light = sums.where(F.col("n") * HEAVY > n).drop("n"), sums.where(F.col("n") * HEAVY <= n).drop("n")
-    with_sum = lambda s: coded.join(s.withColumnRenamed("l", "_l"), F.col("l").eqNullSafe(F.col("_l"))).drop("_l")
-    return with_sum(F.broadcast(heavy)).unionByName(with_sum(light.hint("merge")))
+    """Adds label_error: the errors of all rows of a label together; rows without a label share one sum."""
+    sums = coded.groupBy("l").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("n"))
+    return joined(coded, staged(sums), "l", "n")
