@@ -1,7 +1,7 @@
 """Repeated byte strings by suffix arrays over the places where texts can repeat.
 
-Every string of ``length`` bytes has one anchor, its smallest k-gram hash, so equal
-strings have equal anchors. Neighbouring strings with one anchor make a segment. Only
+Every string of ``length`` bytes has one anchor, the leftmost of its smallest k-gram hashes. Hashes are
+compared whole and depend on the k-gram's bytes alone, so equal strings have equal anchors wherever they stand. Neighbouring strings with one anchor make a segment. Only
 segments whose anchor occurs again can hold a repeated string; those of one anchor that
 are all equal (by 128 bits) are repeated as a whole. The others meet, distinct ones once, in
 shards made by anchor: each shard's suffix array is refined by Larsson and Sadakane's
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_among, mapped, slices, staged, strings
+from .common import joined, likely_among, mapped, slices, staged, strings
 
 GRAM = 40  # bytes of an anchor
 SHARD = 1 << 20  # bytes of text in a shard
@@ -62,6 +62,9 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (h * np.uint64(0xD6E8FEB86659FD93)) ^ h >> np.uint64(29)
 
 
+gram_hash = span_hash  # of anchors; tests put one with few values in its place
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` neighbours, by doubling."""
     have, out = 1, x
@@ -72,6 +75,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest value among each ``width`` neighbours, the leftmost of equal ones. It depends on these values alone."""
+    low = sliding_min(x, width)
+    own = x[: len(low)] == low  # the window's first value is smallest
+    # where the next window has another minimum, or none follows, the window itself is searched; other windows have the place of the next one
+    cut = np.flatnonzero(np.append(low[1:] != low[:-1], True) & ~own)
+    place = np.arange(len(low))
+    windows = np.lib.stride_tricks.sliding_window_view(x, width)
+    for k in range(0, len(cut), 4096):
+        some = cut[k : k + 4096]
+        place[some] = some + windows[some].argmin(axis=1)
+    own[cut] = True
+    known = np.flatnonzero(own)
+    return np.repeat(place[known], np.diff(known, prepend=-1))
+
+
 def segments(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, part number, start, size and the anchor's place of all segments of the parts."""
     gram = min(GRAM, length)
@@ -82,10 +101,8 @@ def segments(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         return none
     sums = prefix_sums(raw)
     at = np.arange(len(raw) - gram + 1)
-    h = span_hash(sums, at, at + gram)
-    bits = np.uint64(int(len(h)).bit_length())
-    low = sliding_min((h >> bits << bits) | at.astype(np.uint64), length - gram + 1)
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    h = gram_hash(sums, at, at + gram)
+    anchor = leftmost_min(h, length - gram + 1)
     ends = np.cumsum(sizes)
     part = np.searchsorted(ends, np.arange(len(anchor)), side="right")
     inside = np.flatnonzero(np.arange(len(anchor)) + length <= ends[part])
@@ -406,8 +423,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
 
     long_ones = source.where(F.octet_length("t") >= length).select("id", "th", "t")
     rows = staged(mapped(long_ones, cut, "id long, th long, anchor long, place long"))
-    again = staged(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    rows = likely_among(rows, "anchor", again, "anchor").join(again, "anchor")
+    again = staged(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = joined(likely_among(rows, "anchor", again, "anchor"), again, "anchor", "n")
     per_text = rows.groupBy("id", "th").agg(F.collect_set(F.struct("anchor", "place")).alias("rows"))  # bounded by the text's length
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,14 +444,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
                 found.append([dict(zip(names, v, strict=True)) for v in zip((r["anchor"] for r in own), places, x.view(np.int64).tolist(), y.view(np.int64).tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.string()), pa.array(found, kind), pa.array(n, pa.int64()), pa.array(sha, pa.string()), batch.column(4)], ["id", "th", "t", "rows", "n_bytes", "sha256", "extra"])
 
-    joined = source.join(per_text, ["id", "th"], "left").select("id", "th", "t", "rows", "extra")
-    held = joined.schema["extra"].dataType.simpleString()
+    with_rows = source.join(per_text, ["id", "th"], "left").select("id", "th", "t", "rows", "extra")
+    held = with_rows.schema["extra"].dataType.simpleString()
     kind = "array<struct<anchor:bigint,place:bigint,x:bigint,y:bigint>>"
-    settled = staged(mapped(joined, settle, f"id long, th long, t string, rows {kind}, n_bytes long, sha256 string, extra {held}"))
+    settled = staged(mapped(with_rows, settle, f"id long, th long, t string, rows {kind}, n_bytes long, sha256 string, extra {held}"))
 
     segs = settled.where("rows is not null").select("id", "th", F.explode("rows").alias("r")).select("id", "th", "r.*")
-    groups = segs.groupBy("anchor").agg(*(f(c).alias(f"{c}_{k}") for c in ("x", "y") for k, f in (("low", F.min), ("high", F.max))))
-    segs = staged(segs.join(groups.select("anchor", F.expr("x_low <> x_high OR y_low <> y_high").alias("mixed")), "anchor"))
+    groups = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{c}_{k}") for c in ("x", "y") for k, f in (("low", F.min), ("high", F.max))))
+    groups = staged(groups.select("anchor", "n", F.expr("x_low <> x_high OR y_low <> y_high").alias("mixed")))
+    segs = staged(joined(segs, groups, "anchor", "n"))
 
     # distinct segments of anchors with several, each with the text of one place
     mixed = segs.where("mixed").groupBy("anchor", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "place")).alias("at"))

@@ -494,6 +494,41 @@ def test_shards_of_one_group_meet_by_binary_search():
     assert {a[0][k : k + 40].tobytes() for k in mine} == {b[0][k : k + 40].tobytes() for k in theirs} >= {passage[:40]}
 
 
+@pytest.mark.parametrize("bits", [1, 3, 64])
+def test_anchors_depend_on_the_string_alone(monkeypatch, bits):
+    """Equal strings in slices of any size have one anchor, also where many hashes tie."""
+    cut = np.uint64(64 - bits)
+    monkeypatch.setattr(suffix, "gram_hash", lambda *a: suffix.span_hash(*a) >> cut)
+    r = random.Random(bits)
+    shared = bytes(r.choice(b"abc") for _ in range(260))
+    slices = [[shared], [b"x" * 40, shared + b"tail"], [bytes(r.choice(b"ab") for _ in range(1 << 18)) + shared, b"y" * 300]]
+    seen = collections.defaultdict(set)
+    for parts in slices:
+        for anchor, part, first, size, core in zip(*(x.tolist() for x in suffix.segments(parts, 200)), strict=True):
+            for k in range(size - 199):
+                assert core >= k and core - k <= 160
+                seen[parts[part][first + k : first + k + 200]].add((anchor, core - k))
+    assert all(len(x) == 1 for x in seen.values())
+    assert sum(shared[k : k + 200] in seen for k in range(61)) == 61
+
+
+def test_leftmost_minima():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(r.integers(1, 300))
+        width = int(r.integers(1, n + 1))
+        x = r.integers(0, int(r.choice([1, 2, 9, 10_000])), n).astype(np.uint64)
+        assert suffix.leftmost_min(x, width).tolist() == [k + int(x[k : k + width].argmin()) for k in range(n - width + 1)]
+
+
+def test_a_repeat_is_found_from_short_to_very_long_texts(spark):
+    r = random.Random(11)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(200))
+    long_one = "".join(map(str, np.random.default_rng(3).integers(0, 10**9, 300_000).tolist())) + shared
+    got = {x.doc_id: x.n_removed for x in suffix.remove_repeats(spark.createDataFrame([(0, shared), (1, long_one), (2, "z" + shared[1:])], "doc_id long, text string")).collect()}
+    assert got == {0: 200, 1: 200, 2: 0}
+
+
 def test_suffix_arrays_and_common_prefixes():
     r = random.Random(8)
     for n in (1, 2, 50, 400):
