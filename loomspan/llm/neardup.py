@@ -17,20 +17,20 @@ T = (1 - s) / (1 + s) * (|x| + |y|), that is, if Dx and Dy share at least
 than 0 for every y, so an equi-join on the rarest elements of each D, only as many as that
 bound leaves, finds all such pairs; those that are near the pivot are linked with it. No
 link is lost, and pairs that meet have something rare in common that the pivot has not (or lacks
-what it has).
+what it has). Members of one component need no further link and never meet.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILTER_WORDS, likely_among, mapped, slices, staged, strings
+from .common import FILTER_WORDS, joined, likely_among, mapped, slices, staged, strings
 from .words import split
 
 BANDS, ROWS = 42, 6
@@ -52,6 +52,15 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     A-Z count as a-z; words are runs without ASCII white space. Fewer words make one
     shingle of them all; no word makes an empty set.
     """
+    return [s for s, _ in _sets(texts, width, False)]
+
+
+def digested_sets(texts: list[str], width: int) -> list[tuple[np.ndarray, bytes]]:
+    """As shingle_sets, each with 128 bits that tell its set: a cryptographic digest of the exact keys of all words of its shingles."""
+    return _sets(texts, width, True)
+
+
+def _sets(texts: list[str], width: int, digests: bool) -> list[tuple[np.ndarray, bytes]]:
     raw = [x.encode().translate(_LOWER) for x in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
     found = split(b"\n".join(raw))
@@ -61,18 +70,25 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     for k in range(width):
         part = keys[k:]
         shingles[: len(part)] = _mix(shingles[: len(part)], part)
+    exact = np.stack([found.a, found.b, found.size.astype(np.uint64)], axis=1) if digests else None
     out, before = [], 0
     for end in ends.tolist():
         n = end - before
+        at = np.zeros(1, np.int64)
         if n >= width:
-            out.append(np.unique(shingles[before : end - width + 1]))
+            own = shingles[before : end - width + 1]
+            hashes, at = np.unique(own, return_index=True) if digests else (np.unique(own), at)
         elif n:
-            h = np.full(1, n, np.uint64)
+            hashes = np.full(1, n, np.uint64)
             for k in keys[before:end]:
-                h = _mix(h, k)
-            out.append(h)
+                hashes = _mix(hashes, k)
         else:
-            out.append(np.empty(0, np.uint64))
+            hashes, at = np.empty(0, np.uint64), np.empty(0, np.int64)
+        digest = b""
+        if digests:
+            words = exact[before + at[:, None] + np.arange(min(n, width))]  # of each shingle, in order of its hash
+            digest = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+        out.append((hashes, digest))
         before = end
     return out
 
@@ -127,8 +143,7 @@ def sketched(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            sets = shingle_sets(strings(batch, "t"), width)
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            sets, digests = zip(*digested_sets(strings(batch, "t"), width), strict=True)
             sketches = [sketch(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["id", "n", "digest", "sketch"])
 
@@ -283,9 +298,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = all_.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = staged(classes)
     bands = banded(classes)
-    hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
-    hubs = staged(hubs)
-    members = staged(banded(classes, _marks(hubs)).join(hubs, "band").select("band", "hub", "rep"))
+    hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"))
+    hubs = staged(hubs.where("hub < last").select("band", "hub", "n"))
+    members = staged(joined(banded(classes, _marks(hubs)), hubs, "band", "n").select("band", "hub", "rep"))
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts: DataFrame | None = None
@@ -319,9 +334,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # buckets that still hold several components
     label = F.coalesce("label", "rep")
     own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
-    own = own.select("band", "hub", "rep", label.alias("label"))
-    mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y and size > 2").select("band", "size")
-    own = staged(own.join(mixed, "band"))
+    own = staged(own.select("band", "hub", "rep", label.alias("label")))
+    mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y and size > 2")
+    own = staged(joined(own, staged(mixed.select("band", "size", F.col("size").alias("n"))), "band", "n"))
     few = own.where(F.col("size") <= SMALL)
     other = few.select("band", F.col("rep").alias("b"), F.col("label").alias("l_b"))
     close = few.withColumnRenamed("rep", "a").join(other, "band").where("a < b and label <> l_b").select("a", "b").distinct()
@@ -347,13 +362,31 @@ def by_difference(large: DataFrame, fetch: Callable[[DataFrame], DataFrame], wid
 
     The label that most members of a bucket have names its family. ``fetch`` gives the texts of
     ids. See the module's head for why no pair that is similar enough is left out.
+
+    Members of one label never meet. Labels meet first, as one row each; their members follow where one of
+    two labels is the family's, or both have few members. A large label that meets others than the family's makes a
+    family of its own, in which those others meet its members only.
     """
     sizes = large.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-    family = sizes.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("family"))
-    members = staged(large.join(family, "band").select("family", "rep", "label").distinct())
+    family = staged(sizes.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("family"), F.sum("k").alias("n")))
+    members = staged(joined(large, family, "band", "n").select("family", "rep", "label").distinct())
+    plain, index = rarest(differences(members, fetch, width), percent)
+    labels = labels_met(index, members)
+    pairs = plain.unionByName(fitting(members_met(index, labels.where("NOT beyond")), percent))
+    first = F.struct("size_x", "label_x") > F.struct("size_y", "label_y")
+    beyond = labels.where("beyond").select("family", F.when(first, F.col("label_x")).otherwise(F.col("label_y")).alias("own"), F.when(first, F.col("label_y")).otherwise(F.col("label_x")).alias("other"))
+    beyond = staged(beyond.distinct())
+    if beyond.isEmpty():
+        return pairs.distinct()
+    side = lambda c: members.join(beyond.select("family", "own", F.col(c).alias("label")).distinct(), ["family", "label"]).select(F.col("own").alias("family"), "rep", "label")
+    plain, index = rarest(differences(staged(side("own").unionByName(side("other")).distinct()), fetch, width), percent)
+    return pairs.unionByName(plain).unionByName(fitting(members_of_family_met(index), percent)).distinct()
+
+
+def differences(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
+    """Members (family, rep, label) with ``more``, what of their set and the pivot's is in one only, the sizes n and n_pivot, and the pivot: a member of the family's label."""
     pivots = members.where("label = family").groupBy("family").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("a"))
     texts = fetch(members.select(F.col("rep").alias("id")))
-    far = (100 - percent) / (100 + percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in met(batches, lambda own: shingle_sets(own, width)):
@@ -367,25 +400,62 @@ def by_difference(large: DataFrame, fetch: Callable[[DataFrame], DataFrame], wid
             yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(pivot_size, pa.int64()), pa.array(more, pa.list_(pa.int64()))], ["pivot", "rep", "family", "label", "n", "n_pivot", "more"])
 
     rows = beside(members.join(pivots, "family").select("a", F.col("rep").alias("id"), "family", "label"), texts)
-    measured = staged(mapped(rows, work, "pivot long, rep long, family long, label long, n long, n_pivot long, more array<long>"))
+    return staged(mapped(rows, work, "pivot long, rep long, family long, label long, n long, n_pivot long, more array<long>"))
+
+
+def _far(percent: int) -> float:
+    return (100 - percent) / (100 + percent)
+
+
+def rarest(measured: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of members near the pivot and it; and an index of all members' rarest differences, as many as the bound leaves.
+
+    The index has family, e, rep, label, n, d (how many differences), left (how many of them are as frequent at least), and
+    tail: whether it is of another label than the family's and far from the pivot. Only what a tail has is in it.
+    """
+    far = _far(percent)
     d = F.size("more")
     tail = F.col("label") != F.col("family")
     near = d <= far * (F.col("n") + F.col("n_pivot")) + 1e-6
     plain = measured.where(tail & near).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
-
-    # each set's rarest differences, as many as the bound leaves
     each = measured.select("family", "rep", "label", "n", d.alias("d"), (tail & ~near).alias("tail"), F.explode("more").alias("e"))
     common = each.groupBy("family", "e").agg(F.count(F.lit(1)).alias("k"), F.max("tail").alias("some")).where("k > 1")
     order = Window.partitionBy("family", "rep", "n", "d").orderBy(F.desc_nulls_last("k"), "e")  # one set's own differences
     ranked = each.join(common, ["family", "e"], "left").withColumn("left", F.row_number().over(order).cast("long"))
     short = F.col("left") >= F.col("d") - F.floor(far * F.col("n") * (1 + 100 / percent) + 1e-6)
-    index = staged(ranked.where("some").where(short).select("family", "e", "rep", "label", "n", "d", "left", "tail"))
+    return plain, staged(ranked.where("some").where(short).select("family", "e", "rep", "label", "n", "d", "left", "tail"))
+
+
+def labels_met(index: DataFrame, members: DataFrame) -> DataFrame:
+    """family, e, label_x (of a tail), label_y (another) and their sizes in the family; beyond: whether neither is the family's and one is large."""
+    sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
+    own = index.groupBy("family", "e", "label").agg(F.max("tail").alias("tail")).join(sizes, ["family", "label"])
+    own = staged(own)
+    x = own.where("tail").select("family", "e", F.col("label").alias("label_x"), F.col("size").alias("size_x"))
+    y = own.select("family", "e", F.col("label").alias("label_y"), F.col("size").alias("size_y"))
+    beyond = (F.col("label_y") != F.col("family")) & (F.greatest("size_x", "size_y") > SMALL)
+    return x.join(y, ["family", "e"]).where("label_x <> label_y").withColumn("beyond", beyond)
+
+
+def members_met(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tails of label_x and members of label_y that have e."""
     x = index.where("tail").select("family", "e", *(F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "d", "left")))
-    most = far * (F.col("n") + F.col("n_x")) + 1e-6
+    y = index.withColumnRenamed("label", "label_y")
+    return x.join(labels.select("family", "e", "label_x", "label_y"), ["family", "e", "label_x"]).join(y, ["family", "e", "label_y"])
+
+
+def members_of_family_met(index: DataFrame) -> DataFrame:
+    """Tails and members of the family's own label that share a difference."""
+    x = index.where("tail").select("family", "e", *(F.col(c).alias(f"{c}_x") for c in ("rep", "n", "d", "left")))
+    return x.join(index.where("label = family"), ["family", "e"])
+
+
+def fitting(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b whose differences leave room for enough in common."""
+    most = _far(percent) * (F.col("n") + F.col("n_x")) + 1e-6
     needed = (F.col("d") + F.col("d_x") - most) / 2
-    fits = (F.col("label") != F.col("label_x")) & (F.least("left", "left_x") >= needed) & (F.abs(F.col("d") - F.col("d_x")) <= most)
-    found = x.join(index, ["family", "e"]).where(fits).select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b"))
-    return plain.unionByName(found.distinct())
+    fits = (F.least("left", "left_x") >= needed) & (F.abs(F.col("d") - F.col("d_x")) <= most)
+    return pairs.where(fits).select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b"))
 
 
 def grown(edges: DataFrame | None, new: DataFrame) -> DataFrame | None:

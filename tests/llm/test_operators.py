@@ -127,6 +127,44 @@ def test_large_graded_groups_equal_brute_force(spark, kind):
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == want and len({c for _, _, c in want}) > 3
 
 
+def two_groups(n, seed=5, third=0):
+    """Two groups of near copies, n texts each, with a similarity of about 0.67 between the groups; ``third`` more texts, each far from all but alike in what they change."""
+    r = random.Random(seed)
+    base = [f"{w}{k}" for k, w in enumerate(words(240, 31).split())]
+    other = [w if k % 10 else f"else{k}" for k, w in enumerate(base)]
+    rows = []
+    for k in range(2 * n):
+        rows.append((k, " ".join([*(base, other)[k % 2], f"own{k}", f"more{k}"])))
+    for k in range(third):
+        own = [w if j % 7 != 3 else f"third{j}" for j, w in enumerate(base)]
+        for at in r.sample(range(240), 30):
+            own[at] = f"own{k}y{at}"
+        rows.append((2 * n + k, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("third", [0, 40])
+def test_two_large_groups_meet_in_proportion_to_their_size(spark, monkeypatch, third):
+    made = []
+    fitting = neardup.fitting
+    monkeypatch.setattr(neardup, "fitting", lambda pairs, percent: (made.append(pairs.count()), fitting(pairs, percent))[1])
+    counts = []
+    for n in (50, 100, 200):
+        rows = two_groups(n, third=third)
+        made.clear()
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+        assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == linked(rows, 2)
+        counts.append(sum(made))
+    print("pairs met", counts)
+    assert counts[2] <= 2.6 * max(counts[1], 500) and counts[1] <= 2.6 * max(counts[0], 500)
+
+
+def test_digests_tell_sets_by_their_words():
+    a, b = "x y z x y", "x y z x y z x"
+    (s, d), (t, e), (_, f) = neardup.digested_sets([a, b, "x y z"], 2)
+    assert (s == t).all() and d == e != f and neardup.digested_sets(["", "one"], 2)[0][0].size == 0
+
+
 def exact_links(rows, width, percent=80):
     """All links of a table: candidates share one of the rarest shingles that the bound leaves, exact sets decide."""
     sets = {i: shingles(t, width) for i, t in rows}
