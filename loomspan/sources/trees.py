@@ -8,12 +8,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
+from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import syntax
+
 NODES = "file string, node_id int, parent_id int, type string, start int, end int, depth int, field string"
 #: Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -87,6 +90,12 @@ def python_nodes(text: str) -> list[tuple]:
     return rows
 
 
+def brace_nodes(language: str, text: str) -> list[tuple]:
+    """Nodes of a file of a language with braces, leaves included; one that does not parse has ERROR and MISSING nodes."""
+    rows = syntax.rows(text, language)
+    return [(*r, own[6]) for r, own in zip(_in_bytes(text, [r[:6] for r in rows]), rows, strict=True)]
+
+
 def _in_bytes(text: str, rows: list) -> list[tuple]:
     if text.isascii():
         return [tuple(r) for r in rows]
@@ -98,7 +107,7 @@ def _in_bytes(text: str, rows: list) -> list[tuple]:
     return [(r[0], r[1], r[2], to[r[3]], to[r[4]], r[5]) for r in rows]
 
 
-PARSERS = {"html": html_nodes, "python": python_nodes}
+PARSERS = {"html": html_nodes, "python": python_nodes} | {lang: partial(brace_nodes, lang) for lang in syntax.GRAMMARS}
 
 
 def nodes(files: DataFrame, language: str, file: str = "file", text: str = "text") -> DataFrame:
@@ -116,6 +125,52 @@ def nodes(files: DataFrame, language: str, file: str = "file", text: str = "text
     return files.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text")).mapInArrow(work, NODES)
 
 
+def leaves(nodes: DataFrame, files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """file, pos, text, start, end, type: a tape cut from the leaves of trees, in order, comments as one token each.
+
+    Nodes of no width are left out. ``nodes`` are those of ``files``.
+    """
+    parents = nodes.where("parent_id >= 0").select("file", F.col("parent_id").alias("node_id")).distinct()
+    own = nodes.where("end > start").join(parents, ["file", "node_id"], "left_anti")
+    spans = own.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("leaves"))
+    each = files.select(F.col(file).cast("string").alias("file"), F.col(text).cast("binary").alias("_raw")).join(spans, "file")
+    each = each.select("file", "_raw", F.posexplode("leaves").alias("pos", "x"))
+    return each.select("file", "pos", F.substring("_raw", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).cast("string").alias("text"), "x.start", "x.end", "x.type")
+
+
+def faults(nodes: DataFrame) -> DataFrame:
+    """file, type, start, end, parent: what cannot stand where it is (ERROR) and what is not there (MISSING), with the type of the node around it."""
+    wrong = nodes.where(F.col("type").isin(syntax.ERROR, syntax.MISSING)).select("file", "type", "start", "end", F.col("parent_id").alias("node_id"))
+    return wrong.join(nodes.select("file", "node_id", F.col("type").alias("parent")), ["file", "node_id"]).drop("node_id")
+
+
+def rejected(before: DataFrame, after: DataFrame, language: str, file: str = "file", text: str = "text") -> DataFrame:
+    """file, type, parent, n_before, n_after, start, end: faults of which a changed file has more than before, and the first place of one.
+
+    Only files whose text changed are parsed, in both states; a file that was not there had no faults. A fault is told by
+    its kind and the node around it, so that text which only moved is no new fault. Files with a null text have none.
+    """
+    old = before.select(F.col(file).cast("string").alias("file"), F.col(text).alias("old"))
+    new = after.select(F.col(file).cast("string").alias("file"), F.col(text).alias("new"))
+    changed = new.join(old, "file", "left").where(~F.col("old").eqNullSafe(F.col("new")))
+    key = ["file", "type", "parent"]
+    count = lambda c, n, *more: faults(_nodes_of(changed, language, c)).groupBy(*key).agg(F.count(F.lit(1)).alias(n), *more)
+    first = F.min(F.struct("start", "end"))
+    now = count("new", "n_after", first["start"].alias("start"), first["end"].alias("end"))
+    out = now.join(count("old", "n_before"), key, "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
+    return out.where("n_after > n_before").select(*key, "n_before", "n_after", "start", "end")
+
+
+def _nodes_of(files: DataFrame, language: str, text: str) -> DataFrame:
+    return nodes(files.where(F.col(text).isNotNull()), language, text=text)
+
+
+def validated(before: DataFrame, after: DataFrame, language: str, file: str = "file") -> DataFrame:
+    """The rows of ``after`` that no new fault speaks against."""
+    bad = rejected(before, after, language, file).select(F.col("file").alias("_bad")).distinct()
+    return after.join(bad, F.col(file).cast("string") == F.col("_bad"), "left_anti")
+
+
 @dataclass
 class Shape:
     """A node of a type (``_``: any), in a field of its parent, with children of some shapes; ``name`` captures it."""
