@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import model, queries_graph, queries_syntax, queries_text  # noqa: F401  the last three add their queries
+from . import model, queries_graph, queries_moves, queries_syntax, queries_text  # noqa: F401  all but the first add their queries
 from .functions import paths, text as texts
 from .operators import graph, relations, rules, sequence, similarity, spans, tape
 from .plans import pattern as P
