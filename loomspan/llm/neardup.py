@@ -371,7 +371,7 @@ def by_difference(large: DataFrame, fetch: Callable[[DataFrame], DataFrame], wid
     family = staged(sizes.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("family"), F.sum("k").alias("n")))
     members = staged(joined(large, family, "band", "n").select("family", "rep", "label").distinct())
     plain, index = rarest(differences(members, fetch, width), percent)
-    labels = labels_met(index, members)
+    labels = labels_met(index, members, percent)
     pairs = plain.unionByName(fitting(members_met(index, labels.where("NOT beyond")), percent))
     first = F.struct("size_x", "label_x") > F.struct("size_y", "label_y")
     beyond = labels.where("beyond").select("family", F.when(first, F.col("label_x")).otherwise(F.col("label_y")).alias("own"), F.when(first, F.col("label_y")).otherwise(F.col("label_x")).alias("other"))
@@ -426,15 +426,21 @@ def rarest(measured: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return plain, staged(ranked.where("some").where(short).select("family", "e", "rep", "label", "n", "d", "left", "tail"))
 
 
-def labels_met(index: DataFrame, members: DataFrame) -> DataFrame:
-    """family, e, label_x (of a tail), label_y (another) and their sizes in the family; beyond: whether neither is the family's and one is large."""
+def labels_met(index: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """family, e, label_x (of a tail), label_y (another) and their sizes in the family; beyond: whether neither is the family's and one is large.
+
+    Labels of which no two members can fit, by the extremes of their members, do not meet.
+    """
     sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
-    own = index.groupBy("family", "e", "label").agg(F.max("tail").alias("tail")).join(sizes, ["family", "label"])
-    own = staged(own)
-    x = own.where("tail").select("family", "e", F.col("label").alias("label_x"), F.col("size").alias("size_x"))
-    y = own.select("family", "e", F.col("label").alias("label_y"), F.col("size").alias("size_y"))
+    bounds = F.max("tail").alias("tail"), F.max("left").alias("left"), F.min("d").alias("d"), F.max("d").alias("d_most"), F.max("n").alias("n")
+    own = staged(index.groupBy("family", "e", "label").agg(*bounds).join(sizes, ["family", "label"]))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("label", "size", "left", "d", "d_most", "n")]
+    x, y = own.where("tail").select("family", "e", *side("x")), own.select("family", "e", *side("y"))
+    most = _far(percent) * (F.col("n_x") + F.col("n_y")) + 1e-6
+    can = (2 * F.least("left_x", "left_y") >= F.col("d_x") + F.col("d_y") - most) & (F.col("d_x") - F.col("d_most_y") <= most) & (F.col("d_y") - F.col("d_most_x") <= most)
     beyond = (F.col("label_y") != F.col("family")) & (F.greatest("size_x", "size_y") > SMALL)
-    return x.join(y, ["family", "e"]).where("label_x <> label_y").withColumn("beyond", beyond)
+    met = x.join(y, ["family", "e"]).where(can & (F.col("label_x") != F.col("label_y")))
+    return met.select("family", "e", "label_x", "label_y", "size_x", "size_y", beyond.alias("beyond"))
 
 
 def members_met(index: DataFrame, labels: DataFrame) -> DataFrame:
