@@ -211,12 +211,22 @@ def moved_paths(files: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def ensured_import(files: DataFrame, imports: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Edits that add imports (file, spec, line) that a file lacks: after its last import, else at its start."""
+    """Edits that add imports (file, spec, line) that a file lacks: after its last import, else at its start.
+
+    Where ``files`` has texts, a line is added behind the whole line that the last import ends in.
+    """
     missing = wanted.join(imports.select("file", "spec").distinct(), ["file", "spec"], "left_anti")
     last = imports.groupBy("file").agg(F.max("end").alias("at"))
-    put = missing.join(files.select("file"), "file", "left_semi").join(last, "file", "left")
-    text = F.when(F.col("at").isNull(), F.concat("line", F.lit("\n"))).otherwise(F.concat(F.lit("\n"), "line"))
-    return put.select("file", F.coalesce("at", F.lit(0)).alias("start"), F.coalesce("at", F.lit(0)).alias("end"), text.alias("new_text"))
+    if "text" not in files.columns:
+        put = missing.join(files.select("file"), "file", "left_semi").join(last, "file", "left")
+        text = F.when(F.col("at").isNull(), F.concat("line", F.lit("\n"))).otherwise(F.concat(F.lit("\n"), "line"))
+        return put.select("file", F.coalesce("at", F.lit(0)).alias("start"), F.coalesce("at", F.lit(0)).alias("end"), text.alias("new_text"))
+    raw = F.encode("text", "UTF-8")
+    rest = F.decode(F.substring(raw, F.col("at") + 1, F.octet_length(raw)), "UTF-8")
+    ended = F.instr(rest, "\n") > 0
+    to = F.when(F.col("at").isNull(), 0).otherwise(F.col("at") + F.octet_length(F.substring_index(rest, "\n", 1)) + F.when(ended, 1).otherwise(0)).cast("int")
+    own = files.select("file", "text").join(last, "file", "left").select("file", to.alias("start"), (F.col("at").isNull() | ended).alias("_ended"))
+    return missing.join(own, "file").select("file", "start", F.col("start").alias("end"), F.when(F.col("_ended"), F.concat("line", F.lit("\n"))).otherwise(F.concat(F.lit("\n"), "line")).alias("new_text"))
 
 
 def tightest(hits: DataFrame, points: DataFrame, idx: str = "idx") -> DataFrame:
@@ -248,7 +258,13 @@ def best_atom(atoms: DataFrame) -> DataFrame:
 
 
 def merged_results(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return a.unionByName(b, allowMissingColumns=True).dropDuplicates(keys)
+    """One row for each key: what ``a`` says of it, else what ``b`` says; of several rows of one side the one of the smallest hash.
+
+    Columns that one side lacks are null there.
+    """
+    both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    plain = [f.name for f in both.schema.fields if f.dataType.typeName() != "map"]
+    return first_by(both, keys, "_side", F.xxhash64(*plain)).drop("_side")
 
 
 def flow_diagram(points: DataFrame, kind: str = "mermaid") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import atom_ref, dir_of, leaf, parse_reference, relative_import
+from ..functions.paths import atom_ref, dir_of, leaf, parse_reference, relative_to
 from ..functions.text import dedented, qualified
 from ..model import canonical_path
 from . import spans
@@ -27,8 +27,8 @@ def _edits(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def unoccupied(edits: DataFrame, occupied: DataFrame, order: str = "seq") -> DataFrame:
-    """Edits, in order, that overlap neither an occupied span nor an edit taken before."""
-    taken = occupied.select("file", F.lit(-1).cast("long").alias(order), "start", "end", F.lit("").alias("new_text"), F.lit(True).alias("_there"))
+    """Edits, in order, that overlap neither an occupied span nor an edit taken before. Occupied spans may overlap each other."""
+    taken = spans.merged_runs(occupied.select("file", "start", "end")).select("file", F.lit(-1).cast("long").alias(order), "start", "end", F.lit("").alias("new_text"), F.lit(True).alias("_there"))
     own = edits.select("file", F.col(order).cast("long").alias(order), "start", "end", "new_text", F.lit(False).alias("_there"))
     both = spans.claimed(taken.drop("_there").unionByName(own.drop("_there")), order)
     return both.where(F.col(order) >= 0).where("applied").drop("applied")
@@ -45,15 +45,25 @@ def masked_text(text: str, masks: list[tuple[int, int]]) -> str:
     return raw.decode("utf-8", "replace")
 
 
+def whole_line(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span of the line that a span is alone on, with its end; else the span."""
+    first = raw.rfind(b"\n", 0, start) + 1
+    stop = raw.find(b"\n", end)
+    stop = len(raw) if stop < 0 else stop
+    if raw[first:start].strip() or raw[end:stop].strip():
+        return start, end
+    return first, min(stop + 1, len(raw))
+
+
 def used_in(text: str, name: str) -> bool:
     return re.search(rf"(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_])", text) is not None
 
 
-def pruned_imports(files: DataFrame, sites: DataFrame, masks: DataFrame | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+def pruned_imports(files: DataFrame, sites: DataFrame, masks: DataFrame | None = None, only: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """Edits that delete import sites (file, key, start, end, locals, keep) none of whose names the rest of the file uses.
 
     All sites and ``masks`` count as blank. Sites with ``keep``, without a name, or with a key that is not
-    among ``only`` (where given) stay.
+    among ``only`` (where given) stay. With ``lines``, a site that is alone on its line goes with the line.
     """
     own = sites.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "end", "key", "locals", "keep"))).alias("sites"))
     rows = files.select("file", "text").join(own, "file")
@@ -71,7 +81,7 @@ def pruned_imports(files: DataFrame, sites: DataFrame, masks: DataFrame | None =
                     names = [n for n in x["locals"] or [] if n not in NAMELESS]
                     if x["keep"] or not x["locals"] or (only and x["key"] not in only) or any(used_in(rest, n) for n in names):
                         continue
-                    out.append((file, x["start"], x["end"], ""))
+                    out.append((file, *(whole_line((text or "").encode(), x["start"], x["end"]) if lines else (x["start"], x["end"])), ""))
             yield _edits(out)
 
     return rows.select("file", "text", "sites", "masks").mapInArrow(work, EDIT)
@@ -101,26 +111,62 @@ def with_hygiene(files: DataFrame, edits: DataFrame, imports: DataFrame, wanted:
     touched = edits.select("file").distinct()
     own = files.join(touched, "file", "left_semi")
     added = ensured_import(own, imports, wanted.join(touched, "file", "left_semi"))
-    gone = pruned_imports(own, import_sites(imports), edits.where("end > start").select("file", "start", "end"))
+    gone = pruned_imports(own, import_sites(imports), edits.where("end > start").select("file", "start", "end"), lines=True)
     return edits.select("file", "start", "end", "new_text").unionByName(added).unionByName(gone)
 
 
+_HEAD = re.compile(r'(?P<blank>\s+|//[^\n]*|/\*(?s:.*?)\*/|;)|(?P<package>package\s+\w+)|(?P<group>import\s*\((?P<specs>[^)"`]*(?:(?:"[^"\n]*"|`[^`]*`)[^)"`]*)*)\))|(?P<one>import\s+(?:[\w.]+\s+)?(?:"[^"\n]*"|`[^`]*`))')
+_SPEC = re.compile(r'(?P<name>[\w.]+)?[ \t]*["`](?P<path>[^"`\n]*)["`]')
+
+
 def merged_import(text: str, spec: str, alias: str = "") -> str:
-    """A Go text with one more import: in its first group, as one more group behind a single import, or behind the package clause."""
+    """A Go text with one more import: in its first group, as a group with a single import, or behind the package clause.
+
+    Only the head is read, up to the first declaration, so strings and comments that look like imports stay. In a group, the
+    import stands before the first path that is larger; comments keep their lines.
+    """
     line = f'{alias + " " if alias else ""}"{spec}"'
-    if re.search(rf'^\s*(?:import\s+)?{re.escape(line)}\s*$', text, re.M):
+    at, clause, group, one, have = 0, 0, None, None, set()
+    while m := _HEAD.match(text, at):
+        at = m.end()
+        if m["package"]:
+            clause = at
+        elif m["group"] or m["one"]:
+            code = re.sub(r"//[^\n]*", "", m["specs"] if m["group"] else m["one"].removeprefix("import"))
+            have |= {(x["name"] or "", x["path"]) for x in _SPEC.finditer(code)}
+            group, one = (group or m if m["group"] else group), (one or m if m["one"] else one)
+    if (alias, spec) in have:
         return text
-    group = re.search(r"^import \(\n(.*?)^\)", text, re.M | re.S)
     if group:
-        lines = sorted({*group[1].strip("\n").split("\n"), f"\t{line}"} - {""}, key=lambda x: x.strip().split(" ")[-1])
-        return text[: group.start(1)] + "\n".join(lines) + "\n" + text[group.end(1) :]
-    single = re.search(r"^import (.+)$", text, re.M)
-    if single:
-        both = sorted([single[1].strip(), line], key=lambda x: x.split(" ")[-1])
-        return text[: single.start()] + "import (\n" + "".join(f"\t{x}\n" for x in both) + ")" + text[single.end() :]
-    clause = re.search(r"^package .+$", text, re.M)
-    at = clause.end() if clause else 0
-    return text[:at] + ("\n\n" if clause else "") + f"import {line}\n" + text[at:]
+        start, own = group.start("specs"), group["specs"]
+        for x in re.finditer(r"(?m)^[ \t]*(?!//)[^\n]*?[\"`]([^\"`\n]*)[\"`]", own):
+            if x[1] > spec:
+                return f"{text[: start + x.start()]}\t{line}\n{text[start + x.start() :]}"
+        lead = "" if own.endswith("\n") else "\n"
+        return f"{text[: group.end('specs')]}{lead}\t{line}\n{text[group.end('specs') :]}"
+    if one:
+        end = text.find("\n", one.end())
+        end = len(text) if end < 0 else end
+        old = (one["one"].removeprefix("import").strip() + text[one.end() : end]).rstrip()
+        both = sorted([old, line], key=lambda x: _SPEC.search(x)["path"])
+        return text[: one.start()] + "import (\n" + "".join(f"\t{x}\n" for x in both) + ")" + text[end:]
+    return text[:clause] + ("\n\n" if clause else "") + f"import {line}\n" + text[clause:].removeprefix("\n" if clause else "")
+
+
+def merged_imports(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """file, text: Go files (file, text) with the imports that they want (file, spec, alias) merged into their heads; others stay as they are."""
+    own = wanted.groupBy("file").agg(F.sort_array(F.collect_set(F.struct("spec", F.coalesce("alias", F.lit("")).alias("alias")))).alias("wanted"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, want in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for w in want or [] if text is not None else []:
+                    text = merged_import(text, w["spec"], w["alias"])
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["file", "text"])
+
+    return files.select("file", "text").join(own, "file", "left").mapInArrow(work, "file string, text string")
 
 
 # --- renames and moves -------------------------------------------------------
@@ -196,9 +242,12 @@ def declarations(atoms: DataFrame, scopes: DataFrame, files: DataFrame) -> DataF
     before = F.decode(F.substring(raw, 1, F.col("at")), "UTF-8")
     begin = F.col("at") - F.octet_length(F.substring_index(before, "\n", -1))
     rows = rows.withColumn("start", begin.cast("int"))
-    own = scopes.select("file", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    met = rows.join(own, (rows["file"] == own["file"]) & (own["_s"] >= rows["start"]) & (own["_s"] <= rows["at"]) & (own["_e"] >= rows["until"]), "left").drop(own["file"])
-    rows = met.groupBy("file", "name", "at", "until", "start", "text").agg(F.min("_e").alias("_e"))
+    # a scope begins in one stretch of a file, an atom's line reaches over few: they meet by stretches
+    stretch = lambda c: F.floor(F.col(c) / spans.BIN).cast("int")
+    own = scopes.select("file", F.col("start").alias("_s"), F.col("end").alias("_e"), stretch("start").alias("_bin"))
+    lines = rows.select("file", "at", "until", "start", F.explode(F.sequence(stretch("start"), stretch("at"))).alias("_bin"))
+    met = lines.join(own, ["file", "_bin"]).where("_s >= start AND _s <= at AND _e >= until")
+    rows = rows.join(met.groupBy("file", "at", "until").agg(F.min("_e").alias("_e")), ["file", "at", "until"], "left")
     stop = F.coalesce("_e", "until")
     after = F.decode(F.substring(raw, stop + 1, F.octet_length(raw)), "UTF-8")
     end = stop + F.octet_length(F.substring_index(after, "\n", 1)) + F.when(F.instr(after, "\n") > 0, 1).otherwise(0)
@@ -224,8 +273,12 @@ def moved_declarations(moves: DataFrame, declared: DataFrame, files: DataFrame,
     return cut.unionByName(put)
 
 
-def manifest_edits(manifests: DataFrame, old: str, new: str) -> DataFrame:
-    """Edits of the string literals of JSON manifests (file, text) that name the moved file ``old``, relative to the manifest's folder."""
+def manifest_edits(manifests: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edits of the string literals of JSON manifests (file, text) that name what moves (old, new), relative to the manifest's folder.
+
+    All moves are made at once: literals meet the table of moves by the prefixes of the paths that they name.
+    """
+    from .reimport import moved_paths
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,15 +287,15 @@ def manifest_edits(manifests: DataFrame, old: str, new: str) -> DataFrame:
                 raw = (text or "").encode()
                 for m in re.finditer(rb'"((?:[^"\\]|\\.)*)"', raw):
                     spec = m[1].decode("utf-8", "replace")
-                    if not spec.startswith((".", "/")) and "/" not in spec:
-                        continue
-                    at = posixpath.normpath(posixpath.join(posixpath.dirname(file), spec))
-                    if at == old:
-                        to = relative_import(file, new)
-                        out.append((file, m.start(1), m.end(1), to if spec.startswith(".") else to.removeprefix("./")))
-            yield _edits(out)
+                    if spec.startswith(".") or "/" in spec:
+                        out.append((file, m.start(1), m.end(1), spec, posixpath.normpath(posixpath.join(posixpath.dirname(file), spec))))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()], strict=True)], ["file", "start", "end", "spec", "path"])
 
-    return manifests.select("file", "text").mapInArrow(work, EDIT)
+    found = manifests.select("file", "text").mapInArrow(work, "file string, start int, end int, spec string, path string")
+    met = found.join(moved_paths(found.select("path"), moves), "path").where(F.col("to") != F.col("path"))
+    to = relative_to(F.col("file"), F.col("to"))
+    return met.select("file", "start", "end", F.when(F.col("spec").startswith("."), to).otherwise(F.regexp_replace(to, r"^\./", "")).alias("new_text"))
 
 
 def layout_edits(files: DataFrame, packages: DataFrame, imports: DataFrame, units: DataFrame, layout: tuple[str, ...] = ("package", "import", "body")) -> DataFrame:
@@ -284,7 +337,7 @@ def applied_plan(files: DataFrame, edits: DataFrame, moves: DataFrame | None = N
 
 def comments_before(files: DataFrame, points: DataFrame) -> DataFrame:
     """file, at, doc: the comment lines right above the line of each byte, without their marks."""
-    own = points.select("file", "at").join(files.select("file", "text"), "file").groupBy("file", "text").agg(F.collect_list("at").alias("points"))
+    own = points.groupBy("file").agg(F.collect_list("at").alias("points")).join(files.select("file", "text"), "file")
 
     def doc(text: bytes, at: int) -> str:
         lines = text[:at].decode("utf-8", "replace").split("\n")[:-1]

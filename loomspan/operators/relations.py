@@ -91,6 +91,9 @@ def _shared(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in b.columns if c in a.columns]
 
 
+ROUNDS_HELD = 8  # rounds after which a relation that grows is written
+
+
 class Program:
     def __init__(self, *clauses: Clause, builtins: dict[str, Builtin] | None = None):
         self.clauses, self.builtins = clauses, builtins or {}
@@ -166,7 +169,7 @@ class Program:
         A round works on the rows that the one before found for the first time. Rows are
         equal where all values are, nulls included, so a rule that finds them again ends.
         """
-        tables = dict(tables)
+        tables, grown = dict(tables), {}
         for stratum in range(3):
             own = [c for c in self.clauses if c.stratum == stratum]
             heads = {c.head.relation for c in own}
@@ -185,6 +188,9 @@ class Program:
                             continue
                     fresh[name] = rows
                     tables[name] = rows if old is None else old.union(rows)
+                    grown[name] = grown.get(name, 0) + recursive
+                    if grown[name] >= ROUNDS_HELD:  # a plan does not grow with the depth
+                        tables[name], grown[name] = staged(tables[name]), 0
                 delta = self._round(own, tables, fresh) if recursive and fresh else {}
         return tables
 

@@ -435,12 +435,13 @@ def store_of_relations(spark, sf_dir):
     return s["file"].join(s["atom"].select("file").distinct(), "file").select("file")
 
 
-@query("SELECT 'path'||n_nationkey AS file, n_nationkey % 2 = 0 AS first FROM nation")
+@query("SELECT 'path'||n_nationkey AS file, CASE WHEN n_nationkey % 2 = 0 THEN 'first' ELSE 'second' END AS side, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS note FROM nation")
 def merged_results(spark, sf_dir):
-    n = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("path"), _str("n_nationkey")).alias("file"), (F.col("n_nationkey") % 2 == 0).alias("even"))
-    a = n.where("even").select("file", F.lit(True).alias("first"))
-    b = n.select("file", F.lit(False).alias("first"))
-    return graph.merged_results(a, b.join(a.select("file"), "file", "left_anti"), ["file"])
+    """The first side wins where both have a file; a column that one side lacks is null there."""
+    n = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("path"), _str("n_nationkey")).alias("file"), "n_nationkey", "n_name")
+    a = n.where("n_nationkey % 2 = 0").select("file", F.lit("first").alias("side"), F.col("n_name").alias("note"))
+    b = n.select("file", F.lit("second").alias("side"))
+    return graph.merged_results(a, b.union(b), ["file"])
 
 
 @query("SELECT r_regionkey AS region, n_nationkey AS nation, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC, n_nationkey) AS INTEGER) AS place FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -484,21 +485,35 @@ def needed_imports(spark, sf_dir):
 
 @query("""SELECT 'path'||n_nationkey AS file, 'import "new"'||chr(10)||'new.call()'||chr(10) AS text FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'path'||n_nationkey, 'import "old"'||chr(10)||'import "new"'||chr(10)||'new.call(); old.keep()'||chr(10) FROM nation WHERE n_nationkey % 2 = 1""")
 def import_hygiene(spark, sf_dir):
-    """A rewrite brings the import it needs and takes the one that only it used."""
+    """A rewrite brings the import it needs and takes the line of one that only it used."""
     n = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("path"), _str("n_nationkey")).alias("file"), (F.col("n_nationkey") % 2 == 0).alias("even"))
     own = n.select("file", F.concat(F.lit('import "old"\n'), F.when(F.col("even"), "old.call()\n").otherwise("old.call(); old.keep()\n")).alias("text"))
     edits = n.select("file", F.lit(13).alias("start"), F.lit(23).alias("end"), F.lit("new.call()").alias("new_text"))
     imports = n.select("file", F.lit("old").alias("spec"), F.lit("").alias("local"), F.lit(0).alias("start"), F.lit(12).alias("end"), F.lit(False).alias("star"))
     wanted = n.select("file", F.lit("new").alias("spec"), F.lit('import "new"').alias("line"))
-    plan = refactor.with_hygiene(own, edits, imports, wanted)
-    done = spans.edited(own, plan)
-    return done.select("file", F.regexp_replace("text", "^\n(?=import)", "").alias("text"))
+    return spans.edited(own, refactor.with_hygiene(own, edits, imports, wanted)).select("file", "text")
+
+
+_HEADS = {
+    0: ('import (\n\t"a/x"\n\t// kept\n\t"z/y"\n)\n', 'import (\n\t"a/x"\n\t// kept\n\t"m/w"\n\t"z/y"\n)\n'),
+    1: ('import "a/x" // why\n', 'import (\n\t"a/x" // why\n\t"m/w"\n)\n'), 2: ("", '\nimport "m/w"\n'), 3: ('import (\n\t"m/w"\n)\n', 'import (\n\t"m/w"\n)\n'), 4: ('import "z/y"\n', 'import (\n\t"m/w"\n\t"z/y"\n)\n'),
+}
+_GO_BODY = '\nvar s = `\nimport (\n\t"z"\n)\nimport "q"\n`\n'
 
 
-@query("""SELECT 1 AS k, 'package p'||chr(10)||chr(10)||'import ('||chr(10)||chr(9)||'"a"'||chr(10)||chr(9)||'"b"'||chr(10)||')'||chr(10) AS text UNION ALL SELECT 2, 'package p'||chr(10)||chr(10)||'import "b"'||chr(10) UNION ALL SELECT 3, 'package p'||chr(10)||'import ('||chr(10)||chr(9)||'"a"'||chr(10)||chr(9)||'"b"'||chr(10)||')'||chr(10)""")
+def _chr(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "'||chr(10)||'").replace("\t", "'||chr(9)||'") + "'"
+
+
+@query(f"SELECT 's'||s_suppkey||'.go' AS file, 'package p'||s_suppkey||chr(10)||CASE s_suppkey % 5 {' '.join(f'WHEN {k} THEN {_chr(new)}' for k, (_, new) in _HEADS.items())} END||{_chr(_GO_BODY)} AS text FROM supplier")
 def merged_import_lines(spark, sf_dir):
-    rows = [(1, 'package p\n\nimport (\n\t"a"\n)\n'), (2, "package p\n"), (3, 'package p\nimport "a"\n')]
-    return spark.createDataFrame([(k, refactor.merged_import(t, "b").replace('"b"\n\n', '"b"\n')) for k, t in rows], "k int, text string")
+    """An import more in heads of all kinds, none in what looks like imports inside a string."""
+    k = F.col("s_suppkey")
+    head = F.lit("")
+    for j, (old, _) in _HEADS.items():
+        head = F.when(k % 5 == j, old).otherwise(head)
+    own = read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string"), F.lit(".go")).alias("file"), F.concat(F.lit("package p"), k.cast("string"), F.lit("\n"), head, F.lit(_GO_BODY)).alias("text"))
+    return refactor.merged_imports(own, own.select("file", F.lit("m/w").alias("spec"), F.lit("").alias("alias")))
 
 
 @query(f"SELECT file, spec, member, base FROM (SELECT file, unnest(['geo.base', 'geo.base', 'geo.base', 'geo.s'||{_NEXT}]) AS spec, unnest(['Place', 'helper', 'Unused', '']) AS member, unnest(['geo/base.py', 'geo/base.py', 'geo/base.py', 'geo/s'||{_NEXT}||'.py']) AS base FROM {_PYF})")
@@ -593,15 +608,15 @@ def moved_declarations(spark, sf_dir):
     return new.select("file", count(r"def top[0-9]").alias("declared"), count(r"return s[0-9]+\.S[0-9]").alias("qualified"))
 
 
-@query("SELECT 'pkg'||n_nationkey||'/package.json' AS file, 13 AS start, 23 AS \"end\", './src/new.js' AS new_text FROM nation")
+@query("""SELECT 'pkg'||k||'/package.json' AS file, CAST(10 AS INTEGER) AS start, CAST(20 + strlen(k) AS INTEGER) AS "end", './src/new'||k||'.js' AS new_text FROM (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_suppkey % 3 AS r FROM supplier) WHERE r = 0
+  UNION ALL SELECT 'pkg'||k||'/package.json', CAST(29 + strlen(k) AS INTEGER), CAST(39 + strlen(k) AS INTEGER), 'types/deep/t.d.ts' FROM (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_suppkey % 3 AS r FROM supplier) WHERE r < 2""")
 def manifest_edits(spark, sf_dir):
-    n = read_table(spark, sf_dir, "nation")
-    every = None
-    own = n.select(F.concat(F.lit("pkg"), _str("n_nationkey"), F.lit("/package.json")).alias("file"), F.lit('{"main": "./lib/x.js", "name": "x"}').alias("text"), "n_nationkey")
-    for r in [row.n_nationkey for row in n.select("n_nationkey").collect()]:  # one plan for each moved file
-        edits = refactor.manifest_edits(own.where(F.col("n_nationkey") == r).select("file", F.lit('{"main"   : "./lib/x.js", "name": "x"}').alias("text")), f"pkg{r}/lib/x.js", f"pkg{r}/src/new.js")
-        every = edits if every is None else every.unionByName(edits)
-    return every
+    """One table of many moves, of files and of folders, and all manifests at once; names that are no paths stay."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("pkg"), _str("s_suppkey")).alias("p"), _str("s_suppkey").alias("k"))
+    own = s.select(F.concat("p", F.lit("/package.json")).alias("file"), F.concat(F.lit('{"main": "./lib/x'), "k", F.lit('.js", "t": "lib/t.d.ts", "name": "lib"}')).alias("text"))
+    moves = s.where("s_suppkey % 3 = 0").select(F.concat("p", F.lit("/lib/x"), "k", F.lit(".js")).alias("old"), F.concat("p", F.lit("/src/new"), "k", F.lit(".js")).alias("new"))
+    folders = s.where("s_suppkey % 3 < 2").select(F.concat("p", F.lit("/lib/t.d.ts")).alias("old"), F.concat("p", F.lit("/types/deep/t.d.ts")).alias("new"))
+    return refactor.manifest_edits(own, moves.union(folders))
 
 
 @query("SELECT 'f'||n_nationkey AS file, CASE WHEN n_nationkey % 2 = 0 THEN 'package p'||chr(10)||'import \"a\"'||chr(10)||'import \"b\"'||chr(10)||'body'||chr(10) ELSE 'package p'||chr(10)||'import \"b\"'||chr(10)||'body'||chr(10) END AS text FROM nation")
@@ -626,17 +641,17 @@ def applied_plan(spark, sf_dir):
     return refactor.applied_plan(own, edits, moves)
 
 
-@query(f"SELECT file, idx AS seq FROM {IV} a WHERE flag <> 'R' AND NOT EXISTS (SELECT 1 FROM {IV} b WHERE b.flag = 'R' AND b.file = a.file AND a.s < b.e AND b.s < a.e)")
+@query(f"""WITH RECURSIVE o AS (SELECT file, idx, s, e, flag, row_number() OVER (PARTITION BY file ORDER BY idx, s, e) AS k FROM {IV}),
+  t AS (SELECT file, list([s, e]) AS taken FROM o WHERE flag = 'R' GROUP BY file),
+  r AS (SELECT DISTINCT o.file, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS idx, coalesce(t.taken, []) AS taken, false AS ok FROM o LEFT JOIN t ON t.file = o.file
+  UNION ALL SELECT o.file, o.k, CAST(o.idx AS BIGINT), CASE WHEN o.flag <> 'R' AND len(list_filter(r.taken, lambda x: x[1] < o.e AND o.s < x[2])) = 0 THEN list_append(r.taken, [o.s, o.e]) ELSE r.taken END, o.flag <> 'R' AND len(list_filter(r.taken, lambda x: x[1] < o.e AND o.s < x[2])) = 0 FROM r JOIN o ON o.file = r.file AND o.k = r.k + 1)
+  SELECT file, CAST(idx AS INTEGER) AS seq FROM r WHERE ok""")
 def edits_off_occupied_spans(spark, sf_dir):
-    """Edits that overlap no span that is taken: taken are the returned lines of an order."""
+    """Edits in order, each where nothing is taken yet: returned lines of an order are taken from the start, and every edit takes its own span."""
     own = intervals(spark, sf_dir)
-    free = spans.overlapping(own.where("flag <> 'R'"), own.where("flag = 'R'"), "left_anti").select("file", "start", "end", "idx")
-    edits = free.select("file", F.col("idx").alias("seq"), "start", "end", F.lit("x").alias("new_text"))
-    # each edit is tried on its own, so that only the taken spans decide
-    alone = edits.withColumn("file", F.concat_ws("/", _str("file"), _str("seq"), _str("start"), _str("end"), F.monotonically_increasing_id().cast("string")))
-    taken = alone.select("file").withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
-    done = refactor.unoccupied(alone, taken)
-    return done.select(F.split("file", "/")[0].cast("bigint").alias("file"), F.col("seq").cast("int").alias("seq"))
+    edits = own.where("flag <> 'R'").select("file", F.col("idx").alias("seq"), "start", "end", F.lit("x").alias("new_text"))
+    done = refactor.unoccupied(edits, own.where("flag = 'R'").select("file", "start", "end"))
+    return done.select("file", F.col("seq").cast("int").alias("seq"))
 
 
 @query(f"SELECT file, CAST(start + 7 AS INTEGER) AS start, CAST(\"end\" + 7 AS INTEGER) AS \"end\" FROM {SPANS} WHERE text = 'the'")
@@ -652,13 +667,13 @@ def smallest_edits(spark, sf_dir):
     return spans.diffed(d, new).select(F.col("file").cast("bigint").alias("file"), "start", "end", "new_text")
 
 
-@query("SELECT 'f'||n_nationkey AS file, 5 AS start, 'import y' AS line FROM nation WHERE n_nationkey % 3 > 0")
+@query("SELECT 'f'||n_nationkey AS file, CASE WHEN n_nationkey % 3 = 1 THEN 5 ELSE 0 END AS start, CASE WHEN n_nationkey % 3 = 1 THEN chr(10)||'import y' ELSE 'import y'||chr(10) END AS new_text FROM nation WHERE n_nationkey % 3 > 0")
 def ensured_imports(spark, sf_dir):
+    """Behind the last import, or at the start where there is none; a file that has the import gets no edit."""
     n = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), _str("n_nationkey")).alias("file"), (F.col("n_nationkey") % 3).alias("k"))
-    imports = n.select("file", F.when(F.col("k") == 0, "y").otherwise("x").alias("spec"), F.lit(5).alias("end"))
+    imports = n.where("k < 2").select("file", F.when(F.col("k") == 0, "y").otherwise("x").alias("spec"), F.lit(5).alias("end"))
     wanted = n.select("file", F.lit("y").alias("spec"), F.lit("import y").alias("line"))
-    out = graph.ensured_import(n.select("file"), imports, wanted)
-    return out.select("file", "start", F.trim(F.replace("new_text", F.lit("\n"), F.lit(""))).alias("line"))
+    return graph.ensured_import(n.select("file"), imports, wanted).select("file", "start", "new_text")
 
 
 # --- graph operators on their own --------------------------------------------

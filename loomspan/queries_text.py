@@ -79,12 +79,12 @@ def skipped_folders(spark, sf_dir):
     return ignore.explored(n.select(F.concat(folder, F.col("n_nationkey").cast("string")).alias("file")), ignore.builtins())
 
 
-@query("SELECT 'r'||r_regionkey AS folder, r_regionkey IN (0, 1) AS skipped FROM region")
+@query("SELECT 'r'||n_nationkey AS folder, n_nationkey % 3 <> 2 AS skipped FROM nation")
 def skipped_walks(spark, sf_dir):
-    """Folders that a walk need not enter: the third is ignored, but something below it is not."""
-    own = ignore.parse_gitignore("r0/\nr1\nr2/\n!r2/keep.txt\n")
-    folders = [f"r{r.r_regionkey}" for r in read_table(spark, sf_dir, "region").select("r_regionkey").collect()]
-    return spark.createDataFrame([(f, ignore.skip_dir(f, own)) for f in folders], "folder string, skipped boolean")
+    """Folders that a walk need not enter: every third is ignored, but something below it is not."""
+    own = ignore.parse_gitignore("r*/\n" + "".join(f"!r{k}/keep.txt\n" for k in range(2, 25, 3)))
+    folders = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("folder"))
+    return ignore.skipped(folders, own)
 
 
 @query("SELECT o_orderkey AS file, o_custkey % 3 <> 0 AS generated FROM orders WHERE o_custkey % 3 < 2")
@@ -417,12 +417,12 @@ def reference_columns(spark, sf_dir):
     return own.select("page_id", paths.file_ref(F.col("p")).alias("file_ref"), ref.alias("atom_ref"), paths.leaf(name).alias("leaf"), paths.leaf(F.lit("Type.[k.y]")).alias("keyed"), paths.selector(ref).alias("selector"), paths.format_reference(paths.parse_reference(ref)).alias("printed"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') AS uses_the, regexp_replace(text, '[^\\n]', ' ', 'g') = regexp_replace(masked, '[^\\n]', ' ', 'g') AS masked, list_filter(['the', 'zzz', 'qqq'], lambda w: strpos(text, w) = 0) AS missing, coalesce(try_cast(left(text, 1) AS INTEGER), 0) AS number, regexp_matches(text, '^\\s*(//|#|--|;|/\\*|\\*)') AS comment, len(regexp_extract_all(text, '\"[^\"]*\"')) AS quoted FROM (SELECT doc_id, replace(text, '\\', '/') AS text, replace(text, '\\', '/') AS masked FROM documents)")
+@query("SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') AS uses_the, md5(regexp_replace(text, '[^\\n]', ' ', 'g')) AS masked, list_filter(['the', 'zzz', 'qqq'], lambda w: strpos(text, w) = 0) AS missing, coalesce(try_cast(left(text, 1) AS INTEGER), 0) AS number, regexp_matches(text, '^\\s*(//|#|--|;|/\\*|\\*)') AS comment, len(regexp_extract_all(text, '\"(?:[^\"\\\\]|\\\\.)*\"|''(?:[^''\\\\]|\\\\.)*''|`[^`]*`')) AS quoted FROM (SELECT doc_id, replace(text, '\\', '/') AS text FROM documents)")
 def text_columns(spark, sf_dir):
     own = read_table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\\"), F.lit("/")).alias("t"))
     t = F.col("t")
-    quoted = F.size(F.regexp_extract_all(t, F.lit('("[^"]*")'), F.lit(1)))
-    return own.select("doc_id", texts.uses_identifier(t, "the").alias("uses_the"), (texts.masked(t) == F.regexp_replace(t, "[^\n]", " ")).alias("masked"), texts.missing(t, F.array(F.lit("the"), F.lit("zzz"), F.lit("qqq"))).alias("missing"), texts.lenient_int(F.substring(t, 1, 1)).alias("number"), texts.is_comment_line(t).alias("comment"), quoted.cast("long").alias("quoted"))
+    quoted = F.size(texts.string_literals(t))
+    return own.select("doc_id", texts.uses_identifier(t, "the").alias("uses_the"), F.md5(texts.masked(t).cast("binary")).alias("masked"), texts.missing(t, F.array(F.lit("the"), F.lit("zzz"), F.lit("qqq"))).alias("missing"), texts.lenient_int(F.substring(t, 1, 1)).alias("number"), texts.is_comment_line(t).alias("comment"), quoted.cast("long").alias("quoted"))
 
 
 @query(f"SELECT file, list(start ORDER BY start) AS starts FROM {SPANS} WHERE text = 'the' GROUP BY file UNION ALL SELECT file, [] FROM {TURN} WHERE file NOT IN (SELECT file FROM {SPANS} WHERE text = 'the')")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Folders that hold no sources.
 SKIPPED = ("node_modules", ".git", "vendor", "dist", "build", "out", "coverage", ".svelte-kit", ".astro", ".output", ".next", ".nuxt", ".venv", "venv", "__pycache__", "target", ".turbo", ".cache", ".parcel-cache")
@@ -114,3 +116,13 @@ def skip_dir(path: str, rules: list[IgnoreRule]) -> bool:
     if last is None or last.negated:
         return False
     return not any(r.negated and ("/" not in r.pattern or f"{r.base}/{r.pattern}".lstrip("/").startswith(f"{path}/") or r.pattern.startswith("**")) for r in rules)
+
+
+def skipped(folders: DataFrame, rules: list[IgnoreRule], folder: str = "folder") -> DataFrame:
+    """Folders with ``skipped``: whether a walk need not enter them."""
+
+    @F.pandas_udf(BooleanType())
+    def skip(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: p is not None and skip_dir(p, rules)).astype(bool)
+
+    return folders.withColumn("skipped", skip(folder))
