@@ -48,8 +48,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
 
     Integer ids are keys as they are, other kinds by a 64-bit hash; a null id counts as
     key 0. A null text has size ``overhead`` and checksum 0. Repeated rows get slots of
-    their own. Rows with one key share a shard, as the law demands. Slots follow from counts by shard and hash bucket,
-    so that no task holds a whole shard.
+    their own. Rows with one key share a shard, as the law demands; they are dealt to buckets by their texts as well, so many of
+    them are not in one task. Slots follow from counts by shard and hash bucket, so that no task holds a whole shard. No row
+    gives none, and columns other than ``id_col`` and ``text`` are not read.
     """
     kind = docs.schema[id_col].dataType.typeName()
     integral = kind in ("long", "integer", "short", "byte")
@@ -59,4 +60,4 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         F.col(id_col), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"),
         shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard"),
     )
-    return ranked(out, "shard", [id_col, "size", "text_crc32"], "slot", spread=[id_col], few_keys=shards)
+    return ranked(out, "shard", [id_col, "size", "text_crc32"], "slot", spread=[id_col, "size", "text_crc32"], few_keys=shards)

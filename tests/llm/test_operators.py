@@ -143,20 +143,18 @@ def two_groups(n, seed=5, third=0):
     return rows
 
 
-@pytest.mark.parametrize("third", [0, 40])
-def test_two_large_groups_meet_in_proportion_to_their_size(spark, monkeypatch, third):
+def test_two_large_groups_meet_in_proportion_to_their_size(spark, monkeypatch, third=40):
     made = []
     fitting = neardup.fitting
     monkeypatch.setattr(neardup, "fitting", lambda pairs, percent: (made.append(pairs.count()), fitting(pairs, percent))[1])
     counts = []
-    for n in (50, 100, 200):
+    for n in (60, 180):
         rows = two_groups(n, third=third)
         made.clear()
         got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
         assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == linked(rows, 2)
         counts.append(sum(made))
-    print("pairs met", counts)
-    assert counts[2] <= 2.6 * max(counts[1], 500) and counts[1] <= 2.6 * max(counts[0], 500)
+    assert counts[1] <= 3.5 * max(counts[0], 100)
 
 
 def test_digests_tell_sets_by_their_words():
@@ -662,5 +660,7 @@ def test_jump_hash_moves_rows_into_the_new_shard_only(docs):
     for r in rows:
         by[r.shard].append(r.slot)
         raw = text[r.doc_id].encode()
-        assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw)) and r.grown_shard in (r.shard, 4)
+        assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
+        key = np.array([r.doc_id or 0])
+        assert (r.shard, r.grown_shard) == (sharding.jump(key, 4)[0], sharding.jump(key, 5)[0]) and r.grown_shard in (r.shard, 4)
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(rows) == len(documents())
