@@ -46,11 +46,11 @@ def masked_text(text: str, masks: list[tuple[int, int]]) -> str:
 
 
 def whole_line(raw: bytes, start: int, end: int) -> tuple[int, int]:
-    """The span of the line that a span is alone on, with its end; else the span."""
+    """The span of the line that a span is alone on, but for the word that imports it, with its end; else the span."""
     first = raw.rfind(b"\n", 0, start) + 1
     stop = raw.find(b"\n", end)
     stop = len(raw) if stop < 0 else stop
-    if raw[first:start].strip() or raw[end:stop].strip():
+    if raw[first:start].strip() not in (b"", b"import") or raw[end:stop].strip():
         return start, end
     return first, min(stop + 1, len(raw))
 
@@ -150,7 +150,10 @@ def merged_import(text: str, spec: str, alias: str = "") -> str:
         old = (one["one"].removeprefix("import").strip() + text[one.end() : end]).rstrip()
         both = sorted([old, line], key=lambda x: _SPEC.search(x)["path"])
         return text[: one.start()] + "import (\n" + "".join(f"\t{x}\n" for x in both) + ")" + text[end:]
-    return text[:clause] + ("\n\n" if clause else "") + f"import {line}\n" + text[clause:].removeprefix("\n" if clause else "")
+    if not clause:
+        return f"import {line}\n{text}"
+    rest = text[clause:].removeprefix("\n")
+    return f"{text[:clause]}\n\nimport {line}\n{'' if not rest or rest.startswith(chr(10)) else chr(10)}{rest}"
 
 
 def merged_imports(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,7 +272,7 @@ def moved_declarations(moves: DataFrame, declared: DataFrame, files: DataFrame,
     cut = own.select("file", "start", "end", F.lit("").alias("new_text"))
     size = files.select(F.col("file").alias("to"), F.octet_length("text").alias("at"), F.col("text").endswith("\n").alias("ended"))
     put = own.select("to", "start", text.alias("t")).join(size, "to", "left")
-    put = put.select(F.col("to").alias("file"), F.coalesce("at", F.lit(0)).cast("int").alias("start"), F.coalesce("at", F.lit(0)).cast("int").alias("end"), F.concat(F.when(F.col("ended") | F.col("at").isNull(), "").otherwise("\n"), "t").alias("new_text"))
+    put = put.select(F.col("to").alias("file"), F.coalesce("at", F.lit(0)).cast("int").alias("start"), F.coalesce("at", F.lit(0)).cast("int").alias("end"), F.concat(F.when(F.col("ended") | (F.coalesce("at", F.lit(0)) == 0), "").otherwise("\n"), "t").alias("new_text"))
     return cut.unionByName(put)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import extract, refactor, reimport
+from .operators import extract, qualify, refactor, reimport
 from .registry import query
 from .storage import read_table, staged
 
@@ -117,3 +117,69 @@ def go_imports_after_moves(spark, sf_dir):
     tree = keyed.select(F.concat(F.lit("cmd/m"), c("k"), F.lit("/main.go")).alias("file"), text.alias("text")).union(keyed.select(F.concat(F.lit("pkg/p"), c("k"), F.lit("/f.go")), F.lit("package p\n")))
     moves = keyed.where("k % 3 = 1").select(F.concat(F.lit("pkg/p"), c("k")).alias("old"), F.concat(F.lit("core/q"), c("k")).alias("new"))
     return _after(tree, moves, "ex.com/m")
+
+
+# --- declarations that move ---------------------------------------------------
+
+
+def _modules(spark, sf_dir) -> DataFrame:
+    """For each supplier a module of three functions that call each other in a chain, two files to move to, and one that uses them."""
+    k = F.col("k").cast("string")
+    c = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    mod = c("import os\nfrom lib.base import helper as h, other\n\n\ndef low", k, "():\n    return h(os.sep)\n\n\ndef top", k, "():\n    return low", k, "() + other()\n\n\ndef rest", k, "():\n    return top", k, "()\n")
+    low = F.when(F.col("k") % 10 == 4, c("low", k, " = 1\n")).when(F.col("k") % 4 == 0, F.lit('"""Low."""\nx = 1\n')).otherwise(F.lit(""))
+    use = c("from mod.m", k, " import low", k, ", top", k, " as t\n\nx = t() + low", k, "()\n")
+    rows = F.array(*(F.struct(c(a, k, ".py").alias("file"), F.lit(b).alias("text") if isinstance(b, str) else b.alias("text")) for a, b in (("mod/m", mod), ("lib/low", low), ("lib/top", ""), ("app/u", use))))
+    own = s.select(F.explode(rows).alias("r")).select("r.*")
+    return own.unionByName(spark.createDataFrame([("lib/base.py", "def helper(a):\n    return a\n\n\ndef other():\n    return 1\n")], "file string, text string"))
+
+
+def _module_moves(spark, sf_dir):
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("k"))
+    one = lambda rows, name: rows.select(F.concat(F.lit("mod/m"), "k", F.lit(".py")).alias("file"), F.concat(F.lit(name), "k").alias("name"), F.concat(F.lit(f"lib/{name}"), "k", F.lit(".py")).alias("to"))
+    return one(s.where("s_suppkey % 2 = 0"), "low").union(one(s.where("s_suppkey % 3 = 0"), "top"))
+
+
+_MOVED = "(SELECT s_suppkey AS k, s_suppkey % 2 = 0 AND s_suppkey % 10 <> 4 AS l, s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 AND s_suppkey % 10 <> 4 AS t FROM supplier)"
+_LF = "chr(10)"
+
+
+@query("""SELECT 'mod/m'||s_suppkey||'.py' AS file, 'low'||s_suppkey AS name, 'lib/low'||s_suppkey||'.py has low'||s_suppkey||' already' AS reason FROM supplier WHERE s_suppkey % 10 = 4
+  UNION ALL SELECT 'mod/m'||s_suppkey||'.py', 'top'||s_suppkey, 'a circle of imports through low'||s_suppkey FROM supplier WHERE s_suppkey % 3 = 0 AND NOT (s_suppkey % 2 = 0 AND s_suppkey % 10 <> 4)""")
+def moves_turned_back(spark, sf_dir):
+    """Moves onto a name that is taken, and those that, as another was turned back or never asked for, would make two files import each other."""
+    files = _modules(spark, sf_dir)
+    t = extract.relations(staged(extract.extracted(files)))
+    return qualify.PythonMoves(_module_moves(spark, sf_dir), files, t).rejects().select("file", "name", "reason")
+
+
+@query(f"""SELECT 'mod/m'||k||'.py' AS file, CASE WHEN l AND NOT t THEN 'from lib.low'||k||' import low'||k||{_LF} WHEN t THEN 'from lib.top'||k||' import top'||k||{_LF} ELSE '' END
+    ||'import os'||{_LF}||'from lib.base import helper as h, other'||{_LF}||{_LF}||{_LF}||CASE WHEN l THEN '' ELSE 'def low'||k||'():'||{_LF}||'    return h(os.sep)'||{_LF} END||{_LF}||{_LF}
+    ||CASE WHEN t THEN '' ELSE 'def top'||k||'():'||{_LF}||'    return low'||k||'() + other()'||{_LF} END||{_LF}||{_LF}||'def rest'||k||'():'||{_LF}||'    return top'||k||'()'||{_LF} AS text FROM {_MOVED}
+  UNION ALL SELECT 'lib/low'||k||'.py', CASE WHEN k % 10 = 4 THEN 'low'||k||' = 1'||{_LF} ELSE CASE WHEN k % 4 = 0 THEN '\"\"\"Low.\"\"\"'||{_LF} ELSE '' END||CASE WHEN l THEN 'from lib.base import helper as h'||{_LF}||'import os'||{_LF} ELSE '' END||CASE WHEN k % 4 = 0 THEN 'x = 1'||{_LF} ELSE '' END
+    ||CASE WHEN l THEN 'def low'||k||'():'||{_LF}||'    return h(os.sep)'||{_LF} ELSE '' END END FROM {_MOVED}
+  UNION ALL SELECT 'lib/top'||k||'.py', CASE WHEN t THEN 'from lib.base import other'||{_LF}||'from lib.low'||k||' import low'||k||{_LF}||'def top'||k||'():'||{_LF}||'    return low'||k||'() + other()'||{_LF} ELSE '' END FROM {_MOVED}
+  UNION ALL SELECT 'app/u'||k||'.py', CASE WHEN l THEN 'from lib.low'||k||' import low'||k||{_LF} ELSE '' END||CASE WHEN t THEN 'from lib.top'||k||' import top'||k||' as t'||{_LF} WHEN l THEN 'from mod.m'||k||' import top'||k||' as t'||{_LF} ELSE 'from mod.m'||k||' import low'||k||', top'||k||' as t'||{_LF} END||{_LF}||'x = t() + low'||k||'()'||{_LF} FROM {_MOVED}
+  UNION ALL SELECT 'lib/base.py', 'def helper(a):'||{_LF}||'    return a'||{_LF}||{_LF}||{_LF}||'def other():'||{_LF}||'    return 1'||{_LF}""")
+def declarations_moved_with_imports(spark, sf_dir):
+    """Whole files after a chain of declarations moved: imports come along, users import from the new place, what is left behind is imported back."""
+    files = _modules(spark, sf_dir)
+    t = extract.relations(staged(extract.extracted(files)))
+    return qualify.PythonMoves(_module_moves(spark, sf_dir), files, t).applied()
+
+
+@query(f"""SELECT 'old/p'||k||'/a.go' AS file, 'package p'||k||{_LF}||{_LF}||'import "ex.com/m/new/q'||k||'"'||{_LF}||{_LF}||{_LF}||{_LF}||'func Keep() int {{'||{_LF}||'  return q'||k||'.Move(1)'||{_LF}||'}}'||{_LF} AS text FROM (SELECT s_suppkey AS k FROM supplier)
+  UNION ALL SELECT 'new/q'||k||'/b.go', 'package q'||k||{_LF}||{_LF}||'import ('||{_LF}||chr(9)||'"ex.com/m/old/p'||k||'"'||{_LF}||chr(9)||'f "fmt"'||{_LF}||')'||{_LF}||{_LF}||'func Move(a int) int {{'||{_LF}||'  f.Println(a)'||{_LF}||'  return p'||k||'.Keep()'||{_LF}||'}}'||{_LF} FROM (SELECT s_suppkey AS k FROM supplier)
+  UNION ALL SELECT 'cmd/c'||k||'/main.go', 'package main'||{_LF}||{_LF}||'import ('||{_LF}||chr(9)||'"ex.com/m/new/q'||k||'"'||{_LF}||chr(9)||'"ex.com/m/old/p'||k||'"'||{_LF}||')'||{_LF}||{_LF}||'func main() {{'||{_LF}||'  q'||k||'.Move(p'||k||'.Keep())'||{_LF}||'}}'||{_LF} FROM (SELECT s_suppkey AS k FROM supplier)""")
+def go_declarations_moved(spark, sf_dir):
+    """A function moves to another package: qualified where it is used, what it uses of its old package qualified in it; imports are merged, and one that only it used goes along."""
+    k = F.col("s_suppkey").cast("string")
+    c = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    s = read_table(spark, sf_dir, "supplier")
+    a = c("package p", k, '\n\nimport f "fmt"\n\nfunc Move(a int) int {\n  f.Println(a)\n  return Keep()\n}\n\nfunc Keep() int {\n  return Move(1)\n}\n')
+    main = c('package main\n\nimport "ex.com/m/old/p', k, '"\n\nfunc main() {\n  p', k, ".Move(p", k, ".Keep())\n}\n")
+    rows = F.array(F.struct(c("old/p", k, "/a.go").alias("file"), a.alias("text")), F.struct(c("new/q", k, "/b.go").alias("file"), c("package q", k, "\n").alias("text")), F.struct(c("cmd/c", k, "/main.go").alias("file"), main.alias("text")))
+    files = s.select(F.explode(rows).alias("r")).select("r.*")
+    moves = s.select(c("old/p", k, "/a.go").alias("file"), F.lit("Move").alias("name"), c("new/q", k, "/b.go").alias("to"))
+    return qualify.go_moves(moves, files, extract.relations(staged(extract.extracted(files))), "ex.com/m")

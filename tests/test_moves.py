@@ -47,3 +47,65 @@ def test_the_longest_move_counts(spark):
     paths = spark.createDataFrame([("a/b/c.py",), ("a/b",), ("a/bc",), ("x",), ("a/b/c.py",)], "path string")
     moves = spark.createDataFrame([("a", "z"), ("a/b", "y/b"), ("a/b", "zz"), ("a/b/c.py", "c.py")], "old string, new string")
     assert {(r.path, r.to) for r in reimport.moved_paths(paths, moves).collect()} == {("a/b/c.py", "c.py"), ("a/b", "y/b"), ("a/bc", "z/bc"), ("x", "x")}
+
+
+def plan(spark, texts, moves):
+    from loomspan.operators import extract, qualify
+
+    files = spark.createDataFrame(list(texts.items()), "file string, text string")
+    t = extract.relations(extract.extracted(files))
+    return qualify.PythonMoves(spark.createDataFrame(moves, "file string, name string, to string"), files, t)
+
+
+def test_a_chain_moves_with_its_imports(spark):
+    texts = {
+        "a/m.py": '"""Doc."""\nfrom __future__ import annotations\n\nimport os\nfrom .n import k as key, gone\nfrom other import thing\n\n\ndef low(x):\n    return os.path.join(key, x)\n\n\ndef top(x):\n    return low(x) + thing\n\n\ndef stays():\n    return top(1)\n',
+        "a/n.py": "k = 1\ngone = 2\n", "b/low.py": "import os\n", "b/top.py": '"""Top."""\nfrom a.n import (\n    gone,\n)\n',
+        "c/user.py": "from a.m import (\n    low,\n    stays,\n    top as t,\n)\nprint(low, stays, t)\n", "c/all.py": "from a.m import low, top\nlow(top)\n",
+    }
+    moves = [("a/m.py", "low", "b/low.py"), ("a/m.py", "top", "b/top.py"), ("a/n.py", "gone", "b/top.py")]
+    p = plan(spark, texts, moves)
+    assert {(r.file, r.name, r.reason) for r in p.rejects().collect()} == set()
+    done = {r.file: r.text for r in p.applied().collect()}
+    assert done["b/low.py"] == "from a.n import k as key\nimport os\ndef low(x):\n    return os.path.join(key, x)\n"
+    assert done["b/top.py"].startswith('"""Top."""\nfrom b.low import low\nfrom other import thing\n') and "from a.n" not in done["b/top.py"] and "gone = 2" in done["b/top.py"]
+    assert done["a/m.py"].startswith('"""Doc."""\nfrom __future__ import annotations\nfrom b.top import gone\nfrom b.top import top\n') and "from .n import k as key\n" in done["a/m.py"] and "def low" not in done["a/m.py"]
+    assert done["c/user.py"] == "from b.low import low\nfrom b.top import top as t\nfrom a.m import (\n    stays,\n)\nprint(low, stays, t)\n"
+    assert done["c/all.py"] == "from b.low import low\nfrom b.top import top\nlow(top)\n"
+    for text in done.values():
+        compile(text, "x", "exec")
+
+
+def test_moves_that_clash_or_circle_are_turned_back(spark):
+    texts = {
+        "m.py": "from x import helper\n\n\ndef a():\n    return helper()\n\n\ndef b():\n    return a()\n\n\ndef c():\n    return b()\n\n\ndef d():\n    return 1\n", "n.py": "def d():\n    return 2\n\n\ndef c2():\n    return 3\n",
+        "h.py": "from y import helper\n", "o.py": "",
+    }
+    got = {(r.name, r.to): r.reason for r in plan(spark, texts, [("m.py", "d", "n.py"), ("m.py", "a", "h.py"), ("m.py", "b", "o.py"), ("m.py", "c", "o.py")]).rejects().collect()}
+    # a cannot follow its helper, so b, which needs a and is needed by nothing that stays, is free to go with c
+    assert got == {("d", "n.py"): "n.py has d already", ("a", "h.py"): "h.py has helper already"}
+    got = {r.name: r.reason for r in plan(spark, texts, [("m.py", "a", "h.py"), ("m.py", "b", "o.py")]).rejects().collect()}
+    assert got == {"a": "h.py has helper already", "b": "a circle of imports through a"}
+
+
+def test_imports_in_go_heads_only(spark):
+    from loomspan.operators import refactor
+
+    raw = 'package p\n\nvar s = `\nimport (\n\t"z"\n)\n`\n'
+    assert refactor.merged_import(raw, "b") == raw.replace("package p\n", 'package p\n\nimport "b"\n', 1)
+    assert refactor.merged_import('package p\nimport "a" // c\n', "b") == 'package p\nimport (\n\t"a" // c\n\t"b"\n)\n'
+    assert refactor.merged_import('// x\npackage p\n\nimport (\n\t// "b" is not here\n\t"a"\n\tz "c"\n)\n', "b") == '// x\npackage p\n\nimport (\n\t// "b" is not here\n\t"a"\n\t"b"\n\tz "c"\n)\n'
+    assert refactor.merged_import('package p\nimport ("a"; "b")\n', "b") == 'package p\nimport ("a"; "b")\n'
+    files = spark.createDataFrame([("f", "package p\n"), ("g", None), ("h", "package h\n")], "file string, text string")
+    wanted = spark.createDataFrame([("f", "b", None), ("f", "a", "x"), ("g", "b", ""), ("none", "b", "")], "file string, spec string, alias string")
+    assert {r.file: r.text for r in refactor.merged_imports(files, wanted).collect()} == {"f": 'package p\n\nimport (\n\tx "a"\n\t"b"\n)\n', "g": None, "h": "package h\n"}
+
+
+def test_taken_spans_may_overlap(spark):
+    from loomspan.operators import graph, refactor
+
+    edits = spark.createDataFrame([("f", 0, 5, 7, "x"), ("f", 1, 10, 12, "y"), ("f", 2, 11, 13, "z")], "file string, seq int, start int, end int, new_text string")
+    taken = spark.createDataFrame([("f", 0, 4), ("f", 3, 6)], "file string, start int, end int")
+    assert [r.seq for r in refactor.unoccupied(edits, taken).collect()] == [1]
+    a, b = (spark.createDataFrame(rows, "k int, v string") for rows in ([(1, "a")], [(1, "b"), (2, "b"), (2, "b")]))
+    assert {(r.k, r.v) for r in graph.merged_results(a, b, ["k"]).collect()} == {(1, "a"), (2, "b")}
