@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import literals
+from .operators import early, rules, tape
 from .plans import twig
 from .registry import query
 from .sources import trees
@@ -148,3 +150,32 @@ def staged_results_validated(spark, sf_dir):
     harm = F.split("file", "/")[1].cast("long") % 5 == 2
     after = before.withColumn("text", F.when(harm, F.replace("text", F.lit("y * 2"), F.lit("y *"))).otherwise(F.replace("text", F.lit("g(x"), F.lit("gg(x"))))
     return trees.validated(before, after, "go").select("file", F.md5("text").alias("digest"))
+
+
+# --- strings and searches that end early --------------------------------------
+
+_ESCAPED = "p_name||' '||p_brand"
+
+
+@query(f"""SELECT lang||'/'||p_partkey AS file, replace(t, ' ', chr(9))||'A'||chr(233) AS text, CAST(1 + length(t) + len(regexp_extract_all(t, ' ')) + 6 AS INTEGER) AS last, true AS whole FROM (SELECT p_partkey, {_ESCAPED} AS t FROM part), (SELECT unnest(['go', 'java', 'python', 'typescript']) AS lang)
+  UNION ALL SELECT 'raw/'||p_partkey, replace(t, ' ', '\\t'), CAST(length(t) + len(regexp_extract_all(t, ' ')) AS INTEGER), false FROM (SELECT p_partkey, {_ESCAPED} AS t FROM part)""")
+def string_contents(spark, sf_dir):
+    """What literals hold and where in the source their last character stands; raw ones are left open, and hold what is there."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", F.replace(F.concat_ws(" ", "p_name", "p_brand"), F.lit(" "), F.lit("\\t")).alias("t"))
+    out = None
+    for lang, prefix, body, suffix in (*((x, '"', "\\u0041é", '"') for x in ("go", "java", "python", "typescript")), ("raw", "`", "", "")):
+        own = p.select(F.concat(F.lit(f"{lang}/"), F.col("p_partkey").cast("string")).alias("file"), F.concat(F.lit(prefix), "t", F.lit(body + suffix)).alias("literal"))
+        read = "go" if lang == "raw" else lang
+        own = own.select("file", literals.string_content(F.col("literal"), read).alias("c"), literals.is_string(F.col("literal"), read).alias("whole"))
+        own = own.select("file", F.col("c.text").alias("text"), F.element_at("c.places", -1).alias("last"), "whole")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"SELECT CAST(file AS BIGINT) AS file, n FROM (SELECT doc_id AS file, len(regexp_extract_all(text, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')) > 0 AS hit, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) AS w) WHERE w = 'the') AS n FROM documents) WHERE n > 0 ORDER BY file LIMIT 5")
+def first_files_that_match(spark, sf_dir):
+    """The first five files that match, with their matches; stored files behind them are not read."""
+    d = read_table(spark, sf_dir, "documents").withColumn("file", F.format_string("%012d", "doc_id"))
+    find = lambda part: rules.search(part.select("file", "text"), '"the"', regex=tape.WORDS)
+    found = early.first_matches(d, find, 5)
+    return found.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select(F.col("file").cast("long").alias("file"), "n")

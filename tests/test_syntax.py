@@ -201,3 +201,68 @@ def test_edits_that_break_a_file_are_turned_back(spark):
     after = spark.createDataFrame([("a", "func f() { g( }"), ("b", "// moved\nfunc f( {"), ("c", "func g() {}"), ("d", "func h() {"), ("e", None)], "file string, text string")
     assert {(r.file, r.type, r.n_before, r.n_after, r.start) for r in trees.rejected(before, after, "go").collect()} == {("a", "MISSING", 0, 1, 13), ("d", "MISSING", 0, 1, 10)}
     assert {r.file for r in trees.validated(before, after, "go").collect()} == {"b", "c", "e"}
+
+
+def test_strings_hold_what_python_says():
+    import ast
+    import io
+    import tokenize
+    import warnings
+
+    from loomspan.functions import literals
+
+    r, n = random.Random(1), 0
+    pieces = ["a", "é", "😀", " ", "\\n", "\\\\", "\\'", '\\"', "\\x41", "\\101", "\\0", "\\u00e9", "\\U0001f600", "\\N{BULLET}", "\\q", "\\\n", "'", '"', "\\7", "{x}"]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for _ in range(3000):
+            quote, prefix = r.choice(['"', "'", '"""', "'''"]), r.choice(["", "r", "u"])
+            literal = prefix + quote + "".join(r.choice(pieces) for _ in range(r.randint(0, 6))) + quote
+            try:
+                tree = ast.parse(literal, mode="eval").body
+            except SyntaxError:
+                continue
+            parts = [t for t in tokenize.generate_tokens(io.StringIO(literal).readline) if t.type == tokenize.STRING]
+            if not isinstance(tree, ast.Constant) or not isinstance(tree.value, str) or len(parts) != 1:
+                continue
+            text, places = literals.content(literal, "python")
+            assert text == tree.value and len(places) == len(text), literal
+            assert all(x == literal[p] or literal[p] == "\\" for x, p in zip(text, places, strict=True))
+            n += 1
+    assert n > 1000
+
+
+@pytest.mark.parametrize(
+    "literal,lang,text,places",
+    [
+        ('"a\\u0041\\s"', "java", "aA ", [1, 2, 8]), ('"""\n    a\n      b  \n    """', "java", "a\n  b\n", [8, 9, 14, 15, 16, 19]), ("`a\\n\r\n`", "go", "a\\n\n", [1, 2, 3, 5]), ("'\\u{1F600}\\0'", "typescript", "😀\0", [1, 10]),
+        ('"\\ud83d\\ude00"', "typescript", "😀", [1]), ('"open', "go", "open", [1, 2, 3, 4]), ('"\\q"', "go", "q", [1]), ("\"it's\"", "go", "it's", [1, 2, 3, 4]), ('""', "go", "", []),
+    ],
+)
+def test_strings_of_other_languages(literal, lang, text, places):
+    from loomspan.functions import literals
+
+    assert literals.content(literal, lang) == (text, places)
+    assert literals.content("x", lang) is None
+
+
+def test_a_search_ends_early(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomspan.operators import early
+
+    for k in range(12):
+        spark.range(k * 10, k * 10 + 10).select(F.format_string("f%04d", "id").alias("file"), F.when(F.col("id") % 5 == 0, "hit").otherwise("no").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/part={k:02d}")
+    table = spark.read.parquet(str(tmp_path))
+    read = []
+
+    def find(part):
+        read.append(part.count())
+        return part.where("text = 'hit'").select("file", "text")
+
+    assert sorted(r.file for r in early.first_matches(table, find, 3).collect()) == ["f0000", "f0005", "f0010"]
+    assert sum(read) == 50  # one stored file, then four
+    read.clear()
+    assert early.first_matches(table, find, 1000).count() == 24 and sum(read) == 120
+    assert early.first_matches(table, find, 0).count() == 0
+    assert early.first_matches(spark.createDataFrame([("a", "hit"), ("b", "hit")], "file string, text string"), find, 1).count() == 1
