@@ -169,7 +169,8 @@ def sampled(docs: DataFrame, rows: int, files: int = 4) -> DataFrame:
     every = sorted(docs.inputFiles())
     if len(every) > files:
         chosen = [every[k * len(every) // files] for k in range(files)]
-        docs = docs.where(F.col("_metadata.file_path").isin(chosen))
+        # a local path begins with one slash there, with three in the list
+        docs = docs.where(F.col("_metadata.file_path").isin([*chosen, *(x.replace("file:///", "file:/", 1) for x in chosen)]))
     n = docs.count()
     return docs.sample(min(1.0, rows / n), seed=7) if n else docs
 

@@ -383,6 +383,14 @@ def test_twice_written_words_are_turned_away(spark):
     assert kept == {0: False, 1: True, 2: True} and "4 * stutter > n_words" in queries.ORACLE["op5_quality_rules"]
 
 
+def test_the_sample_has_rows_of_tables_of_many_files(spark, tmp_path):
+    for k in range(9):
+        spark.range(k * 50, k * 50 + 50).selectExpr("id AS doc_id", "concat('some words of text number ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/t", mode="append")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert len(table.inputFiles()) == 9
+    assert 0 < quality.sampled(table, 1000).count() <= 200 and set(quality.measure(table, quality.DEFAULT)) == {r.name for r in quality.DEFAULT}
+
+
 def test_the_order_of_rules_changes_no_verdict():
     t = quality.Texts(TEXTS)
     want = quality.cascade(t, quality.DEFAULT).tolist()
