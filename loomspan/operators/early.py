@@ -24,7 +24,8 @@ def first_matches(table: DataFrame, find: Callable[[DataFrame], DataFrame], limi
     found: DataFrame | None = None
     at, size, have = 0, max(1, first), 0
     while at < max(1, len(paths)):
-        part = table.where(F.col("_metadata.file_path").isin(paths[at : at + size])) if len(paths) > 1 else table
+        own = paths[at : at + size]  # a local path begins with one slash below, with three in the list
+        part = table.where(F.col("_metadata.file_path").isin([*own, *(x.replace("file:///", "file:/", 1) for x in own)])) if len(paths) > 1 else table
         new = find(part)
         if found is not None:
             new = new.join(found.select(key).distinct(), key, "left_anti")
