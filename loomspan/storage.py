@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,10 +23,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomspan-{uuid.uuid4().hex}"
 
 
+_STAGED: list[str] = []  # folders that this process wrote
+
+
+def discard_staged(spark: SparkSession | None = None) -> int:
+    """Delete the tables that this process has staged so far; returns how many. Results that are not written or collected yet need theirs.
+
+    Runs at the end of the process for tables in folders of this machine. For other stores, call it with the session while that lives.
+    """
+    done = 0
+    for path in _STAGED[:]:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        elif spark is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        else:
+            continue
+        _STAGED.remove(path)
+        done += 1
+    return done
+
+
+atexit.register(discard_staged)
+
+
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: computed once, lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table"
+    path = f"{(folder := shared_dir(spark))}/table"
+    _STAGED.append(folder)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -109,3 +109,16 @@ def test_taken_spans_may_overlap(spark):
     assert [r.seq for r in refactor.unoccupied(edits, taken).collect()] == [1]
     a, b = (spark.createDataFrame(rows, "k int, v string") for rows in ([(1, "a")], [(1, "b"), (2, "b"), (2, "b")]))
     assert {(r.k, r.v) for r in graph.merged_results(a, b, ["k"]).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_staged_tables_are_discarded(spark):
+    import os
+
+    from loomspan import storage
+
+    before, storage._STAGED[:] = storage._STAGED[:], []
+    table = storage.staged(spark.range(5))
+    folder = storage._STAGED[0].removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(folder)
+    assert storage.discard_staged(spark) == 1 and not os.path.exists(folder) and storage._STAGED == []
+    storage._STAGED[:] = before
