@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import extract, qualify, refactor, reimport
+from .plans import builds
 from .registry import query
 from .storage import read_table, staged
 
@@ -183,3 +184,37 @@ def go_declarations_moved(spark, sf_dir):
     files = s.select(F.explode(rows).alias("r")).select("r.*")
     moves = s.select(c("old/p", k, "/a.go").alias("file"), F.lit("Move").alias("name"), c("new/q", k, "/b.go").alias("to"))
     return qualify.go_moves(moves, files, extract.relations(staged(extract.extracted(files))), "ex.com/m")
+
+
+# --- build and lock files -----------------------------------------------------
+
+
+@query("""SELECT 'm'||k||'/cmd/main.go' AS file, x.spec AS spec, x.kind AS kind, x.module AS module, x.version AS version, x.path AS path FROM (SELECT k, unnest([
+    {'spec': 'ex.com/m'||k||'/pkg', 'kind': 'tree', 'module': 'ex.com/m'||k, 'version': NULL, 'path': 'm'||k||'/pkg'}, {'spec': 'ex.com/m'||k||'/sub/x/y', 'kind': 'tree', 'module': 'ex.com/m'||k||'/sub/x', 'version': NULL, 'path': 'shared/x/y'},
+    {'spec': 'dep.org/a/v2/b', 'kind': 'module', 'module': 'dep.org/a/v2', 'version': 'v2.'||k||'.0', 'path': NULL}, {'spec': 'dep.org/old/c', 'kind': 'module', 'module': 'dep.org/new', 'version': 'v1.0.'||k, 'path': NULL},
+    {'spec': 'net/http', 'kind': 'std', 'module': NULL, 'version': NULL, 'path': NULL}, {'spec': 'gone.org/z', 'kind': 'unknown', 'module': NULL, 'version': NULL, 'path': NULL}]) AS x FROM (SELECT s_suppkey AS k FROM supplier))""")
+def go_imports_by_build_files(spark, sf_dir):
+    """A go.mod in each of many folders: own modules, replacements by folders and by modules, requirements, all by the longest path."""
+    k = F.col("s_suppkey").cast("string")
+    c = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    s = read_table(spark, sf_dir, "supplier")
+    mod = c("// of ", k, "\nmodule ex.com/m", k, "\n\ngo 1.22\n\nrequire (\n\tdep.org/a v1.0.0 // indirect\n\tdep.org/a/v2 v2.", k, ".0\n\tdep.org/old v0.1.0\n)\n\nreplace dep.org/old => dep.org/new v1.0.", k, "\nreplace ex.com/m", k, "/sub/x => ../shared/x\n")
+    files = s.select(c("m", k, "/go.mod").alias("file"), mod.alias("text")).union(s.select(c("m", k, "/cmd/main.go"), F.lit("package main\n")))
+    specs = F.array(c("ex.com/m", k, "/pkg"), c("ex.com/m", k, "/sub/x/y"), *(F.lit(x) for x in ("dep.org/a/v2/b", "dep.org/old/c", "net/http", "gone.org/z")))
+    return builds.go_packages(s.select(c("m", k, "/cmd/main.go").alias("file"), F.explode(specs).alias("spec")), files)
+
+
+@query("""SELECT 'c'||k||'/src/lib.rs' AS file, x.spec AS spec, x.crate AS crate, x.version AS version, x.kind AS kind FROM (SELECT k, unnest([
+    {'spec': 'serde_json::value', 'crate': 'serde_json', 'version': '1.0.'||k, 'kind': 'locked'}, {'spec': 'memchr', 'crate': 'memchr', 'version': CASE WHEN k % 2 = 0 THEN '2.7.4' END, 'kind': CASE WHEN k % 2 = 0 THEN 'locked' ELSE 'ambiguous' END},
+    {'spec': 'app::x', 'crate': 'app', 'version': '0.1.0', 'kind': 'own'}, {'spec': 'rand::Rng', 'crate': 'rand', 'version': NULL, 'kind': 'unlocked'}]) AS x FROM (SELECT s_suppkey AS k FROM supplier))""")
+def crates_by_lock_files(spark, sf_dir):
+    """Locked versions of crates: the only one, or that which the tree's own package depends on."""
+    k = F.col("s_suppkey").cast("string")
+    c = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    s = read_table(spark, sf_dir, "supplier")
+    package = lambda name, version, more: c(f'[[package]]\nname = "{name}"\nversion = "', version, f'"\n{more}\n')
+    away = 'source = "registry+https://example.org/index"\n'
+    lock = c("version = 3\n\n", package("serde-json", c("1.0.", k), away), package("memchr", "2.7.4", away), package("memchr", "1.0.2", away), package("app", "0.1.0", ""), 'dependencies = ["serde-json"', F.when(F.col("s_suppkey") % 2 == 0, ', "memchr 2.7.4"').otherwise(""), "]\n")
+    files = s.select(c("c", k, "/Cargo.lock").alias("file"), lock.alias("text"))
+    specs = F.array(*(F.lit(x) for x in ("serde_json::value", "memchr", "app::x", "rand::Rng", "crate::y", "super::z")))
+    return builds.locked_crates(s.select(c("c", k, "/src/lib.rs").alias("file"), F.explode(specs).alias("spec")), files)

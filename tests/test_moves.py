@@ -122,3 +122,18 @@ def test_staged_tables_are_discarded(spark):
     assert table.count() == 5 and os.path.isdir(folder)
     assert storage.discard_staged(spark) == 1 and not os.path.exists(folder) and storage._STAGED == []
     storage._STAGED[:] = before
+
+
+def test_build_files_explain_imports(spark):
+    from loomspan.plans import builds
+
+    assert list(builds.go_mod('module "a/b" // x\nrequire c v1\nrequire (\n d v2\n)\nreplace d v2 => ../e\nexclude f v1\nreplace (\n g => h v3\n)\nbad\nrequire x\n')) == [
+        ("module", "a/b", None, None), ("require", "c", "v1", None), ("require", "d", "v2", None), ("replace", "d", "../e", None), ("replace", "g", "h", "v3"),
+    ]
+    assert list(builds.cargo_lock("not [ toml")) == [] and list(builds.cargo_lock("")) == []
+    files = spark.createDataFrame([("go.mod", "module r\nreplace o => ./in/o\n"), ("a/b/go.mod", "module r/a/b\n"), ("a/b/c/x.go", ""), ("empty/go.mod", None)], "file string, text string")
+    imports = spark.createDataFrame([("a/b/c/x.go", "r/a/b/c"), ("a/b/c/x.go", "r/q"), ("m.go", "r"), ("m.go", "o/p"), ("m.go", "r/a/b"), ("m.go", "fmt")], "file string, spec string")
+    got = {(r.file, r.spec): (r.kind, r.module, r.path) for r in builds.go_packages(imports, files).collect()}
+    assert got == {
+        ("a/b/c/x.go", "r/a/b/c"): ("tree", "r/a/b", "a/b/c"), ("a/b/c/x.go", "r/q"): ("std", None, None), ("m.go", "r"): ("tree", "r", ""), ("m.go", "o/p"): ("tree", "o", "in/o/p"), ("m.go", "r/a/b"): ("tree", "r", "a/b"), ("m.go", "fmt"): ("std", None, None),
+    }
