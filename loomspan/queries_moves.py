@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import extract, qualify, refactor, reimport
+from .operators import extract, neighbourhood, qualify, refactor, reimport
 from .plans import builds
 from .registry import query
 from .storage import read_table, staged
@@ -218,3 +218,26 @@ def crates_by_lock_files(spark, sf_dir):
     files = s.select(c("c", k, "/Cargo.lock").alias("file"), lock.alias("text"))
     specs = F.array(*(F.lit(x) for x in ("serde_json::value", "memchr", "app::x", "rand::Rng", "crate::y", "super::z")))
     return builds.locked_crates(s.select(c("c", k, "/src/lib.rs").alias("file"), F.explode(specs).alias("spec")), files)
+
+
+# --- neighbourhoods -----------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT s_suppkey AS k, (s_suppkey + 1) % {_N} AS j FROM supplier WHERE s_suppkey % 4 <> 3 UNION ALL SELECT s_suppkey, (s_suppkey + 20) % {_N} FROM supplier WHERE s_suppkey % 5 = 2),
+  r AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 25 = 0 UNION SELECT e.j FROM r JOIN e ON e.k = r.k)
+  SELECT unnest(['p'||k||'/a.go', 'p'||k||'/b.go']) AS file FROM r""")
+def loaded_neighbourhood(spark, sf_dir):
+    """Files that seeds lead to by imports and as peers: what only a peer imports is reached through it; no other file is read."""
+    c = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey")
+    n = s.count()
+    k, at = F.col("s_suppkey").cast("string"), lambda d: ((F.col("s_suppkey") + d) % n).cast("string")
+    line = lambda d: c('\nimport "m/p', at(d), '"\n')
+    rows = F.array(
+        F.struct(c("p", k, "/a.go").alias("file"), c("package p", k, F.when(F.col("s_suppkey") % 4 != 3, line(1)).otherwise("\n")).alias("text")),
+        F.struct(c("p", k, "/b.go").alias("file"), c("package p", k, F.when(F.col("s_suppkey") % 5 == 2, line(20)).otherwise("\n")).alias("text")),
+    )
+    files = s.select(F.explode(rows).alias("r")).select("r.*")
+    seeds = s.where("s_suppkey % 25 = 0").select(c("p", k, "/a.go").alias("file"))
+    found = neighbourhood.loaded(files.select("file"), seeds, lambda own: files.join(own, "file"), lambda texts, index: neighbourhood.imports_of(texts, index, "m"))
+    return found.select("file")

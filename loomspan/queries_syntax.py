@@ -9,8 +9,8 @@ from .functions import literals
 from .operators import early, rules, tape
 from .plans import twig
 from .registry import query
-from .sources import trees
-from .storage import read_table
+from .sources import sinks, trees
+from .storage import read_table, shared_dir
 
 # --- sources of many shapes --------------------------------------------------
 # For supplier k: 1 + k % 3 functions, each with ifs k % 4 deep, k % 5 calls with a string that looks like code, and a return;
@@ -179,3 +179,22 @@ def first_files_that_match(spark, sf_dir):
     find = lambda part: rules.search(part.select("file", "text"), '"the"', regex=tape.WORDS)
     found = early.first_matches(d, find, 5)
     return found.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select(F.col("file").cast("long").alias("file"), "n")
+
+
+@query(f"SELECT 'go/'||k AS file, 'h(\"if({{\")' AS text, CAST(m * c AS BIGINT) AS n FROM ({_SHAPES}) WHERE c > 0")
+def matches_widened_to_calls(spark, sf_dir):
+    """A match that opens a bracket takes the span of the smallest node around it: the whole call."""
+    own = _sources(spark, sf_dir, "go", broken=False)
+    found = rules.search(own, '(seq "h" "(")', nodes=trees.nodes(own, "go"))
+    spans = found.select("file", "start", "end").join(own, "file")
+    text = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("end") - F.col("start")), "UTF-8")
+    return spans.select("file", text.alias("text")).groupBy("file", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey AS k, p_name AS name FROM part")
+def sink_by_formatter(spark, sf_dir):
+    """Rows through a formatter by its name, read back."""
+    out = f"{shared_dir(spark)}/rows"
+    rows = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    sinks.write_as("table", rows, out)
+    return spark.read.parquet(out)

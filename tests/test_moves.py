@@ -137,3 +137,20 @@ def test_build_files_explain_imports(spark):
     assert got == {
         ("a/b/c/x.go", "r/a/b/c"): ("tree", "r/a/b", "a/b/c"), ("a/b/c/x.go", "r/q"): ("std", None, None), ("m.go", "r"): ("tree", "r", ""), ("m.go", "o/p"): ("tree", "o", "in/o/p"), ("m.go", "r/a/b"): ("tree", "r", "a/b"), ("m.go", "fmt"): ("std", None, None),
     }
+
+
+def test_neighbourhoods_read_each_file_once(spark):
+    from loomspan.operators import neighbourhood
+
+    texts = {"a/m.py": "import b.n\n", "a/other.py": "import z\n", "b/n.py": "from c import q\n", "c/q.py": "import a.m\n", "c/__init__.py": "", "z.py": "", "far.py": "", "g/x.go": "package g\n", "g/y.go": "package g\n", "g/z.py": ""}
+    files = spark.createDataFrame(list(texts.items()), "file string, text string")
+    read = []
+
+    def reading(own):
+        read.extend(r.file for r in own.collect())
+        return files.join(own, "file")
+
+    got = {(r.file, r.round) for r in neighbourhood.loaded(files.select("file"), spark.createDataFrame([("a/m.py",), ("g/x.go",), ("none",)], "file string"), reading).collect()}
+    assert {f for f, _ in got} == {"a/m.py", "b/n.py", "c/__init__.py", "g/x.go", "g/y.go"} and sorted(read) == sorted(f for f, _ in got)
+    assert dict(got)["b/n.py"] == 1 and dict(got)["g/y.go"] == 1
+    assert neighbourhood.loaded(files.select("file"), files.select("file").limit(0), reading).count() == 0
