@@ -556,7 +556,7 @@ def build_lexicon(docs: DataFrame, path: str, most: int = 50_000, text: str = "t
 def encode_documents(docs: DataFrame, path: str, lexicon: bytes, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: how many ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text.
 
-    A null text counts as the empty one, which has no ids; equal rows give equal rows.
+    A null text counts as the empty one, which has no ids; equal rows give equal rows, no row gives none.
     Only ``id_col`` and ``text`` are read, so other columns never clash.
     """
     import hashlib

@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Texts are linked where 100 * intersection >= ``percent`` * union of their shingle
     sets. Null, empty and wordless texts have an empty set and no link. Rows with one id
-    are one node; rows without an id share the node -2**63. Only ``id_col`` and ``text`` are read.
+    are one node; rows without an id share the node -2**63. Only ``id_col`` and ``text`` are read. No row gives none.
     """
     least = percent / 100
     all_ = sketched(docs, width, id_col, text)

@@ -222,7 +222,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep
 
     A null text counts as the empty one: one frame of bytes 32. Equal texts give equal
     values; repeated rows give repeated rows. With ``keep_media`` the column ``media``
-    holds the stored bytes. Only ``id_col`` and ``text`` are read.
+    holds the stored bytes. Only ``id_col`` and ``text`` are read. No row gives none.
     """
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * keep_media
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * keep_media

@@ -241,7 +241,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
 
     A null text counts as the empty one and has one id, ``end_id``. Repeated rows are
     packed each. Pieces of a document may lie in different sequences. Only ``id_col`` and
-    ``text`` are read.
+    ``text`` are read. No row gives none. A plan of more than PLAN_ROWS rows is an error.
     """
     pieces = staged(tokenized(docs, path, capacity, end_id, id_col, text, keep_ids))
     return pack(pieces, capacity, [id_col, "piece"])

@@ -488,7 +488,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else,
     in the same text or another, is removed; strings are judged on the input. Null and
-    empty texts have no bytes. Repeated rows are each other's repeats. Only ``id_col`` and ``text`` are read.
+    empty texts have no bytes. Repeated rows are each other's repeats. Only ``id_col`` and ``text`` are read. No row gives none.
     """
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
