@@ -193,8 +193,7 @@ def rule_pack_folder(spark, sf_dir):
 @query(f"SELECT file, CAST(pos AS INTEGER) AS first FROM (SELECT conv_id||'/'||turn AS file, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]') AS t FROM conversations)) WHERE tok = 'the'")
 def stream_pattern_matches(spark, sf_dir):
     """Turns as a stream of files; each micro-batch is searched on its own."""
-    schema = read_table(spark, sf_dir, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    stream = streams.watch_table(spark, f"{sf_dir}/conversations.parquet")
     base = shared_dir(spark)
     own = stream.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("file"), "text")
     streams.each_batch(streams.grep_stream(own, '"the"').select("file", "first"), lambda b: b, f"{base}/out", f"{base}/checkpoint").awaitTermination()

@@ -16,6 +16,14 @@ def watch(spark: SparkSession, folder: str, schema: str, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(folder)
 
 
+def watch_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table as a stream, whether it is one file or a folder of parts.
+
+    A stream's path must be a folder unless it is a pattern, so the last letter is written as one.
+    """
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def grep_stream(files: DataFrame, pattern: str) -> DataFrame:
     """Matches of a bounded pattern in files (file, text) as they arrive; stateless, so any output mode will do."""
     own = files.withColumn("tokens", tape.token_array(F.col("text")))
