@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import atom_ref, dir_of, file_ref, leaf, parse_reference
 from ..model import canonical_path
-from ..storage import staged
+from ..storage import kept, unbounded
 from .graph import first_by
 
 #: What a language can state of how its files see each other.
@@ -42,7 +42,7 @@ def facts(files: DataFrame, flags: DataFrame) -> DataFrame:
     """file, lang, package and one boolean for each of FLAGS, from files and (lang, flag)."""
     has = flags.groupBy("lang").agg(*(F.max(F.col("flag") == f).alias(f) for f in FLAGS))
     own = files.select("file", "lang", F.coalesce("package", F.lit("")).alias("package"))
-    return own.join(has, "lang", "left").select("file", "lang", "package", *(F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS))
+    return own.join(F.broadcast(has), "lang", "left").select("file", "lang", "package", *(F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS))
 
 
 def used_from(uses: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -70,8 +70,8 @@ def peer_targets(files: DataFrame, declares: DataFrame) -> DataFrame:
     own = declares.where("scope_idx = -1").groupBy("file", "leaf").agg(F.min("ref").alias("ref")).join(groups, "file")
     keys = ["lang", "package", "dir", "leaf"]
     one = own.groupBy(*keys).agg(F.min(F.struct("file", "ref")).alias("first"))
-    two = own.join(one, keys).where(F.col("file") != F.col("first.file")).groupBy(*keys).agg(F.min(F.struct("file", "ref")).alias("second"))
-    return one.join(two, keys, "left")
+    two = own.join(unbounded(one), keys).where(F.col("file") != F.col("first.file")).groupBy(*keys).agg(F.min(F.struct("file", "ref")).alias("second"))
+    return one.join(unbounded(two), keys, "left")
 
 
 def packages(files: DataFrame) -> DataFrame:
@@ -82,8 +82,8 @@ def packages(files: DataFrame) -> DataFrame:
 
 def _exposed(wanted: DataFrame, places: DataFrame, named: DataFrame, value: str, last: bool = False) -> DataFrame:
     """file, name and what the first (or last) place of the file that knows the name knows."""
-    met = wanted.select("file", "name").distinct().join(places, "file").join(named.select(F.col("file").alias("path"), "name", "ref"), ["path", "name"])
-    return _known(met, ["file", "name"], "ref", value, last)
+    met = wanted.select("file", "name").distinct().join(unbounded(places), "file").join(named.select(F.col("file").alias("path"), "name", "ref"), ["path", "name"])
+    return unbounded(_known(met, ["file", "name"], "ref", value, last))
 
 
 def _paths_of(refs: DataFrame, column: str) -> DataFrame:
@@ -104,10 +104,10 @@ class Ladder:
     WAYS = ("import", "span", "scope", "root", "peer", "include", "type", "head", "include_head", "star")
 
     def __init__(self, files: DataFrame, imports: DataFrame, atoms: DataFrame, visible: DataFrame, declares: DataFrame, named: DataFrame, stars: DataFrame):
-        self.files, self.atoms = files, atoms
+        self.files, self.atoms = unbounded(files), atoms
         self.imports = _known(imports, ["file", "local"], "target", "_import", last=True, more=("member", "alias"))
         self.visible = _known(visible, ["file", "scope_idx", "leaf"], "ref", "_scope")
-        self.peers = peer_targets(files, declares)
+        self.peers = peer_targets(self.files, declares)
         self.named = _known(named.withColumn("file", canonical_path(F.col("file"))), ["file", "name"], "ref", "ref")
         self.includes = _paths_of(imports.withColumnRenamed("target", "base").join(files.where("include_export").select("file"), "file", "left_semi"), "base")
         self.stars = _paths_of(stars, "base")
@@ -159,17 +159,17 @@ class Ladder:
         rows = rows.withColumn("_target", target).where("_target IS NOT NULL").withColumn("_member", member)
         cut = F.col("_target").endswith(F.concat(F.lit("::"), F.col("_member"))) & (F.col("_member") != "")
         base = F.when(cut, F.expr("substring(_target, 1, length(_target) - length(_member) - 2)")).otherwise(F.col("_target"))
-        now = staged(rows.select("file", "use_id", "from_ref", "_s", "_e", "_target", base.alias("base"), F.col("_member").alias("member")))
+        now = kept(rows.select("file", "use_id", "from_ref", "_s", "_e", "_target", base.alias("base"), F.col("_member").alias("member")))
         out = now.select("file", F.col("_s").alias("start"), F.col("_e").alias("end"), "from_ref", F.col("_target").alias("target_ref"))
         done = now.select("file", "use_id", "base", "member")
         for k in itertools.count(1):
             seg = segments.where(F.col("idx") == k).select("file", "use_id", F.col("name").alias("wanted"), "start", "end")
-            step = staged(self._hop(now.select("file", "use_id", "from_ref", "base", "member").join(seg, ["file", "use_id"])))
+            step = kept(self._hop(now.select("file", "use_id", "from_ref", "base", "member").join(seg, ["file", "use_id"])))
             if step.isEmpty():
                 break
             out = out.unionByName(step.select("file", "start", "end", "from_ref", "target_ref"))
             now = step.select("file", "use_id", "from_ref", F.col("target_ref").alias("base"), F.lit("").alias("member"))
-            done = staged(done.join(step.select("file", "use_id"), ["file", "use_id"], "left_anti").unionByName(now.select("file", "use_id", "base", "member")))
+            done = kept(done.join(step.select("file", "use_id"), ["file", "use_id"], "left_anti").unionByName(now.select("file", "use_id", "base", "member")))
         last = self._hop(own.select("file", "use_id", F.col("name").alias("wanted"), "start", "end", "from_ref").join(done, ["file", "use_id"]))
         out = out.unionByName(last.select("file", "start", "end", "from_ref", "target_ref"))
         return out.select("*", F.lit(False).alias("via_alias"), F.lit("dotted").alias("way"))
@@ -222,7 +222,7 @@ def navigated(refs: DataFrame, atoms: DataFrame, links: DataFrame, hops: int = 1
     for _ in range(hops):
         met = now.join(known, "target", "left").join(step, "target", "left")
         go = F.col("_atom").isNull() & F.col("_to").isNotNull() & ~F.array_contains("seen", F.coalesce("_to", F.lit("")))
-        now = staged(met.select("ref", F.when(go, F.col("_to")).otherwise(F.col("target")).alias("target"), F.when(go, F.array_append("seen", F.col("_to"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")))
+        now = kept(met.select("ref", F.when(go, F.col("_to")).otherwise(F.col("target")).alias("target"), F.when(go, F.array_append("seen", F.col("_to"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")))
         if now.where("moved").isEmpty():
             break
         now = now.drop("moved")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_ref, import_candidates, matches_glob
-from ..storage import staged
+from ..storage import kept
 from . import spans
 
 
@@ -31,11 +31,11 @@ def visible(scopes: DataFrame, declares: DataFrame) -> DataFrame:
     Scopes that lie around each other in a circle are an error.
     """
     own = declares.select("file", "scope_idx", "leaf", "ref", F.lit(0).alias("depth"))
-    out, last = own, staged(own)
+    out, last = own, kept(own)
     up = scopes.where("parent >= 0").select("file", F.col("idx").alias("child"), F.col("parent").alias("scope_idx"))
     deepest = up.groupBy("file").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] + 1
     for depth in range(1, deepest + 1):
-        last = staged(last.join(up, ["file", "scope_idx"]).select("file", F.col("child").alias("scope_idx"), "leaf", "ref", F.lit(depth).alias("depth")))
+        last = kept(last.join(up, ["file", "scope_idx"]).select("file", F.col("child").alias("scope_idx"), "leaf", "ref", F.lit(depth).alias("depth")))
         if last.isEmpty():
             return out.groupBy("file", "scope_idx", "leaf", "ref").agg(F.min("depth").alias("depth"))
         out = out.unionByName(last)
@@ -50,7 +50,7 @@ def declared_in(scopes: DataFrame, atoms: DataFrame, levels: int = 32) -> DataFr
     s = scopes.select("file", F.col("idx").alias("at"), "parent", "hole")
     for _ in range(levels):
         own = own.join(s, ["file", "at"], "left").select("file", "name", F.when(F.col("hole"), F.col("parent")).otherwise(F.col("at")).alias("at"))
-        own = staged(own)
+        own = kept(own)
         if own.join(s.where("hole"), ["file", "at"], "left_semi").isEmpty():
             break
     return own.select("file", F.col("at").alias("scope_idx"), F.substring_index("name", ".", -1).alias("leaf"), F.concat(F.lit("path:"), "file", F.lit("::"), "name").alias("ref"))
@@ -119,7 +119,7 @@ def chained(uses: DataFrame, segments: DataFrame, members: DataFrame) -> DataFra
     step = members.select(F.col("ref"), F.col("name"), F.col("target"))
     for k in itertools.count(1):  # until no use has a segment that is known
         seg = segments.where(F.col("idx") == k).select("file", "use_id", "name")
-        now = staged(now.join(seg, ["file", "use_id"]).join(step, ["ref", "name"]).select("file", "use_id", F.lit(k).alias("idx"), F.col("target").alias("ref")))
+        now = kept(now.join(seg, ["file", "use_id"]).join(step, ["ref", "name"]).select("file", "use_id", F.lit(k).alias("idx"), F.col("target").alias("ref")))
         if now.isEmpty():
             return out
         out = out.unionByName(now)
@@ -132,7 +132,7 @@ def canonical(refs: DataFrame, links: DataFrame, hops: int = 16) -> DataFrame:
     for _ in range(hops):
         moved = own.join(step, F.col("target") == F.col("_from"), "left")
         go = F.col("_to").isNotNull() & ~F.array_contains("seen", F.coalesce("_to", F.lit("")))
-        own = staged(moved.select("ref", F.when(go, F.col("_to")).otherwise(F.col("target")).alias("target"), F.when(go, F.array_append("seen", F.col("_to"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")))
+        own = kept(moved.select("ref", F.when(go, F.col("_to")).otherwise(F.col("target")).alias("target"), F.when(go, F.array_append("seen", F.col("_to"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")))
         if own.where("moved").isEmpty():
             break
         own = own.drop("moved")
@@ -146,14 +146,14 @@ def sole_entity(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def reached(seeds: DataFrame, links: DataFrame, source: str, target: str) -> DataFrame:
     """All files reachable from the seeds, with the round in which each was found."""
-    known = staged(seeds.select(F.col(source).alias("file"), F.lit(0).alias("round")).distinct())
+    known = kept(seeds.select(F.col(source).alias("file"), F.lit(0).alias("round")).distinct())
     front = known
     for k in itertools.count(1):  # each round finds new files or is the last
         new = front.join(links.select(F.col(source).alias("file"), F.col(target).alias("_to")), "file").select(F.col("_to").alias("file")).distinct()
-        front = staged(new.join(known, "file", "left_anti").withColumn("round", F.lit(k)))
+        front = kept(new.join(known, "file", "left_anti").withColumn("round", F.lit(k)))
         if front.isEmpty():
             return known
-        known = staged(known.unionByName(front))
+        known = kept(known.unionByName(front))
 
 
 def one_hop(loaded: DataFrame, specs: DataFrame, files: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import mapped
 from ..functions.paths import atom_ref, dir_of, leaf, parse_reference, relative_to
 from ..functions.text import dedented, qualified
 from ..model import canonical_path
+from ..storage import unbounded
 from . import spans
 
 EDIT = "file string, start int, end int, new_text string"
@@ -84,7 +86,7 @@ def pruned_imports(files: DataFrame, sites: DataFrame, masks: DataFrame | None =
                     out.append((file, *(whole_line((text or "").encode(), x["start"], x["end"]) if lines else (x["start"], x["end"])), ""))
             yield _edits(out)
 
-    return rows.select("file", "text", "sites", "masks").mapInArrow(work, EDIT)
+    return mapped(rows.select("file", "text", "sites", "masks"), work, EDIT)
 
 
 def import_sites(imports: DataFrame) -> DataFrame:
@@ -169,7 +171,7 @@ def merged_imports(files: DataFrame, wanted: DataFrame) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["file", "text"])
 
-    return files.select("file", "text").join(own, "file", "left").mapInArrow(work, "file string, text string")
+    return mapped(files.select("file", "text").join(own, "file", "left"), work, "file string, text string")
 
 
 # --- renames and moves -------------------------------------------------------
@@ -295,7 +297,7 @@ def manifest_edits(manifests: DataFrame, moves: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()], strict=True)], ["file", "start", "end", "spec", "path"])
 
-    found = manifests.select("file", "text").mapInArrow(work, "file string, start int, end int, spec string, path string")
+    found = mapped(manifests.select("file", "text"), work, "file string, start int, end int, spec string, path string")
     met = found.join(moved_paths(found.select("path"), moves), "path").where(F.col("to") != F.col("path"))
     to = relative_to(F.col("file"), F.col("to"))
     return met.select("file", "start", "end", F.when(F.col("spec").startswith("."), to).otherwise(F.regexp_replace(to, r"^\./", "")).alias("new_text"))
@@ -328,7 +330,7 @@ def layout_edits(files: DataFrame, packages: DataFrame, imports: DataFrame, unit
 def applied_plan(files: DataFrame, edits: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     """file, text after a plan: edits on the files as they are, then folders and files renamed (file, to); files that become empty by an edit go."""
     done = spans.edited(files, edits)
-    emptied = edits.select("file").distinct()
+    emptied = unbounded(edits.select("file").distinct())
     kept = done.join(emptied.withColumn("_e", F.lit(True)), "file", "left").where(F.col("_e").isNull() | (F.trim("text") != "")).drop("_e")
     if moves is None:
         return kept
@@ -358,7 +360,7 @@ def comments_before(files: DataFrame, points: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], ["file", "at", "doc"])
 
-    return own.select("file", "text", "points").mapInArrow(work, "file string, at int, doc string")
+    return mapped(own.select("file", "text", "points"), work, "file string, at int, doc string")
 
 
 def scope_children(paths: DataFrame) -> DataFrame:

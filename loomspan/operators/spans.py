@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import mapped
+from ..storage import unbounded
+
 BIN = 4096
 
 
@@ -26,7 +29,7 @@ def _bins(start: Column, end: Column, width: int) -> Column:
 
 def containing(inner: DataFrame, outer: DataFrame, how: str = "inner", strict: bool = False, width: int = BIN, by: tuple[str, ...] = ("file",)) -> DataFrame:
     """Each inner span with every outer one around it; the outer's columns have the prefix ``o_``."""
-    o = _renamed(outer, "o_").withColumn("_bin", _bins(F.col("o_start"), F.col("o_end"), width))
+    o = unbounded(_renamed(outer, "o_").withColumn("_bin", _bins(F.col("o_start"), F.col("o_end"), width)))
     i = inner.withColumn("_at", F.floor(F.col("start") / width))
     on = (F.col("_bin") == F.col("_at")) & (F.col("o_start") <= F.col("start")) & (F.col("end") <= F.col("o_end"))
     for c in by:
@@ -119,7 +122,7 @@ def claimed(edits: DataFrame, order: str = "seq") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], [*names, "applied"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    return dealt.mapInArrow(work, f"{kinds}, applied boolean")
+    return mapped(dealt, work, f"{kinds}, applied boolean")
 
 
 def apply_edits(text: str, edits: list[tuple[int, int, str]]) -> str:
@@ -133,7 +136,7 @@ def apply_edits(text: str, edits: list[tuple[int, int, str]]) -> str:
 
 def edited(files: DataFrame, edits: DataFrame) -> DataFrame:
     """file, text: every file with its edits applied; a file without edits stays."""
-    per_file = edits.groupBy("file").agg(F.collect_list(F.struct("start", "end", "new_text")).alias("edits"))
+    per_file = unbounded(edits.groupBy("file").agg(F.collect_list(F.struct("start", "end", "new_text")).alias("edits")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +144,7 @@ def edited(files: DataFrame, edits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["file", "text"])
 
     own = files.select("file", "text")
-    done = own.join(per_file, "file").select("file", "text", "edits").mapInArrow(work, "file string, text string")
+    done = mapped(own.join(per_file, "file").select("file", "text", "edits"), work, "file string, text string")
     return own.join(per_file.select("file"), "file", "left_anti").unionByName(done)
 
 
@@ -172,7 +175,7 @@ def diffed(old: DataFrame, new: DataFrame) -> DataFrame:
             s, e, t = zip(*(minimal_edit(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(t, pa.string())], ["file", "start", "end", "new_text"])
 
-    return both.mapInArrow(work, "file string, start int, end int, new_text string")
+    return mapped(both, work, "file string, start int, end int, new_text string")
 
 
 def shifted(matches: DataFrame, by: str | Column) -> DataFrame:

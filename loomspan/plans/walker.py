@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import atom_ref, file_ref, leaf
 from ..model import Store
 from ..operators import binding, extract, graph, refactor, spans
-from ..storage import staged
+from ..storage import kept, unbounded
 from . import providers
 
 #: How files of a language see each other.
@@ -22,7 +22,7 @@ class Walker:
         self.spark: SparkSession = files.sparkSession
         self.files = files.select("file", "text")
         self.store = Store(self.spark)
-        tables = extract.relations(staged(extract.extracted(self.files)))
+        tables = extract.relations(kept(extract.extracted(self.files)))
         self.doc, self.paint = tables.pop("doc"), tables.pop("paint")
         for name, rows in tables.items():
             self.store.put(name, rows)
@@ -31,7 +31,7 @@ class Walker:
     def _close(self, go_module: str) -> None:
         s = self.store
         imports = s["import"].withColumn("local", F.when(F.col("local") != "", F.col("local")).otherwise(F.substring_index("spec", "/", -1)))
-        s.put("resolved_spec", staged(providers.resolved(imports, s["file"], go_module)))
+        s.put("resolved_spec", kept(providers.resolved(imports, s["file"], go_module)))
         specs = s["resolved_spec"]
         named = imports.where("NOT star").join(specs, ["file", "spec", "member"])
         # a member that is a module of its own is that file
@@ -43,13 +43,13 @@ class Walker:
         rows = rows.join(leafed, (rows["base"] == leafed["base"]) & (rows["local"] == leafed["_leaf"]), "left").drop(leafed["base"])
         java = F.col("base").rlike(r"\.(java|kt|scala)$")
         target = F.when(java & F.col("_named").isNotNull(), atom_ref(F.col("base"), F.col("_named"))).when(whole, file_ref(F.col("base"))).otherwise(atom_ref(F.col("base"), F.col("member")))
-        s.put("import_target", staged(rows.select("file", "local", target.alias("target"), F.when(whole, "").otherwise(F.col("member")).alias("member"), F.col("has_alias").alias("alias"), F.col("start").alias("seq"))))
-        s.put("star_base", imports.where("star").join(specs, ["file", "spec", "member"]).select("file", file_ref(F.col("base")).alias("base"), F.col("start").alias("seq")))
-        s.put("visible", staged(graph.visible(s["scope"], s["declares"].drop("seq")).withColumnRenamed("depth", "seq")))
+        s.put("import_target", kept(rows.select("file", "local", target.alias("target"), F.when(whole, "").otherwise(F.col("member")).alias("member"), F.col("has_alias").alias("alias"), F.col("start").alias("seq"))))
+        s.put("star_base", unbounded(imports.where("star").join(specs, ["file", "spec", "member"]).select("file", file_ref(F.col("base")).alias("base"), F.col("start").alias("seq"))))
+        s.put("visible", kept(graph.visible(s["scope"], s["declares"].drop("seq")).withColumnRenamed("depth", "seq")))
         flags = self.spark.createDataFrame(LANGUAGE_FLAGS, "lang string, flag string")
         self.facts = binding.facts(s["file"], flags)
         ladder = binding.Ladder(self.facts, s["import_target"], s["atom"], s["visible"], s["declares"], s["atom_in_file"], s["star_base"])
-        s.put("binds", staged(ladder.binds(binding.best_use(s["use"]), s["use_seg"])))
+        s.put("binds", kept(ladder.binds(binding.best_use(s["use"]), s["use_seg"])))
 
     def atoms(self, below: str = "", recursive: bool = True, hidden: bool = True) -> DataFrame:
         return graph.listed(self.store["atom"], below, recursive, hidden)
@@ -69,7 +69,7 @@ class Walker:
         hits = uses.unionByName(own).groupBy("file", "start", "end").agg(F.min("ref").alias("idx"))
         found = spans.innermost_cover(points.select("file", F.col("at").alias("start"), (F.col("at") + 1).alias("end")), hits).select("file", F.col("start").alias("at"), F.col("cover").alias("ref")).where("ref IS NOT NULL")
         refs = binding.navigated(found.select("ref"), self.store["atom_in_file"], self.links())
-        return found.join(refs.select("ref", "target"), "ref").select("file", "at", "ref", "target")
+        return found.join(unbounded(refs.select("ref", "target")), "ref").select("file", "at", "ref", "target")
 
     def links(self) -> DataFrame:
         """ref, target: names that stand for others, as imports of them do."""
@@ -83,7 +83,7 @@ class Walker:
         """Edits for goals (ref, new_text)."""
         alias = self.store["import"].where("NOT star AND tend > tstart").join(self.store["import_target"].select("file", "local", "target").distinct(), ["file", "local"])
         alias = alias.select(file_ref(F.col("file")).alias("ref"), F.col("tstart").alias("start"), F.col("tend").alias("end"), "target", "spec", "pstart", "pend")
-        return graph.rename_edits(goals, self.store["atom"], self.store["binds"], alias)
+        return graph.rename_edits(goals, self.store["atom"], self.store["binds"], unbounded(alias))
 
     def applied(self, edits: DataFrame, moves: DataFrame | None = None) -> DataFrame:
         return refactor.applied_plan(self.files, edits, moves)

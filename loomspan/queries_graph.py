@@ -13,7 +13,7 @@ from .plans.walker import Walker
 from .registry import FILES, IV, SPANS, event_files, files, intervals, query, turns
 from .sources import files as sources
 from .sources import trees
-from .storage import read_table, staged
+from .storage import read_table, staged, unbounded
 
 # --- source trees made of the tables -----------------------------------------
 
@@ -35,7 +35,7 @@ def _python_files(spark, sf_dir) -> DataFrame:
         F.lit("from geo.base import Place, helper as h, Unused\nimport geo.s"), nxt, F.lit(" as other\n\n\nclass S"), k, F.lit('(Place):\n    """Supplier '), k, F.lit('."""\n'), F.coalesce("fields", F.lit("")),
         F.lit("\n    def total(self, q):\n        if q:\n            return h(other.S"), nxt, F.lit(")\n        elif self:\n            return Place\n        return top"), k, F.lit("\n\n\n# the top of it\ndef top"), k, F.lit("():\n    return S"), k, F.lit("\n"),
     )
-    own = s.join(fields, "s_suppkey", "left").select(F.concat(F.lit("geo/s"), k, F.lit(".py")).alias("file"), text.alias("text"))
+    own = s.join(unbounded(fields), "s_suppkey", "left").select(F.concat(F.lit("geo/s"), k, F.lit(".py")).alias("file"), text.alias("text"))
     base = spark.createDataFrame([("geo/base.py", "class Place:\n    pass\n\n\ndef helper(a):\n    return a\n\n\nclass Unused:\n    pass\n")], "file string, text string")
     return own.unionByName(base)
 

@@ -10,7 +10,7 @@ from .operators import early, rules, tape
 from .plans import twig
 from .registry import query
 from .sources import sinks, trees
-from .storage import read_table, shared_dir
+from .storage import read_table, shared_dir, unbounded
 
 # --- sources of many shapes --------------------------------------------------
 # For supplier k: 1 + k % 3 functions, each with ifs k % 4 deep, k % 5 calls with a string that looks like code, and a return;
@@ -37,7 +37,7 @@ def _sources(spark, sf_dir, lang: str, broken: bool = True) -> DataFrame:
         F.array_join(F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), body), ""), F.lit(tail),
     )
     text = F.when((k % 7 == 0) & F.lit(broken), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
-    return read_table(spark, sf_dir, "supplier").select(F.concat(F.lit(f"{lang}/"), k.cast("string")).alias("file"), text.alias("text"))
+    return unbounded(read_table(spark, sf_dir, "supplier").select(F.concat(F.lit(f"{lang}/"), k.cast("string")).alias("file"), text.alias("text")))
 
 
 def _sql(lang: str, broken: bool = True) -> str:
