@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import mapped
 from ..plans import pattern as P
 from ..plans.automaton import Match, Program, Token
+from ..storage import unbounded
 
 MOST_ARMS = 64
 
@@ -221,7 +223,7 @@ def grep(tape: DataFrame, pats: list, targets: DataFrame | None = None) -> DataF
     refs = targets is not None and any(map(P.uses_refs, pats))
     if refs:
         own = targets.groupBy("file").agg(F.collect_list(F.struct("start", "end", "target")).alias("targets"))
-        files = files.join(own, "file", "left")
+        files = files.join(unbounded(own), "file", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +236,7 @@ def grep(tape: DataFrame, pats: list, targets: DataFrame | None = None) -> DataF
                     out += [(k, file, *row(m, all_names[k], raw)) for m in program.scan(tokens, raw)]
             yield batch_of(out)
 
-    return files.mapInArrow(work, MATCHES)
+    return mapped(files, work, MATCHES)
 
 
 def row(m: Match, names: list[str], raw: bytes) -> tuple:

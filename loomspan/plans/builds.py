@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import mapped
 from ..functions.paths import dir_of, join_path
 from ..operators.graph import first_by
 
@@ -31,7 +32,7 @@ def _table(files: DataFrame, ending: str, read: Callable[[str], Iterator[tuple[s
 
     own = files.where((F.col("file") == ending) | F.col("file").endswith(f"/{ending}"))
     folder = F.when(F.instr("file", "/") > 0, dir_of(F.col("file"))).otherwise(F.lit(""))
-    return own.select(folder.alias("dir"), "text").mapInArrow(work, _KINDS)
+    return mapped(own.select(folder.alias("dir"), "text"), work, _KINDS)
 
 
 def go_mod(text: str) -> Iterator[tuple[str, str, str | None, str | None]]:

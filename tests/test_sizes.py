@@ -1,20 +1,27 @@
 """What passes the driver and what a task holds must not grow with the tables."""
 
+from pathlib import Path
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan import queries, queries_graph, storage
+from loomspan import batches, queries, queries_graph, storage
 from loomspan.plans.walker import Walker
+from loomspan.sources import trees
 
 WALKED = (("resolve_python_modules", 154), ("dead_imports_of_modules", 22), ("deps_in_a_hole", 22), ("definition_at_byte", 22), ("outline_of_modules", 66), ("rename_across_modules", 23), ("rename_applied", 23))
 
+
 def initial_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
+
 def broadcasts(plan):
     """Broadcast joins of a plan, but those with the flags of languages."""
     return [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "BroadcastHashJoin [lang#" not in x]
 
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sizes"))
@@ -22,6 +29,7 @@ def folder(spark, tmp_path_factory):
     spark.range(44).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{at}/part.parquet")
     return at
 
+
 def test_facts_and_nodes_are_not_broadcast_by_the_size_of_their_files(spark, folder, monkeypatch):
     """Compressed files and a few sources looked small, so their rows all passed the driver."""
     threshold, plans, write, walked = "spark.sql.autoBroadcastJoinThreshold", {}, storage.staged, []
@@ -42,3 +50,23 @@ def test_facts_and_nodes_are_not_broadcast_by_the_size_of_their_files(spark, fol
     finally:
         spark.conf.unset(threshold)
     assert len(plans) > 12 and not {k: x for k, p in plans.items() if (x := broadcasts(p))}
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    one = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["k"])
+    assert [b.num_rows for b in batches.slices([one])] == [256, 256, 256, 232]
+    wide = pa.RecordBatch.from_arrays([pa.array(["x" * 100_000] * 50)], ["text"])
+    cut = list(batches.slices([wide, wide.slice(0, 0)]))
+    assert max(b.num_rows for b in cut) == 10 and sum(b.num_rows for b in cut) == 50
+
+
+def test_a_task_holds_few_rows_at_a_time(spark):
+    """Patterns, matchers and nodes made Python objects of ten thousand files at once."""
+    def sizes(parts):
+        for b in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    seen = [r.n for r in batches.mapped(spark.range(0, 1500, 1, 1), sizes, "n long").collect()]
+    assert sum(seen) == 1500 and max(seen) <= batches.ROWS
+    engine = [p for d in ("operators", "plans", "streaming") for p in Path(batches.__file__).parent.glob(f"{d}/*.py")]
+    assert not [p.name for p in [*engine, Path(trees.__file__)] if ".mapInArrow(" in p.read_text()]
