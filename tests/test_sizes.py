@@ -78,3 +78,13 @@ def test_leaves_are_told_by_one_pass_over_the_nodes(spark):
     found = trees.leaves(trees.nodes(own, "java"), own)
     assert initial_plan(found).count("MapInArrow") == 1
     assert [(r.file, r.text) for r in found.orderBy("file", "pos").collect()] == [("a", x) for x in "class A { int f ( ) { return g ( 1".split()] + [("c", x) for x in ") int x = 1 ;".split()]
+
+
+def test_pairs_are_scored_without_moving_their_features(spark, tmp_path):
+    """jaccard_pairs: each feature of each unit was written, and shuffled four times, a row each."""
+    turns = [("c", 0, "one two two"), ("c", 1, "one two"), ("c", 2, ""), ("c", 3, None), ("d", 0, "x y x y"), ("d", 1, "y x y x"), ("d", 3, "x")]
+    spark.createDataFrame(turns, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = queries.jaccard_pairs(spark, str(tmp_path))
+    assert "feature" not in initial_plan(out) and not broadcasts(initial_plan(out))
+    got = {r.a: (r.b, r.jaccard, r.weighted) for r in out.collect()}
+    assert got == {"c/0": ("c/1", 0.6, 0.5), "c/1": ("c/2", 0.0, 0.0), "c/2": ("c/3", 1.0, 1.0), "d/0": ("d/1", 1.0, 0.8)}
