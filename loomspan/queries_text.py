@@ -6,7 +6,7 @@ import io
 import os
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import paths, text as texts
@@ -17,7 +17,7 @@ from .plans.sexp import Expander
 from .registry import FILES, IV, PIECES, SEQ, SEQB, SPANS, TURN, event_files, files, intervals, query, scanned, sequences, turns
 from .sources import files as sources
 from .sources import ignore, sinks, trees
-from .storage import read_table, shared_dir
+from .storage import dealt, read_table, shared_dir
 from .streaming import files as streams
 
 # --- sources and sinks -------------------------------------------------------
@@ -213,11 +213,15 @@ def tape_merged_cells(spark, sf_dir):
 
 @query(f"SELECT file, idx, s AS start, CASE WHEN bool_or(flag = 'R') THEN 'path:x::'||idx ELSE '' END AS target FROM {IV} WHERE flag <> 'N' GROUP BY file, idx, s, e UNION ALL SELECT file, NULL, s, 'path:x::'||idx FROM (SELECT DISTINCT file, idx, s, e FROM {IV} n WHERE flag = 'N' AND NOT EXISTS (SELECT 1 FROM {IV} o WHERE o.flag <> 'N' AND o.file = n.file AND o.s = n.s AND o.e = n.e))")
 def tape_attached_targets(spark, sf_dir):
-    """Targets of spans that are cells, and of spans that become cells by them."""
-    own = intervals(spark, sf_dir).select("file", "idx", "start", "end", "flag").distinct()
-    cells = own.where("flag <> 'N'").drop("flag").distinct()
-    some = own.where("flag = 'R'").unionByName(own.where("flag = 'N'").join(cells.select("file", "start", "end"), ["file", "start", "end"], "left_anti"))
-    targets = some.select("file", "start", "end", F.concat(F.lit("path:x::"), F.col("idx").cast("string")).alias("target")).distinct()
+    """Targets of spans that are cells, and of spans that become cells by them. All meet after one shuffle."""
+    span, of = ["file", "start", "end"], lambda test, name: F.max(F.expr(test)).alias(name)
+    own = dealt(intervals(spark, sf_dir), read_table(spark, sf_dir, "lineitem").count(), *span)
+    each = own.groupBy(*span, "idx").agg(of("flag <> 'N'", "cell"), of("flag = 'R'", "marked"), of("flag = 'N'", "bare"))
+    cells = each.where("cell").select("file", "idx", "start", "end")
+    # spans of which a part is null are no cell's
+    taken = F.coalesce(F.max("cell").over(Window.partitionBy(*span)), F.lit(False)) & F.col("file").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()
+    some = each.withColumn("taken", taken).where("marked or (bare and not taken)")
+    targets = some.select(*span, F.concat(F.lit("path:x::"), F.col("idx").cast("string")).alias("target"))
     return tape.attached(cells, targets).select("file", "idx", "start", "target")
 
 

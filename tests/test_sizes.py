@@ -88,3 +88,26 @@ def test_pairs_are_scored_without_moving_their_features(spark, tmp_path):
     assert "feature" not in initial_plan(out) and not broadcasts(initial_plan(out))
     got = {r.a: (r.b, r.jaccard, r.weighted) for r in out.collect()}
     assert got == {"c/0": ("c/1", 0.6, 0.5), "c/1": ("c/2", 0.0, 0.0), "c/2": ("c/3", 1.0, 1.0), "d/0": ("d/1", 1.0, 0.8)}
+
+
+LINES = [(1, 1, 5.0, "A"), (1, 1, 5.0, "R"), (1, 2, 3.0, "N"), (1, 2, 3.0, "N"), (2, 1, 4.0, "A"), (2, 1, 4.0, "N"), (2, 3, None, "N"), (2, 3, None, "A"), (3, 1, 1.0, None), (None, 1, 2.0, "R"), (None, 1, 2.0, "N"), (4, 1, 9.0, "R"), (4, 1, 8.0, "N")]
+ATTACHED = {(1, 1, 1, "path:x::1"), (1, None, 2, "path:x::2"), (2, 1, 1, ""), (2, 3, 3, ""), (2, None, 3, "path:x::3"), (None, 1, 1, ""), (None, None, 1, "path:x::1"), (4, 1, 1, "path:x::1"), (4, None, 1, "path:x::1")}
+
+
+@pytest.mark.parametrize("most", [1 << 18, 2])
+def test_targets_meet_their_cells_after_one_shuffle(spark, tmp_path, monkeypatch, most):
+    """tape_attached_targets: six joins and groupings on parts that Spark sized by their compressed bytes, cells broadcast where files are small."""
+    spark.createDataFrame(LINES, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(storage, "PART_ROWS", most, raising=False)
+    out = queries.QUERIES["tape_attached_targets"](spark, str(tmp_path))
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == ATTACHED
+    plan = initial_plan(out)
+    shuffles = [x for x in plan.split("== Initial Plan ==")[-1].split("\n") if " Exchange " in x]
+    assert len(shuffles) == 2 and all("REPARTITION_BY_NUM" in x for x in shuffles) and not broadcasts(plan)  # two of one kind are made once
+
+
+def test_parts_hold_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(storage, "PART_ROWS", 100)
+    parts = storage.dealt(spark.range(5000), 5000, "id").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 51 and max(r["count"] for r in parts) < 200
